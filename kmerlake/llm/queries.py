@@ -4,19 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kmerlake.llm import quality_rules, scratch, warc_archive
+from kmerlake.llm import packing, quality_rules, scratch, token_store, tokens, warc_archive
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.new_folder(spark, "warc")
     warc_archive.write_archive(_table(spark, sf_dir, "pages"), path)
     return warc_archive.read_archive(spark, path).drop("header", "payload")
 
 
+def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch.new_folder(spark, "tokens")
+    token_store.write_shards(_table(spark, sf_dir, "documents"), path, tokens.default_vocabulary())
+    return token_store.read_documents(spark, path)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_rules.ledger(_table(spark, sf_dir, "documents"))
     book = quality_rules.apply_policy(book, quality_rules.BASE, "_base")
@@ -25,7 +35,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op2_warc": op2_warc,
+    "op3_token_ids": op3_token_ids,
     "op9_quality_rules": op9_quality_rules,
 }
 ORACLES: dict[str, str] = {}
