@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kmerlake.llm import packing, quality_rules, scratch, token_store, tokens, warc_archive
+from kmerlake.llm import line_dedup, packing, quality_rules, scratch, token_store, tokens, warc_archive
+from kmerlake.llm.oracles import ORACLES as ORACLES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,11 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_documents(spark, path)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_rules.ledger(_table(spark, sf_dir, "documents"))
     book = quality_rules.apply_policy(book, quality_rules.BASE, "_base")
@@ -38,6 +45,6 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_warc": op2_warc,
     "op3_token_ids": op3_token_ids,
+    "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
-ORACLES: dict[str, str] = {}
