@@ -67,6 +67,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 
 ORACLES = {
     "op2_warc": WARC,
+    "op4_minhash_near_dedup": NEAR_DUPLICATES,
     "op8_line_dedup": LINE_DEDUP,
     "op9_quality_rules": QUALITY_RULES,
 }

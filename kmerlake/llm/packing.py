@@ -40,11 +40,11 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
     fields = ["item", "doc_id", "piece", "start", "length", "ids_crc32"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, item = tokens.encoder(vocabulary).encode, TaskContext.get().partitionId() << 33
+        encode_all, item = tokens.encoder(vocabulary).encode_all, TaskContext.get().partitionId() << 33
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py()) + tokens.END
+            for doc, own in zip(batch.column(0).to_pylist(), encode_all(t.as_py() for t in batch.column(1)), strict=True):
+                ids = own + tokens.END
                 n = len(ids) // 4
                 start = 0
                 for piece in range(-(-n // capacity)):

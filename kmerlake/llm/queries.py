@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerlake.llm import line_dedup, packing, quality_rules, scratch, token_store, tokens, warc_archive
+from kmerlake.llm import brown_lm, decontamination, language_id, license_scan, line_dedup, near_duplicates, packing, quality_rules, scratch, token_store, tokens, warc_archive
 from kmerlake.llm.oracles import ORACLES as ORACLES
 
 
@@ -29,6 +29,24 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_documents(spark, path)
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = language_id.identify(docs.select("doc_id", "text"), language_id.fit(docs))
+    return found.select("doc_id", (~language_id.learnable()).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -41,10 +59,19 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.selectExpr("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "NOT _base AS base_failed", "kept", "fail_bits")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_warc": op2_warc,
     "op3_token_ids": op3_token_ids,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_lm_scoring": op5_lm_scoring,
+    "op6_license_scan": op6_license_scan,
+    "op7_language_id": op7_language_id,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
+    "op10_decontamination": op10_decontamination,
 }

@@ -42,7 +42,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, shard_tokens: int
     """docs: doc_id, text. Writes {path}/shards/*.kwm and {path}/manifest."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, place = tokens.encoder(vocabulary).encode, TaskContext.get().partitionId(), 0
+        encode_all, part, place = tokens.encoder(vocabulary).encode_all, TaskContext.get().partitionId(), 0
         ids: list[bytes] = []
         names: list[int] = []
         size = 0
@@ -58,8 +58,8 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, shard_tokens: int
             return row
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids.append(encode(text.as_py()) + tokens.END)
+            for doc, own in zip(batch.column(0).to_pylist(), encode_all(t.as_py() for t in batch.column(1)), strict=True):
+                ids.append(own + tokens.END)
                 names.append(NO_ID if doc is None else doc)
                 size += len(ids[-1]) // 4
                 if size >= shard_tokens:

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 END = np.array([2], "<u4").tobytes()
 CACHED_PIECES = 600_000  # about 100 MB a worker
-CACHED_LENGTH = 32
+CACHED_LENGTH = 6  # of those that stay when the cache is full
+GROUP = 1 << 20
 
 # Python's \s has all that the tokeniser holds for white space but U+180E; fewer cuts are always right.
 _ODD = re.compile(" (?:[\\s\u180e]|\\Z)")
@@ -34,31 +36,57 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        # a byte-level token has a character for each byte of text
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.sizes[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self.pieces: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers, without an end id."""
-        if not text:
-            return b""
-        first, *rest = _CUT.split(text) if _ODD.search(text) else text.split(" ")
-        head = self._ids([first])[0]
-        known = self.pieces
-        try:
-            return head + b"".join([known[p] for p in rest])
-        except KeyError:
-            pass
-        new = list({p for p in rest if p not in known})
-        ids = dict(zip(new, self._ids([" " + p for p in new]), strict=True))
-        found = head + b"".join([known[p] if p in known else ids[p] for p in rest])
-        if len(known) + len(ids) > CACHED_PIECES:  # short pieces are the frequent ones
-            self.pieces = known = {p: x for p, x in known.items() if len(p) <= 6}
-            if len(known) > CACHED_PIECES // 2:
-                known.clear()
-        known.update((p, x) for p, x in ids.items() if len(p) <= CACHED_LENGTH)
-        return found
+    def _learn(self, pieces: list[str]) -> None:
+        """All pieces as one text, cut again where the bytes of the tokens reach the pieces' ends."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        reached = np.cumsum(self.sizes[ids])
+        wanted = np.cumsum([len(p.encode()) + 1 for p in pieces])
+        ends = np.searchsorted(reached, wanted) + 1
+        if ends[-1] == len(ids) and (reached[ends - 1] == wanted).all():
+            data, cut = ids.tobytes(), (4 * ends).tolist()
+            self.pieces.update(zip(pieces, (data[i:j] for i, j in zip([0, *cut[:-1]], cut, strict=True)), strict=True))
+        else:
+            self.pieces.update(zip(pieces, self._ids([" " + p for p in pieces]), strict=True))
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        split = [_CUT.split(t) if _ODD.search(t) else t.split(" ") for t in texts]
+        heads = self._ids([s[0] for s in split])
+        missing: set[str] = set()
+        for s in split:
+            del s[0]
+            missing.update(s)
+        missing.difference_update(self.pieces)
+        if missing:
+            self._learn(list(missing))
+        known = self.pieces.__getitem__
+        out = [head + b"".join(map(known, s)) for head, s in zip(heads, split, strict=True)]
+        if len(self.pieces) > CACHED_PIECES:  # short pieces are the frequent ones
+            self.pieces = {p: x for p, x in self.pieces.items() if len(p) <= CACHED_LENGTH}
+            if len(self.pieces) > CACHED_PIECES // 2:
+                self.pieces = {}
+        return out
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers, without an end id; GROUP characters or so at a time."""
+        group: list[str] = []
+        size = 0
+        for t in texts:
+            group.append(t or "")
+            size += len(group[-1])
+            if size >= GROUP:
+                yield from self._encode(group)
+                group, size = [], 0
+        if group:
+            yield from self._encode(group)
 
 
 _encoders: dict[str, Encoder] = {}
