@@ -4,12 +4,14 @@
    signature. Documents with equal sets are one class, named by its smallest doc_id.
 2. Classes that share a band's hash are candidates. Never are all pairs of a bucket made: first each
    class is compared with the smallest of its bucket mates, then with the leaders of its other buckets
-   that are in another component by then. What is left are buckets whose members are still in several
-   components; of those, pairs across components whose sizes and 128-bit sketches allow the similarity.
-3. Every candidate is confirmed on the full shingle sets, and confirmed links go to union-find.
+   that are in another component by then.
+3. What is left are buckets whose members are still in several components. Their members are dealt into
+   chunks, and tasks compare the odd sketches of two chunks at a time: a bit more in the difference of two
+   sketches than a link allows elements in that of the sets rules a pair out for certain.
+4. Every candidate is confirmed on the full shingle sets, and confirmed links go to union-find.
 
 With 32 bands of four slots a link of exactly 0.75 has no shared band with probability 5e-6, and a
-higher similarity far less; a sketch farther apart than SKETCH_BITS has probability 1e-6.
+higher similarity far less; nothing else can lose a link.
 
 Defined cases: without words (or text) a document has the empty set and no link; with fewer words than a
 shingle the whole sequence is one; rows of one doc_id are one document, linked by any of its texts; rows
@@ -27,15 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kmerlake.llm import graph, scratch
-from kmerlake.llm.shingles import bands, fingerprints, shingle_sets, signatures, sketch
+from kmerlake.llm.shingles import bands, fingerprints, folded, odd_sketch, shingle_sets, signatures
 from kmerlake.llm.textkit import blocks, words
 
 PERCENT = 75
-SKETCH_BITS = 37  # of 128; 16 differ on average at a similarity of 0.75
+CHUNK = 256  # members of a bucket, or so, whose sketches meet those of another chunk in one step
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n, f1, f2, bands, s0, s1; no name, bands or sketch for empty sets."""
+    """doc_id, n, f1, f2, bands; neither name nor bands for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -44,13 +46,13 @@ def _signed(docs: DataFrame) -> DataFrame:
                 x, of = shingle_sets(h, of)
                 sig, n = signatures(x, of), np.diff(of)
                 f1, f2 = fingerprints(x, of)
-                keys, bits, none = bands(sig).view(np.int64), sketch(sig).view(np.int64), n == 0
+                keys, none = bands(sig).view(np.int64), n == 0
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), keys.shape[1]).cast(pa.list_(pa.int64()))
                 ids = batch.column(0).slice(row, len(n))
-                cols = [pa.array(v.view(np.int64), mask=none) for v in (f1, f2)], [pa.array(np.ascontiguousarray(bits[:, i]), mask=none) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), *cols[0], lists, *cols[1]], ["doc_id", "n", "f1", "f2", "bands", "s0", "s1"])
+                names = [pa.array(v.view(np.int64), mask=none) for v in (f1, f2)]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), *names, lists], ["doc_id", "n", "f1", "f2", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bands array<long>, s0 long, s1 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bands array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -75,6 +77,70 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common >= percent * (F.size("_sa") + F.size("_sb") - common)).select("a", "b")
 
 
+def _sketches(sets: DataFrame) -> DataFrame:
+    """node, n, sketch"""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.asarray(x.values, np.int64).view(np.uint64) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array([odd_sketch(x).tobytes() for x in own], pa.binary())], ["node", "n", "sketch"])
+
+    return sets.mapInArrow(run, "node long, n long, sketch binary")
+
+
+def _possible(x: list[dict], y: list[dict], percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of members of different components whose sizes and sketches allow a link."""
+
+    def by_width(members: list[dict]) -> dict[int, tuple[np.ndarray, ...]]:
+        widths: dict[int, list[dict]] = {}
+        for m in members:
+            widths.setdefault(len(m["sketch"]) // 8, []).append(m)
+        return {w: (*(np.array([m[c] for m in ms], np.int64) for c in ("node", "root", "n")), np.frombuffer(b"".join(m["sketch"] for m in ms), "<u8").reshape(len(ms), w)) for w, ms in widths.items()}
+
+    right = by_width(y)
+    for w, (node, root, n, bits) in by_width(x).items():
+        for v, (node_, root_, n_, bits_) in right.items():
+            a, b = folded(bits, min(v, w)), folded(bits_, min(v, w))
+            for i in range(len(node)):
+                # union + intersection = n + n_, and 100 * intersection >= percent * union
+                most = (n[i] + n_) * (100 - percent) // (100 + percent)
+                fits = np.flatnonzero((root_ != root[i]) & (abs(n[i] - n_) <= most))
+                if len(fits):
+                    fits = fits[np.bitwise_count(a[i] ^ b[fits]).sum(1, dtype=np.int64) <= most[fits]]
+                    yield from ((min(int(node[i]), k), max(int(node[i]), k)) for k in node_[fits].tolist())
+
+
+def _across(mates: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: possible links of nodes that share a band but not yet a component. mates: band, node."""
+    open_ = scratch.keep(_root(mates, roots, "node", "root"), "open-mates")
+    split = open_.groupBy("band").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_n")).filter("_lo < _hi")
+    split = split.select("band", F.ceil(F.col("_n") / CHUNK).cast("int").alias("chunks"))
+    members = open_.join(split.hint("merge"), "band").join(_sketches(sets).hint("merge"), "node")
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk")
+    # about CHUNK members each, whatever the bucket's size
+    dealt = members.groupBy("band", "chunks", chunk).agg(F.collect_list(F.struct("node", "root", "n", "sketch")).alias("x"))
+    dealt = scratch.keep(dealt, "open-chunks")
+    left = dealt.select("band", F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("chunk"), "x")
+    met = left.join(dealt.select("band", "chunk", F.col("x").alias("y")).hint("merge"), ["band", "chunk"]).select("x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[tuple[int, int]] = set()
+        for b in batches:
+            for x, y in zip(b.column(0), b.column(1), strict=True):
+                found.update(_possible(x.as_py(), y.as_py(), percent))
+                if len(found) > 100_000:
+                    yield _pairs(found)
+                    found = set()
+        yield _pairs(found)
+
+    return met.mapInArrow(run, "a long, b long").distinct()
+
+
+def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
+    at = sorted(found)
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in at], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
 def _merged(links: DataFrame) -> DataFrame:
     """node, root for all nodes of links but the roots."""
     return scratch.keep(graph.components(links), "roots")
@@ -89,7 +155,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id of the component) and kept."""
     signed = scratch.keep(_signed(docs), "signatures")
     named = signed.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = named.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"), *(F.any_value(c).alias(c) for c in ("bands", "s0", "s1")))
+    classes = named.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands"))
     classes = scratch.keep(classes, "classes")
     member = signed.select("doc_id", "n", "f1", "f2").join(classes.select("f1", "f2", "n", "node").hint("merge"), ["f1", "f2", "n"], "left")
     node = F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node")
@@ -114,17 +180,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = links.unionByName(scratch.keep(_confirmed(more, sets, percent), "links"))
     roots = _merged(links)
 
-    open_ = scratch.keep(_root(mates.select("band", "node"), roots, "node", "root"), "open-mates")
-    split = open_.groupBy("band").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo < _hi").select("band")
-    facts = classes.groupBy("node").agg(F.min("n").alias("n_lo"), F.max("n").alias("n"), F.any_value("s0").alias("s0"), F.any_value("s1").alias("s1"), F.count("*").alias("sets"))
-    rest = scratch.keep(open_.join(split, "band").join(facts, "node"), "open-buckets")
-    x, y = (rest.select("band", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "n", "n_lo", "s0", "s1", "sets"))) for side in ("x", "y"))
-    differ = F.bit_count(F.col("s0_x").bitwiseXOR(F.col("s0_y"))) + F.bit_count(F.col("s1_x").bitwiseXOR(F.col("s1_y")))
-    allowed = (100 * F.col("n_x") >= percent * F.col("n_lo_y")) & (100 * F.col("n_y") >= percent * F.col("n_lo_x")) & ((differ <= SKETCH_BITS) | (F.col("sets_x") + F.col("sets_y") > 2))
-    across = x.hint("merge").join(y, (x["band"] == y["band"]) & (F.col("root_x") < F.col("root_y")) & allowed)
-    across = across.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
-    # stars were tried
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(stars, ["a", "b"], "left_anti")
+    across = _across(mates.select("band", "node"), roots, sets, percent).join(stars, ["a", "b"], "left_anti")  # stars were tried
     links = links.unionByName(scratch.keep(_confirmed(across, sets, percent), "links"))
     roots = _merged(links)
 

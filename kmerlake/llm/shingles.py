@@ -79,10 +79,22 @@ def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return h
 
 
-def sketch(sig: np.ndarray) -> np.ndarray:
-    """One bit of each slot, as 64-bit words: equal slots agree, others do so by half."""
-    bits = (mix(sig + U64(0x632BE59BD9B4E019)) & U64(1)).astype(np.uint8)
-    return np.packbits(bits, axis=1, bitorder="little").view("<u8")
+def odd_sketch(x: np.ndarray) -> np.ndarray:
+    """Parities of how many hashes fall on each bit, four bits or more an element, as 64-bit words.
+
+    Two sketches of one width differ in at most as many bits as their sets differ in elements. The upper
+    half of a sketch folded onto the lower by exclusive or is the sketch of half the width.
+    """
+    bits = 1 << max(10, int(4 * len(x) - 1).bit_length() if len(x) else 0)
+    count = np.bincount((x & U64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((count & 1).astype(np.uint8), bitorder="little").view("<u8")
+
+
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
 
 
 def fingerprints(x: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
