@@ -26,11 +26,12 @@ from pyspark.sql import functions as F
 
 from kmerlake.llm import scratch
 from kmerlake.llm.alignment import edits
-from kmerlake.llm.textkit import FOLD, U64, blocks, mix
+from kmerlake.llm.textkit import FOLD, U64, blocks
 
-Q = 8
+Q = 12
 WINDOW, STRIDE = 96, 48
-EDIT_PERCENT = 9
+EDIT_PERCENT = 7
+LEAST_SHARED = 12  # q-grams that the bound asks for, where an item is long enough
 BITMAP = 1 << 22
 BROADCAST_GRAMS = 500_000
 
@@ -39,8 +40,8 @@ _KEPT[48:58] = _KEPT[97:123] = _KEPT[128:] = True
 
 
 def budget(n: int) -> int:
-    """Edits allowed in a window of n characters; the q-gram bound stays at least 1."""
-    return max(0, min(n * EDIT_PERCENT // 100, (n - Q) // Q))
+    """Edits allowed in a window of n characters, so that the q-gram bound stays at LEAST_SHARED."""
+    return max(0, min(n * EDIT_PERCENT // 100, (n - Q + 1 - LEAST_SHARED) // Q))
 
 
 def bound(n: int) -> int:
@@ -60,13 +61,14 @@ def normalised(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def grams(x: np.ndarray) -> np.ndarray:
-    """A 64-bit name of the Q bytes from each place on: the bytes themselves."""
+    """A 64-bit name of the Q = 12 bytes from each place on."""
     n = len(x) - Q + 1
     if n <= 0:
         return np.empty(0, U64)
     two = x[:-1].astype(np.uint16) | x[1:].astype(np.uint16) << np.uint16(8)
     four = two[:-2].astype(np.uint32) | two[2:].astype(np.uint32) << np.uint32(16)
-    return four[:n].astype(U64) | four[4 : 4 + n].astype(U64) << U64(32)
+    first, last = four[:n].astype(U64) | four[4 : 4 + n].astype(U64) << U64(32), four[8 : 8 + n].astype(U64)
+    return (first * U64(0x9FB21C651E98DF25)) ^ (last * U64(0xD1342543DE82EF95))
 
 
 def _slot(g: np.ndarray) -> np.ndarray:
