@@ -24,6 +24,11 @@ def ratio(x: Column, n: Column) -> Column:
     return F.when(n > 0, x / n).otherwise(F.lit(0.0))
 
 
+def _clamped(p: Column) -> Column:
+    """p within 0 and 1; null stays null, which greatest and least alone would skip."""
+    return F.when(p.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)))
+
+
 def wilson(x: Column, n: Column) -> tuple[Column, Column]:
     """Wilson's 95 % interval for x of n; (0, 0) for n = 0."""
     m = F.when(n > 0, n).otherwise(F.lit(1)).cast("double")
@@ -44,7 +49,7 @@ def erf(x: Column) -> Column:
 
 
 def normal_survival(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (1 - erf(x / F.sqrt(F.lit(2.0)))) / 2))
+    return _clamped((1 - erf(x / F.sqrt(F.lit(2.0)))) / 2)
 
 
 def poisson_tail(rate: Column, least: int) -> Column:
@@ -55,7 +60,7 @@ def poisson_tail(rate: Column, least: int) -> Column:
     for i in range(1, least):
         term = term * rate / i
         below = below + term
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - below))
+    return _clamped(1 - below)
 
 
 def depth_rate(target_kmers: Column, nonzero: Column, median: Column, mode: Column, at_mode: Column, after_mode: Column) -> Column:

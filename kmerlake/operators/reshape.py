@@ -21,10 +21,10 @@ def decay(report: DataFrame, ids: Sequence[str] = ("target", "sample")) -> DataF
 
 
 def first_appearance(df: DataFrame, column: str, order: str) -> DataFrame:
-    """df with {column}_idx: the rank of its values by where `order` first has them."""
+    """df with {column}_order: the rank of its values by where `order` first has them."""
     first = df.groupBy(column).agg(F.min(order).alias("_first"))
     # one row a distinct value
-    ranked = first.withColumn(f"{column}_idx", F.row_number().over(Window.orderBy("_first")) - 1).drop("_first")
+    ranked = first.withColumn(f"{column}_order", F.row_number().over(Window.orderBy("_first")) - 1).drop("_first")
     return df.join(F.broadcast(ranked), column)
 
 

@@ -44,7 +44,8 @@ def syncmers(df: DataFrame, k: int = 31, s: int = 9, seq: str = "seq", positions
 def split_long(df: DataFrame, k: int, chunk: int = 1 << 22, seq: str = "seq", offset: str = "chunk_start") -> DataFrame:
     """Sequences in pieces of at most chunk + k - 1 characters that overlap by k - 1, so no k-mer is lost and no task holds a chromosome."""
     starts = F.sequence(F.lit(0), F.greatest(F.length(seq) - F.lit(k), F.lit(0)), F.lit(chunk))
-    return df.withColumn(offset, F.explode(starts).cast("long")).withColumn(seq, F.expr(f"substring({seq}, CAST({offset} AS INT) + 1, {chunk + k - 1})"))
+    piece = F.substring(seq, F.col(offset) + 1, F.lit(chunk + k - 1))
+    return df.withColumn(offset, F.explode(starts)).withColumn(seq, piece).withColumn(offset, F.col(offset).cast("long"))
 
 
 def syncmers_native(df: DataFrame, k: int = 31, s: int = 9, seq: str = "seq", key: str = "id") -> DataFrame:

@@ -422,7 +422,7 @@ def plot_prep(spark, d):
     out = reshape.only_samples(Q.with_totals(_containment(spark, d), THRESHOLDS), ["en", "de"])
     ordered = reshape.first_appearance(out, "target", "target_idx")
     n = out.select(F.count_distinct("sample").alias("n_samples"))
-    return _rounded(ordered.select("sample", "target", F.col("target_idx"), "containment1").crossJoin(F.broadcast(n)))
+    return _rounded(ordered.select("sample", "target", F.col("target_order").alias("target_idx"), "containment1").crossJoin(F.broadcast(n)))
 
 
 # indexes and text

@@ -200,7 +200,7 @@ c AS (SELECT sample, 0 AS id, count(*)::BIGINT AS n, count(*)::BIGINT AS h1, med
 {ANI}
 SELECT sample, mode, at_mode, after_mode, round(rate, 8) AS depth_rate, round(ani_est, 8) AS ani_est FROM ani JOIN mo2 USING (sample, id)""",
     "ani_est": f"WITH {FULL},\n{HIST},\n{ANI}\nSELECT sample, target, round(ani_est, 8) AS ani_est FROM ani",
-    "runs_patchiness": f"WITH {MERGED},\n{READS},\nab AS (SELECT sample, kmer, count(*) AS depth FROM rk JOIN r USING (id) WHERE kmer IN (SELECT kmer FROM mk) GROUP BY ALL),\n{patchy('mk', 'g', 'r')}\nSELECT sample, g AS target_idx, n, hits, runs, round(z, 8) AS z, round({survival('z')}, 8) AS p FROM pz",
+    "runs_patchiness": f"WITH {MERGED},\n{READS},\nab AS (SELECT sample, kmer, count(*) AS depth FROM rk JOIN r USING (id) WHERE kmer IN (SELECT kmer FROM mk) GROUP BY ALL),\n{patchy('mk', 'g', 'r')}\nSELECT sample, g AS target_idx, n, hits, runs, round(z, 8) AS z, CASE WHEN z IS NOT NULL THEN round({survival('z')}, 8) END AS p FROM pz",
     "runs_events": f"""WITH e AS (SELECT *, (user_id % 3 = 0)::INT AS hit FROM events),
 u AS (SELECT *, coalesce((hit <> lag(hit) OVER (PARTITION BY event_type ORDER BY event_id))::INT, 1) AS turn FROM e),
 g AS (SELECT event_type, count(*)::BIGINT AS n, sum(hit)::BIGINT AS hits, sum(turn)::BIGINT AS runs FROM u GROUP BY 1),
