@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 END = np.array([2], "<u4").tobytes()
-CACHED_PIECES = 600_000  # about 100 MB a worker
+CACHED_PIECES = 900_000  # about 150 MB a worker
 CACHED_LENGTH = 6  # of those that stay when the cache is full
 GROUP = 1 << 20
 

@@ -35,13 +35,19 @@ class Shard:
 
     @classmethod
     def build(cls, ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, part: int = 0, place: int = 0) -> Shard:
-        x, planes, zeros = np.asarray(ids, np.uint32), [], []
-        for p in reversed(range(int(x.max(initial=0)).bit_length())):
-            bits = (x >> np.uint32(p) & np.uint32(1)).astype(bool)
+        planes, zeros = [], []
+        top = int(np.max(ids, initial=0))
+        x = np.array(ids, np.uint16 if top < 1 << 16 else np.uint32)
+        y = np.empty_like(x)
+        for p in reversed(range(top.bit_length())):
+            bits = (x >> x.dtype.type(p)).astype(np.uint8) & np.uint8(1)
             planes.append(np.packbits(bits, bitorder="little"))
-            low = x[~bits]
+            ones = bits.view(bool)
+            low = np.compress(~ones, x)
             zeros.append(len(low))
-            x = np.concatenate([low, x[bits]])
+            y[: len(low)] = low
+            np.compress(ones, x, out=y[len(low) :])
+            x, y = y, x
         return cls(planes, zeros, len(x), np.asarray(doc_ids, np.int64), np.asarray(lengths, U64), part, place)
 
     def to_bytes(self) -> bytes:
