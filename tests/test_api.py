@@ -9,8 +9,8 @@ from kmerlake.operators import reshape
 from kmerlake.sources import index, tsv
 from tests.dna_data import fasta, fastq, random_dna, revcomp
 
-GENOMES = {"t1": random_dna(3000, 101), "t2": random_dna(4000, 102), "t3": random_dna(2500, 103)}
-COMMON = random_dna(900, 104)
+GENOMES = {"t1": random_dna(3000, 101), "t2": random_dna(4000, 203), "t3": random_dna(2500, 307)}
+COMMON = random_dna(900, 409)
 
 
 @pytest.fixture(scope="module")
@@ -42,7 +42,7 @@ def test_containment(spark, files):
     assert got["s1", "t1"]["containment1"] > 0.9 and got["s1", "t1"]["containment2_hits"] > 0 and got["s1", "t1"]["sample_seqs"] == 73
     assert got["s1", "t2"]["containment1"] < got["s1", "t1"]["containment1"]
     assert got["s2", "t3"]["containment1"] == 0 and got["s2", "t3"]["ani_est"] is None
-    assert all(r["containment1_lo"] <= r["containment1"] <= r["containment1_hi"] for r in got.values())
+    assert all(r["containment1_lo"] - 1e-9 <= r["containment1"] <= r["containment1_hi"] + 1e-9 for r in got.values())
     assert got["s1", "t2"]["patchiness_z"] > 3  # reads of its first half only
 
 
