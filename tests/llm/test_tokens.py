@@ -18,7 +18,7 @@ def plain(text):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\t ᠎　.,!'s12<|endoftext>é漢"), st.characters()), max_size=60), max_size=5))
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\t ᠎　.,!'s12<|endoftext>é漢"), st.characters(exclude_categories=("Cs",))), max_size=60), max_size=5))
 def test_ids_equal_those_of_whole_texts(texts):
     got = [np.frombuffer(x, "<u4").tolist() for x in tokens.encoder(VOCABULARY).encode_all(texts)]
     assert got == [plain(t) for t in texts]
@@ -27,7 +27,7 @@ def test_ids_equal_those_of_whole_texts(texts):
 def test_corpus_and_cache_turnover(monkeypatch):
     monkeypatch.setattr(tokens, "CACHED_PIECES", 50)
     monkeypatch.setattr(tokens, "GROUP", 500)
-    texts = [r[1] for r in corpus()] + ["a <|endoftext|> b"]
+    texts = [r[1] for r in corpus()] + ["a <|endoftext|> b", "Straße, Ärger. ñandú… naïve's o'clock, x., ñ. ŉ ǅ ª º × ÷ µ ok", "don't we'LL 'tis,. it's. a,b, .,"]
     got = [np.frombuffer(x, "<u4").tolist() for x in tokens.encoder(VOCABULARY).encode_all(texts)]
     assert got == [plain(t) for t in texts]
 
