@@ -1,4 +1,4 @@
-"""Edit distance of a pattern to the best place in a text, row by row in numpy."""
+"""Edit distance of patterns to places in a text, row by row in numpy."""
 
 from __future__ import annotations
 
@@ -15,3 +15,27 @@ def edits(pattern: np.ndarray, text: np.ndarray, most: int) -> int:
         if row.min() > most:
             return most + 1
     return int(row.min())
+
+
+def banded(patterns: np.ndarray, text: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, most: int) -> np.ndarray:
+    """For each row of patterns (without zero bytes), the fewest edits that make it a part of text[low:high] within `most` diagonals of place `at`; -1 beyond `most`."""
+    n, width = patterns.shape[1], 2 * most + 1
+    place = at - most + np.arange(n + width - 1)[:, None]
+    near = np.where((place >= low) & (place < high), text[np.clip(place, 0, len(text) - 1)], 0).astype(np.uint8)
+    p = np.ascontiguousarray(patterns.T)
+    out = np.full(len(at), -1)
+    alive = np.arange(len(at))
+    col = np.arange(width, dtype=np.int8)[:, None]
+    row = np.zeros((width, len(at)), np.int8)  # n and width are well below 127
+    for i in range(n):
+        new = row + (near[i : i + width] != p[i])
+        np.minimum(new[:-1], row[1:] + np.int8(1), out=new[:-1])
+        new -= col
+        row = np.minimum.accumulate(new, axis=0) + col
+        if i % 16 == 15:
+            good = row.min(0) <= most
+            if 4 * good.sum() < 3 * len(good):
+                row, near, p, alive = row[:, good], near[:, good], p[:, good], alive[good]
+    best = row.min(0)
+    out[alive[best <= most]] = best[best <= most]
+    return out

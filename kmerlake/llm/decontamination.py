@@ -1,22 +1,23 @@
-"""Benchmark decontamination by q-gram filtering.
+"""Benchmark decontamination by exact pieces and banded alignment.
 
 Texts are compared as letters and digits, A-Z lower-cased, with one space for everything between. A
-benchmark item is cut into overlapping windows; a window of n characters may differ by `budget(n)` edits,
-so by the q-gram lemma an occurrence shares at least n - Q + 1 - Q * budget q-grams with it, all within a
-diagonal band of that width. Shared q-grams are joined, counted in overlapping bands (each diagonal is in
-two), and the regions that meet the bound are verified by a banded alignment.
+benchmark item is cut into overlapping windows; a window of n characters may differ by `budget(n)` edits.
+It is cut into one piece more than that, of Q characters at least, so an occurrence holds one of the pieces
+unchanged. One scan over the documents looks the pieces up and verifies each place by a banded alignment
+along its diagonal, inside the task: only occurrences leave it, and none can be lost.
 
-Before the join a scan drops q-grams that no window has, by a bitmap of fixed size, and those that are too
-thinly spread for any window's bound; neither can lose an occurrence.
+The windows are broadcast, WINDOWS_AT_ONCE at most; a larger benchmark takes a scan for each group of them.
 
-Defined cases: null or empty texts share nothing; items with fewer characters than a q-gram never occur;
-rows of one doc_id or item_id are reported together, null ids as null; other columns pass through or are
-ignored; empty tables give no rows.
+Defined cases: null or empty texts share nothing; items with fewer than Q characters never occur; rows of
+one doc_id or item_id are reported together, null ids as null; other columns pass through or are ignored;
+empty tables give no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,26 +26,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kmerlake.llm import scratch
-from kmerlake.llm.alignment import edits
+from kmerlake.llm.alignment import banded
+from kmerlake.llm.alignment import edits as edits
 from kmerlake.llm.textkit import FOLD, U64, blocks
 
-Q = 12
+Q = 8
 WINDOW, STRIDE = 96, 48
-EDIT_PERCENT = 7
-LEAST_SHARED = 12  # q-grams that the bound asks for, where an item is long enough
-BITMAP = 1 << 22
-BROADCAST_GRAMS = 500_000
+EDIT_PERCENT = 9
+LONGEST_PIECE = 12
+WINDOWS_AT_ONCE = 50_000
+PAIRS_AT_ONCE = 1 << 18  # places of pieces verified together
 
 _KEPT = np.zeros(256, bool)
 _KEPT[48:58] = _KEPT[97:123] = _KEPT[128:] = True
 
 
 def budget(n: int) -> int:
-    """Edits allowed in a window of n characters, so that the q-gram bound stays at LEAST_SHARED."""
-    return max(0, min(n * EDIT_PERCENT // 100, (n - Q + 1 - LEAST_SHARED) // Q))
+    """Edits allowed in a window of n characters; pieces of Q characters fit once more than that."""
+    return max(0, min(n * EDIT_PERCENT // 100, (n - Q) // Q))
 
 
 def bound(n: int) -> int:
+    """Places at which q-grams of a window stay whole, however its edits lie."""
     return n - Q + 1 - Q * budget(n)
 
 
@@ -60,19 +63,19 @@ def normalised(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return low[stay], np.concatenate([[0], np.cumsum(stay)])[at]
 
 
-def grams(x: np.ndarray) -> np.ndarray:
-    """A 64-bit name of the Q = 12 bytes from each place on."""
-    n = len(x) - Q + 1
-    if n <= 0:
-        return np.empty(0, U64)
-    two = x[:-1].astype(np.uint16) | x[1:].astype(np.uint16) << np.uint16(8)
-    four = two[:-2].astype(np.uint32) | two[2:].astype(np.uint32) << np.uint32(16)
-    first, last = four[:n].astype(U64) | four[4 : 4 + n].astype(U64) << U64(32), four[8 : 8 + n].astype(U64)
-    return (first * U64(0x9FB21C651E98DF25)) ^ (last * U64(0xD1342543DE82EF95))
+def eights(x: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, along the last axis, as a number."""
+    if x.shape[-1] < Q:
+        return np.empty((*x.shape[:-1], 0), U64)
+    two = x[..., :-1].astype(np.uint16) | x[..., 1:].astype(np.uint16) << np.uint16(8)
+    four = two[..., :-2].astype(np.uint32) | two[..., 2:].astype(np.uint32) << np.uint32(16)
+    return four[..., :-4].astype(U64) | four[..., 4:].astype(U64) << U64(32)
 
 
-def _slot(g: np.ndarray) -> np.ndarray:
-    return ((g * U64(0x9E3779B97F4A7C15)) >> U64(64 - BITMAP.bit_length() + 1)).astype(np.int64)
+def names(eight: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit name of the `length` (8 to 16) bytes from each place on, by their first and last eight."""
+    n = max(0, eight.shape[-1] - (length - Q))
+    return (eight[..., :n] * U64(0x9FB21C651E98DF25)) ^ (eight[..., length - Q : length - Q + n] * U64(0xD1342543DE82EF95))
 
 
 def windows(benchmark: DataFrame) -> DataFrame:
@@ -97,127 +100,134 @@ def windows(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(cut, "window long, item_id long, n int, pattern binary")
 
 
-def window_grams(found: DataFrame) -> DataFrame:
-    """gram, window, at, n, slot."""
+@dataclass
+class Pieces:
+    """Pieces of one length, sorted by name: those of name i are first[i] to first[i + 1] of window and at."""
+
+    length: int
+    name: np.ndarray
+    first: np.ndarray
+    window: np.ndarray
+    at: np.ndarray
+    used: np.ndarray  # a mark for each slot of names
+    shift: np.uint64
+
+    @classmethod
+    def of(cls, length: int, name: np.ndarray, window: np.ndarray, at: np.ndarray) -> Pieces:
+        order = np.argsort(name, kind="stable")
+        own, first = np.unique(name[order], return_index=True)
+        bits = min(max((64 * len(own)).bit_length(), 16), 24)
+        found = cls(length, own, np.append(first, len(name)), window[order], at[order], np.zeros(1 << bits, bool), U64(64 - bits))
+        found.used[found._slot(own)] = True
+        return found
+
+    def _slot(self, name: np.ndarray) -> np.ndarray:
+        return ((name * U64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, eight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, numbers of the names there)."""
+        g = names(eight, self.length)
+        place = np.flatnonzero(self.used[self._slot(g)])
+        g = g[place]
+        number = np.minimum(np.searchsorted(self.name, g), len(self.name) - 1)
+        same = self.name[number] == g
+        return place[same], number[same]
+
+
+@dataclass
+class Benchmark:
+    """Windows to look for: a row of `pattern` (filled up with zeros) each."""
+
+    window: np.ndarray
+    item: pa.Array
+    n: np.ndarray
+    pattern: np.ndarray
+    pieces: list[Pieces]
+
+    @classmethod
+    def of(cls, rows: pa.Table) -> Benchmark:
+        """rows: window, item_id, n, pattern."""
+        n = rows.column("n").to_numpy().astype(np.int64)
+        pattern = np.zeros((len(n), int(n.max(initial=0))), np.uint8)
+        for i, p in enumerate(rows.column("pattern").to_pylist()):
+            pattern[i, : len(p)] = np.frombuffer(p, np.uint8)
+        held: dict[int, list[tuple]] = {}
+        for size in np.unique(n).tolist():
+            own = np.flatnonzero(n == size)
+            step = size // (budget(size) + 1)
+            length = min(step, LONGEST_PIECE)
+            g = names(eights(pattern[own, :size]), length)
+            for at in range(0, step * (budget(size) + 1), step):
+                held.setdefault(length, []).append((g[:, at], own, np.full(len(own), at)))
+        pieces = [Pieces.of(length, *(np.concatenate(x) for x in zip(*parts, strict=True))) for length, parts in held.items()]
+        return cls(rows.column("window").to_numpy().astype(np.int64), rows.column("item_id").combine_chunks(), n, pattern, pieces)
+
+    def occurrences(self, x: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, window's row, edits) of the places in the texts of x that hold a window within its budget."""
+        eight = eights(x)
+        out = []
+        for p in self.pieces:
+            place, number = p(eight)
+            doc = np.searchsorted(of, place, "right") - 1
+            whole = place + p.length <= of[doc + 1]
+            place, number, doc = place[whole], number[whole], doc[whole]
+            size = p.first[number + 1] - p.first[number]
+            total = np.cumsum(size)
+            a = 0
+            while a < len(place):
+                b = max(a + 1, int(np.searchsorted(total, total[a] - size[a] + PAIRS_AT_ONCE, "right")))
+                each = np.repeat(np.arange(a, b), size[a:b])
+                own = p.first[number[each]] + np.arange(len(each)) - (total[each] - size[each] - total[a] + size[a])
+                out.append(self._verified(x, of, doc[each], p.window[own], place[each] - p.at[own]))
+                a = b
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
+
+    def _verified(self, x: np.ndarray, of: np.ndarray, doc: np.ndarray, row: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((row, diagonal, doc))
+        doc, row, diagonal = doc[order], row[order], diagonal[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (diagonal[1:] != diagonal[:-1])
+        doc, row, diagonal = doc[new], row[new], diagonal[new]
+        found = np.full(len(doc), -1)
+        for size in np.unique(self.n[row]).tolist():
+            own = np.flatnonzero(self.n[row] == size)
+            for i in range(0, len(own), 2048):
+                at = own[i : i + 2048]
+                found[at] = banded(self.pattern[row[at], :size], x, diagonal[at], of[doc[at]], of[doc[at] + 1], budget(size))
+        good = np.flatnonzero(found >= 0)
+        return doc[good], row[good], found[good]
+
+
+def _occurrences(docs: DataFrame, benchmark: Benchmark) -> DataFrame:
+    """doc_id, item_id, window and edits, once or more for each window that occurs in a row."""
+    sent = docs.sparkSession.sparkContext.broadcast(benchmark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for window, n, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                g = grams(np.frombuffer(p, np.uint8))
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.full(len(g), window)), pa.array(np.arange(len(g), dtype=np.int32)), pa.array(np.full(len(g), n, np.int32)), pa.array(_slot(g))], ["gram", "window", "at", "n", "slot"])
-
-    return found.select("window", "n", "pattern").mapInArrow(run, "gram long, window long, at int, n int, slot long")
-
-
-def _bitmap(table: DataFrame) -> np.ndarray:
-    """A bit for each slot in use; BITMAP / 64 numbers at most, whatever the benchmark's size."""
-    bits = table.groupBy(F.shiftrightunsigned("slot", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(slot & 63 AS INT)))").alias("b"))
-    out = np.zeros(BITMAP // 64, np.int64)
-    for r in bits.collect():
-        out[r["w"]] = r["b"]
-    return out
-
-
-def _dense(place: np.ndarray, doc: np.ndarray, least: int, span: int) -> np.ndarray:
-    """Marks the hits (places ascending) that `least` hits of one document within span places include."""
-    n = len(place) - least + 1
-    if n <= 0:
-        return np.zeros(len(place), bool)
-    good = np.flatnonzero((place[least - 1 :] - place[:n] < span) & (doc[least - 1 :] == doc[:n]))
-    marks = np.zeros(len(place) + 1, np.int64)
-    np.add.at(marks, good, 1)
-    np.add.at(marks, good + least, -1)
-    return np.cumsum(marks[:-1]) > 0
-
-
-def _scan(docs: DataFrame, bits: np.ndarray, least: int) -> DataFrame:
-    """row, doc_id, place and gram (arrays), zones (start and bytes) of the documents with enough hits."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(bits)
-    reach = WINDOW + 2 * budget(WINDOW) + 2
-    span = WINDOW + budget(WINDOW)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(sent.value.view(np.uint8), bitorder="little").astype(bool)
-        row = TaskContext.get().partitionId() << 33
-        zone_type = pa.list_(pa.struct([("start", pa.int64()), ("text", pa.binary())]))
+        b: Benchmark = sent.value
         for batch in batches:
             for first, data, at in blocks(batch.column(1)):
-                x, of = normalised(data, at)
-                g = grams(x)
-                hit = np.flatnonzero(table[_slot(g)])
-                doc = np.searchsorted(of, hit, "right") - 1
-                whole = hit + Q <= of[doc + 1]
-                hit, doc = hit[whole], doc[whole]
-                keep = _dense(hit, doc, least, span)
-                hit, doc = hit[keep], doc[keep]
-                ids = np.unique(doc)
-                cuts = np.searchsorted(doc, np.append(ids, len(of)))
-                zones = []
-                for d, a, b in zip(ids.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    places, lo, hi = hit[a:b], int(of[d]), int(of[d + 1])
-                    gap = np.flatnonzero(np.diff(places) > 2 * reach)
-                    starts = np.maximum(places[np.concatenate([[0], gap + 1])] - reach, lo)
-                    ends = np.minimum(places[np.append(gap, len(places) - 1)] + Q + reach, hi)
-                    zones.append([{"start": s - lo, "text": x[s:e].tobytes()} for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
-                offsets = pa.array(cuts, pa.int32())
+                doc, row, least = b.occurrences(*normalised(data, at))
+                order = np.lexsort((least, row, doc))
+                doc, row, least = doc[order], row[order], least[order]
+                new = np.ones(len(doc), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])
+                doc, row, least = doc[new], row[new], least[new]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(row + np.arange(len(ids))),
-                        batch.column(0).take(pa.array(first + ids)),
-                        pa.ListArray.from_arrays(offsets, pa.array(hit - of[doc], pa.int64())),
-                        pa.ListArray.from_arrays(offsets, pa.array(g[hit].view(np.int64))),
-                        pa.array(zones, zone_type),
-                    ],
-                    ["row", "doc_id", "place", "gram", "zones"],
+                    [batch.column(0).take(pa.array(first + doc)), b.item.take(pa.array(row)), pa.array(b.window[row]), pa.array(least, pa.int64())],
+                    ["doc_id", "item_id", "window", "edits"],
                 )
-                row += len(ids)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "row long, doc_id long, place array<long>, gram array<long>, zones array<struct<start:long,text:binary>>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, window long, edits long")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document and item that occurs in it: doc_id, item_id, windows (of the item, found), edits (of the best)."""
     found = scratch.keep(windows(benchmark), "benchmark-windows")
-    table = scratch.keep(window_grams(found), "benchmark-grams")
-    size = table.agg(F.count("*").alias("n"), F.min("n").alias("shortest")).first()
-    sizes = [r["n"] for r in found.select("n").distinct().collect()]  # at most WINDOW numbers
-    least = min((bound(n) for n in sizes), default=1)
-    scanned = scratch.keep(_scan(docs, _bitmap(table), least), "benchmark-hits")
-
-    by_gram = table.select("gram", "window", "at", "n")
-    by_gram = F.broadcast(by_gram) if size["n"] <= BROADCAST_GRAMS else by_gram
-    hits = scanned.select("row", F.inline(F.arrays_zip("place", "gram"))).join(by_gram, "gram")
-    width = F.element_at(F.create_map(*(F.lit(v) for n in sizes or [0] for v in (n, budget(n) + 1))), F.col("n"))
-    need = F.element_at(F.create_map(*(F.lit(v) for n in sizes or [0] for v in (n, bound(n)))), F.col("n"))
-    band = F.floor((F.col("place") - F.col("at")) / width)
-    counted = hits.select("row", "window", "at", "n", F.explode(F.array(band, band - 1)).alias("band"))
-    # a window has at most WINDOW places
-    regions = counted.groupBy("row", "window", "n", "band").agg(F.size(F.collect_set("at")).alias("shared")).filter(F.col("shared") >= need)
-    facts = found.select("window", "item_id", "pattern")
-    regions = regions.join(F.broadcast(facts) if size["n"] <= BROADCAST_GRAMS else facts, "window")
-    regions = regions.groupBy("row").agg(F.collect_list(F.struct("window", "item_id", "pattern", (F.col("band") * width).alias("diagonal"))).alias("regions"))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple] = []
-            for doc, zones, own in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                seen: dict[tuple, int] = {}
-                for r in own:
-                    p, most = r["pattern"], budget(len(r["pattern"]))
-                    a, e = r["diagonal"] - most, r["diagonal"] + 2 * (most + 1) + len(p) + most
-                    for z in zones:
-                        part = z["text"][max(0, a - z["start"]) : max(0, e - z["start"])]
-                        d = 0 if p in part else edits(np.frombuffer(p, np.uint8), np.frombuffer(part, np.uint8), most) if len(part) + most >= len(p) else most + 1
-                        if d <= most:
-                            key = (r["item_id"], r["window"])
-                            seen[key] = min(d, seen.get(key, d))
-                out += [(doc, item, window, d) for (item, window), d in seen.items()]
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "window", "edits"])
-
-    spots = scanned.select("row", "doc_id", "zones").join(regions, "row").select("doc_id", "zones", "regions")
-    spots = spots.mapInArrow(verify, "doc_id long, item_id long, window long, edits long")
+    groups = max(1, -(-found.count() // WINDOWS_AT_ONCE))
+    own = F.pmod(F.xxhash64("window"), F.lit(groups))
+    # about WINDOWS_AT_ONCE rows at a time
+    scans = [_occurrences(docs, Benchmark.of(found.filter(own == g).toArrow())) for g in range(groups)]
+    spots = reduce(DataFrame.unionByName, scans)
     return spots.groupBy("doc_id", "item_id").agg(F.count_distinct("window").alias("windows"), F.min("edits").alias("edits"))
 
 

@@ -63,3 +63,24 @@ def test_drop_and_empty(spark):
 
 def test_bound_is_positive():
     assert all(D.bound(n) >= 1 for n in range(D.Q, 200))
+
+
+def edited(text, places):
+    """text with another letter at each place."""
+    return "".join("q" if i in places else c for i, c in enumerate(text))
+
+
+def test_whole_edit_budget(spark):
+    rng = random.Random(8)
+    items = [(n, "".join(rng.choice("abcdefghijklmnop") for _ in range(n))) for n in (32, 80, 96)]
+    rows = [(10 * n + e, "zz " + edited(t, {5 + (n // e) * i for i in range(e)}) + " zz", "en", "s", 0) for n, t in items for e in {32: (1, 2, 3), 80: (5, 7, 8), 96: (7, 8, 9)}[n]]
+    got = {r["doc_id"]: r["edits"] for r in D.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {321: 1, 322: 2, 805: 5, 807: 7, 967: 7, 968: 8}
+
+
+def test_benchmark_in_groups(spark, monkeypatch):
+    rows, items = planted()
+    monkeypatch.setattr(D, "WINDOWS_AT_ONCE", 9)
+    monkeypatch.setattr(D, "PAIRS_AT_ONCE", 5)
+    got = D.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["item_id"], r["windows"], r["edits"]) for r in got), key=str) == brute(rows, items)
