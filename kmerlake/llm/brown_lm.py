@@ -34,7 +34,6 @@ VOCABULARY = 1 << 16
 FREQUENT = 1000
 GROUPS = 256
 CLASSES = 32
-SWEEPS = 8
 ADD = 0.5
 _EMPTY = np.empty(0, U64)
 
@@ -293,45 +292,58 @@ def _read_near(batches: Iterator[pa.RecordBatch]):
             yield unit, right.astype(bool), other, n.astype(float)
 
 
-def cluster(counts: DataFrame, classes: int = CLASSES, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each unit, class transition counts). Half of the units may move in a sweep, each by its exact gain."""
+def cluster(counts: DataFrame, classes: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each unit, class transition counts), when no unit gains by moving alone.
+
+    Gains are exact for a unit by itself. Of all moves that gain, highest first, the first 1, 2, 4, ... are tried
+    together in one job and the number that gains most is made; as one move always gains, each round does.
+    """
     near = scratch.keep(_neighbours(counts), "brown-neighbours")
     own = np.arange(UNITS) % classes
     own[END] = classes
     size = classes + 1
 
-    def table(now: np.ndarray) -> np.ndarray:
+    def tables(tried: list[np.ndarray]) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = np.zeros((size, size))
+            t = np.zeros((len(tried), size, size))
             for unit, right, other, n in _read_near(batches):
-                t[now[unit]] += exchange.class_counts(other[right], n[right], now, size)
+                for i, now in enumerate(tried):
+                    t[i, now[unit]] += exchange.class_counts(other[right], n[right], now, size)
             yield pa.RecordBatch.from_arrays([pa.array([t.reshape(-1)], pa.list_(pa.float64()))], ["t"])
 
-        return sum((np.array(r["t"]).reshape(size, size) for r in near.mapInArrow(run, "t array<double>").collect()), np.zeros((size, size)))
+        found = near.mapInArrow(run, "t array<double>").collect()
+        return sum((np.array(r["t"]).reshape(-1, size, size) for r in found), np.zeros((len(tried), size, size)))
 
-    def moves(now: np.ndarray, t: np.ndarray, half: int) -> dict[int, int]:
+    def moves(now: np.ndarray, t: np.ndarray, least: float) -> list[tuple[float, int, int]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            units, to = [], []
+            units, to, gains = [], [], []
             for unit, right, other, n in _read_near(batches):
-                if unit != END and unit * 7 // 3 % 2 == half:
+                if unit != END:
                     r, l_ = (exchange.class_counts(other[s], n[s], now, size) for s in (right, ~right))
                     best, gain = exchange.best_class(int(now[unit]), r, l_, float(n[right & (other == unit)].sum()), t, classes)
-                    if gain > 1e-6:
+                    if gain > least:
                         units.append(unit)
                         to.append(best)
-            yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(to, pa.int64())], ["unit", "to"])
-
-        return {r["unit"]: r["to"] for r in near.mapInArrow(run, "unit long, to long").collect()}
-
-    t = table(own)
-    for sweep in range(sweeps):
-        tried = own.copy()
-        for unit, to in moves(own, t, sweep % 2).items():
-            tried[unit] = to
-        after = table(tried)
-        if exchange.objective(after) > exchange.objective(t):
-            own, t = tried, after
-    return own, t
+                        gains.append(gain)
+            yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(to, pa.int64()), pa.array(gains, pa.float64())], ["unit", "to", "gain"])
+
+        return sorted((-r["gain"], r["unit"], r["to"]) for r in near.mapInArrow(run, "unit long, to long, gain double").collect())
+
+    t = tables([own])[0]
+    while True:
+        now = exchange.objective(t)
+        found = moves(own, t, max(1e-6, 1e-12 * abs(now)))  # less is rounding
+        tried = []
+        for k in sorted({len(found), *(1 << i for i in range(len(found).bit_length()))} - {0}):
+            tried.append(own.copy())
+            for _, unit, to in found[:k]:
+                tried[-1][unit] = to
+        after = tables(tried) if tried else np.empty((0, size, size))
+        reached = [exchange.objective(x) for x in after]
+        if max(reached, default=now) <= now:
+            return own, t
+        best = int(np.argmax(reached))
+        own, t = tried[best], after[best]
 
 
 @dataclass

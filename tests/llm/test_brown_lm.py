@@ -73,3 +73,19 @@ def test_gain_is_the_change_of_the_objective():
         moved = np.where(np.arange(n) == u, to, own)
         assert abs(exchange.objective(table(moved)) - exchange.objective(table(own)) - gain) < 1e-6
         assert abs(exchange.objective(table(moved)) - exchange.objective(table(np.where(np.arange(n) == u, best, own)))) < 1e-6
+
+
+def test_clustering_ends_where_no_unit_gains(spark):
+    rng = np.random.default_rng(7)
+    n, c = 60, 5
+    kind = rng.integers(0, 4, n)
+    x = rng.poisson(2 + 30 * (kind[:, None] == (kind[None, :] + 1) % 4)).astype(float)
+    rows = [(0, int(a * brown_lm.UNITS + b), int(x[a, b])) for a, b in zip(*np.nonzero(x), strict=True)]
+    classes, table = brown_lm.cluster(spark.createDataFrame(rows, "kind int, key long, n long"), c)
+    own = classes[:n]
+    want = np.zeros((c + 1, c + 1))
+    np.add.at(want, (own[:, None] + np.zeros(n, int), own[None, :] + np.zeros((n, 1), int)), x)
+    assert np.allclose(table, want)
+    for u in range(n):
+        right, left = (np.bincount(own, weights=y, minlength=c + 1) for y in (x[u], x[:, u]))
+        assert exchange.best_class(int(own[u]), right, left, x[u, u], table, c)[1] <= 1e-6
