@@ -6,6 +6,10 @@ It is cut into one piece more than that, of Q characters at least, so an occurre
 unchanged. One scan over the documents looks the pieces up and verifies each place by a banded alignment
 along its diagonal, inside the task: only occurrences leave it, and none can be lost.
 
+`GRIDS` has windows of two lengths. The long ones find copies whose edits lie close together; of the short
+ones, every passage of an item of LEAST_PASSAGE characters holds a whole one, so it is found wherever it is
+cut out, with the short window's edits. Shorter passages of an item are not sure to be found.
+
 The windows are broadcast, WINDOWS_AT_ONCE at most; a larger benchmark takes a scan for each group of them.
 
 Defined cases: null or empty texts share nothing; items with fewer than Q characters never occur; rows of
@@ -32,6 +36,9 @@ from kmerlake.llm.textkit import FOLD, U64, blocks
 
 Q = 8
 WINDOW, STRIDE = 96, 48
+PASSAGE, PASSAGE_STRIDE = 48, 16
+GRIDS = ((WINDOW, STRIDE), (PASSAGE, PASSAGE_STRIDE))
+LEAST_PASSAGE = PASSAGE + PASSAGE_STRIDE - 1
 EDIT_PERCENT = 9
 LONGEST_PIECE = 12
 WINDOWS_AT_ONCE = 50_000
@@ -78,8 +85,8 @@ def names(eight: np.ndarray, length: int) -> np.ndarray:
     return (eight[..., :n] * U64(0x9FB21C651E98DF25)) ^ (eight[..., length - Q : length - Q + n] * U64(0xD1342543DE82EF95))
 
 
-def windows(benchmark: DataFrame) -> DataFrame:
-    """window, item_id, n, pattern."""
+def windows(benchmark: DataFrame, grids: tuple[tuple[int, int], ...]) -> DataFrame:
+    """window, item_id, n, pattern, for each length and stride of grids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
@@ -89,10 +96,9 @@ def windows(benchmark: DataFrame) -> DataFrame:
                 x, of = normalised(data, at)
                 for i in range(len(of) - 1):
                     t = x[of[i] : of[i + 1]].tobytes().strip()
-                    starts = [*range(0, max(1, len(t) - WINDOW), STRIDE), *([len(t) - WINDOW] if len(t) > WINDOW else [])]
-                    for s in starts if len(t) >= Q else []:
-                        p = t[s : s + WINDOW]
-                        out.append((number, b.column(0)[row + i].as_py(), len(p), p))
+                    spans = {(s, min(s + width, len(t))) for width, stride in grids for s in [*range(0, max(1, len(t) - width), stride), max(0, len(t) - width)]}
+                    for s, e in sorted(spans) if len(t) >= Q else []:
+                        out.append((number, b.column(0)[row + i].as_py(), e - s, t[s:e]))
                         number += 1
             cols = list(zip(*out, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["window", "item_id", "n", "pattern"])
@@ -220,9 +226,9 @@ def _occurrences(docs: DataFrame, benchmark: Benchmark) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, window long, edits long")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, grids: tuple[tuple[int, int], ...] = GRIDS[:1]) -> DataFrame:
     """Per document and item that occurs in it: doc_id, item_id, windows (of the item, found), edits (of the best)."""
-    found = scratch.keep(windows(benchmark), "benchmark-windows")
+    found = scratch.keep(windows(benchmark, grids), "benchmark-windows")
     groups = max(1, -(-found.count() // WINDOWS_AT_ONCE))
     own = F.pmod(F.xxhash64("window"), F.lit(groups))
     # about WINDOWS_AT_ONCE rows at a time
@@ -233,5 +239,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that an item occurs in. Rows without an id are judged together: they go if one of them is found."""
-    gone = scratch.keep(contaminated(docs, benchmark).select(F.col("doc_id").alias("_kml_gone")).distinct(), "contaminated")
+    gone = scratch.keep(contaminated(docs, benchmark, GRIDS).select(F.col("doc_id").alias("_kml_gone")).distinct(), "contaminated")
     return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_kml_gone"]), "left_anti")

@@ -84,3 +84,13 @@ def test_benchmark_in_groups(spark, monkeypatch):
     monkeypatch.setattr(D, "PAIRS_AT_ONCE", 5)
     got = D.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted(((r["doc_id"], r["item_id"], r["windows"], r["edits"]) for r in got), key=str) == brute(rows, items)
+
+
+def test_passages_between_long_windows(spark):
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefghijklmnop") for _ in range(384))
+    bench = spark.createDataFrame([(7, text)], "item_id long, text string")
+    n = 63  # the stated least length
+    rows = [(s, "zz " + text[s : s + n] + " zz", "en", "s", 0) for s in range(0, len(text) - n + 1, 5)] + [(1000, "zz " + text[16:128] + " zz", "en", "s", 0), (1001, "zz " + text[:30], "en", "s", 0)]
+    docs = frame(spark, rows)
+    assert [r["doc_id"] for r in D.drop_contaminated(docs, bench).collect()] == [1001]
