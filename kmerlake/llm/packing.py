@@ -42,16 +42,19 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_all, item = tokens.encoder(vocabulary).encode_all, TaskContext.get().partitionId() << 33
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, own in zip(batch.column(0).to_pylist(), encode_all(t.as_py() for t in batch.column(1)), strict=True):
-                ids = own + tokens.END
-                n = len(ids) // 4
-                start = 0
-                for piece in range(-(-n // capacity)):
-                    end = n - capacity * (-(-n // capacity) - 1 - piece)
-                    rows.append((item, doc, piece, start, end - start, zlib.crc32(memoryview(ids)[4 * start : 4 * end])))
-                    item, start = item + 1, end
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 6, fields)
+            for row, ids, of in encode_all(batch.column(1)):
+                n = np.diff(of)
+                count = -(-n // capacity)
+                doc = np.repeat(np.arange(len(n)), count)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+                # the first piece takes what is over
+                end = n[doc] - capacity * (count[doc] - 1 - piece)
+                start = np.where(piece == 0, 0, end - capacity)
+                data = memoryview(ids.astype("<u4").tobytes())
+                crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip((of[doc] + start).tolist(), (of[doc] + end).tolist(), strict=True)]
+                names = batch.column(0).slice(row, len(n)).take(pa.array(doc))
+                yield pa.RecordBatch.from_arrays([pa.array(item + np.arange(len(doc))), names, *(pa.array(x, pa.int64()) for x in (piece, start, end - start, crc))], fields)
+                item += len(doc)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "item long, doc_id long, piece long, start long, length long, ids_crc32 long").withColumn("piece", F.col("piece").cast("int"))
 

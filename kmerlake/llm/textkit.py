@@ -32,12 +32,16 @@ _powers = [np.ones(1, U64), np.ones(1, U64)]
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """_BASE ** i and its inverse for i < n, modulo 2 ** 64."""
-    if len(_powers[0]) < n:
-        for k, b in enumerate((_BASE, _BASE_INVERSE)):
-            x = np.full(max(n, BLOCK_BYTES + 1), b, U64)
-            x[0] = 1
-            _powers[k] = np.cumprod(x, dtype=U64)
-    return _powers[0][:n], _powers[1][:n]
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    made = []
+    for b in (_BASE, _BASE_INVERSE):
+        x = np.full(max(n, BLOCK_BYTES + 1), b, U64)
+        x[0] = 1
+        made.append(np.cumprod(x, dtype=U64))
+    if n <= BLOCK_BYTES + 1:  # those of a longer text are not kept
+        _powers[:] = made
+    return made[0][:n], made[1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -50,8 +54,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def blocks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of runs of whole texts; null texts are empty."""
+def blocks(texts: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of runs of whole texts of about `size` bytes; null texts are empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.fill_null("").cast(pa.large_string())
@@ -63,7 +67,7 @@ def blocks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
     row = 0
     while row < n:
-        end = max(row + 1, int(np.searchsorted(at, at[row] + BLOCK_BYTES, "right")) - 1)
+        end = max(row + 1, int(np.searchsorted(at, at[row] + size, "right")) - 1)
         yield row, data[at[row] : at[end]], at[row : end + 1] - at[row]
         row = end
 

@@ -43,13 +43,13 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, shard_tokens: int
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_all, part, place = tokens.encoder(vocabulary).encode_all, TaskContext.get().partitionId(), 0
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
         names: list[int] = []
         size = 0
 
         def close() -> pa.RecordBatch:
             nonlocal size, place
-            shard = Shard.build(np.frombuffer(b"".join(ids), "<u4"), np.array(names, np.int64), np.array([len(x) // 4 for x in ids]), part, place)
+            shard = Shard.build(np.concatenate(ids), np.array(names, np.int64), np.array([len(x) for x in ids]), part, place)
             put(f"{path}/shards/{part:06d}-{place:06d}.kwm", shard.to_bytes())
             row = pa.RecordBatch.from_pydict({"part": [part], "place": [place], "n_docs": [len(ids)], "n_tokens": [size]})
             ids.clear()
@@ -58,12 +58,14 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, shard_tokens: int
             return row
 
         for batch in batches:
-            for doc, own in zip(batch.column(0).to_pylist(), encode_all(t.as_py() for t in batch.column(1)), strict=True):
-                ids.append(own + tokens.END)
-                names.append(NO_ID if doc is None else doc)
-                size += len(ids[-1]) // 4
-                if size >= shard_tokens:
-                    yield close()
+            docs_ = batch.column(0).fill_null(NO_ID).to_numpy()
+            for row, found, of in encode_all(batch.column(1)):
+                for i in range(len(of) - 1):
+                    ids.append(found[of[i] : of[i + 1]])
+                    names.append(int(docs_[row + i]))
+                    size += len(ids[-1])
+                    if size >= shard_tokens:
+                        yield close()
         if ids:
             yield close()
 
