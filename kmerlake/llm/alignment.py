@@ -17,10 +17,10 @@ def edits(pattern: np.ndarray, text: np.ndarray, most: int) -> int:
     return int(row.min())
 
 
-def banded(patterns: np.ndarray, text: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, most: int) -> np.ndarray:
-    """For each row of patterns (without zero bytes), the fewest edits that make it a part of text[low:high] within `most` diagonals of place `at`; -1 beyond `most`."""
-    n, width = patterns.shape[1], 2 * most + 1
-    place = at - most + np.arange(n + width - 1)[:, None]
+def banded(patterns: np.ndarray, text: np.ndarray, at: np.ndarray, width: int, low: np.ndarray, high: np.ndarray, most: int) -> np.ndarray:
+    """For each row of patterns (without zero bytes), the fewest edits that make it a part of text[low:high] on the `width` diagonals from place `at` on; -1 beyond `most`."""
+    n = patterns.shape[1]
+    place = at + np.arange(n + width - 1)[:, None]
     near = np.where((place >= low) & (place < high), text[np.clip(place, 0, len(text) - 1)], 0).astype(np.uint8)
     p = np.ascontiguousarray(patterns.T)
     out = np.full(len(at), -1)

@@ -1,19 +1,25 @@
-"""Benchmark decontamination by exact pieces and banded alignment.
+"""Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
 Texts are compared as letters and digits, A-Z lower-cased, with one space for everything between. A
 benchmark item is cut into overlapping windows; a window of n characters may differ by `budget(n)` edits.
-It is cut into one piece more than that, of Q characters at least, so an occurrence holds one of the pieces
-unchanged. One scan over the documents looks the pieces up and verifies each place by a banded alignment
-along its diagonal, inside the task: only occurrences leave it, and none can be lost.
+Where it occurs with e of them, at least n - q + 1 - q * e of its q-grams stand unchanged (`bound`) on e + 1
+neighbouring diagonals (place in the document less place in the item). One scan over the documents looks
+their q-grams up and counts, inside the task, the hits by diagonal: first for whole items in cells as wide
+as the largest budget, two neighbouring cells being one of the overlapping bands; then, for items and
+bands with enough of them, for each window in bands of its own width. Regions that meet a window's bound
+are verified by an alignment confined to the band. Only occurrences leave the task, and none can be lost.
 
 `GRIDS` has windows of two lengths. The long ones find copies whose edits lie close together; of the short
 ones, every passage of an item of LEAST_PASSAGE characters holds a whole one, so it is found wherever it is
 cut out, with the short window's edits. Shorter passages of an item are not sure to be found.
 
-The windows are broadcast, WINDOWS_AT_ONCE at most; a larger benchmark takes a scan for each group of them.
+The items are broadcast, CHARACTERS_AT_ONCE or so at a time; a larger benchmark takes a scan for each group
+of them. Hits are made HITS_AT_ONCE at a time whatever a q-gram's frequency, so memory follows the longest
+document.
 
-Defined cases: null or empty texts share nothing; items with fewer than Q characters never occur; rows of
-one doc_id or item_id are reported together, null ids as null; other columns pass through or are ignored;
+Defined cases: null or empty texts share nothing; an item shorter than a window is one window; items of
+fewer than Q characters must stand unchanged and as whole words; rows of one doc_id or item_id are reported
+together, null ids as null; very long texts are compared whole; other columns pass through or are ignored;
 empty tables give no rows.
 """
 
@@ -33,29 +39,34 @@ from kmerlake.llm import scratch
 from kmerlake.llm.alignment import banded
 from kmerlake.llm.alignment import edits as edits
 from kmerlake.llm.textkit import FOLD, U64, blocks
+from kmerlake.llm.workers import trimmed
 
-Q = 8
+Q, SMALL_Q = 8, 6
 WINDOW, STRIDE = 96, 48
 PASSAGE, PASSAGE_STRIDE = 48, 16
 GRIDS = ((WINDOW, STRIDE), (PASSAGE, PASSAGE_STRIDE))
 LEAST_PASSAGE = PASSAGE + PASSAGE_STRIDE - 1
 EDIT_PERCENT = 9
-LONGEST_PIECE = 12
-WINDOWS_AT_ONCE = 50_000
-PAIRS_AT_ONCE = 1 << 18  # places of pieces verified together
+CHARACTERS_AT_ONCE = 2_000_000
+HITS_AT_ONCE = 1 << 19
 
 _KEPT = np.zeros(256, bool)
 _KEPT[48:58] = _KEPT[97:123] = _KEPT[128:] = True
 
 
 def budget(n: int) -> int:
-    """Edits allowed in a window of n characters; pieces of Q characters fit once more than that."""
-    return max(0, min(n * EDIT_PERCENT // 100, (n - Q) // Q))
+    """Edits allowed in a window of n characters."""
+    return n * EDIT_PERCENT // 100
+
+
+def gram(n: int) -> int:
+    """Length of the q-grams that a window of n characters is filtered by: the longest of a few that its budget leaves a bound for."""
+    return next(q for q in (Q, SMALL_Q, n) if q * (budget(n) + 1) <= n)
 
 
 def bound(n: int) -> int:
-    """Places at which q-grams of a window stay whole, however its edits lie."""
-    return n - Q + 1 - Q * budget(n)
+    """Q-grams of a window that stay whole, however its edits lie."""
+    return n - gram(n) + 1 - gram(n) * budget(n)
 
 
 def normalised(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,136 +81,201 @@ def normalised(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return low[stay], np.concatenate([[0], np.cumsum(stay)])[at]
 
 
-def eights(x: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place on, along the last axis, as a number."""
-    if x.shape[-1] < Q:
-        return np.empty((*x.shape[:-1], 0), U64)
-    two = x[..., :-1].astype(np.uint16) | x[..., 1:].astype(np.uint16) << np.uint16(8)
-    four = two[..., :-2].astype(np.uint32) | two[..., 2:].astype(np.uint32) << np.uint32(16)
-    return four[..., :-4].astype(U64) | four[..., 4:].astype(U64) << U64(32)
-
+def grams(x: np.ndarray, q: int) -> np.ndarray:
+    """The q bytes (8 at most) from each place on as a number; zeros follow the last."""
+    padded = np.concatenate([x, np.zeros(7, np.uint8)])
+    two = padded[:-1].astype(np.uint16) | padded[1:].astype(np.uint16) << np.uint16(8)
+    four = two[:-2].astype(np.uint32) | two[2:].astype(np.uint32) << np.uint32(16)
+    eight = four[:-4].astype(U64) | four[4:].astype(U64) << U64(32)
+    return eight & U64((1 << 8 * q) - 1)
 
-def names(eight: np.ndarray, length: int) -> np.ndarray:
-    """A 64-bit name of the `length` (8 to 16) bytes from each place on, by their first and last eight."""
-    n = max(0, eight.shape[-1] - (length - Q))
-    return (eight[..., :n] * U64(0x9FB21C651E98DF25)) ^ (eight[..., length - Q : length - Q + n] * U64(0xD1342543DE82EF95))
 
-
-def windows(benchmark: DataFrame, grids: tuple[tuple[int, int], ...]) -> DataFrame:
-    """window, item_id, n, pattern, for each length and stride of grids."""
+def items(benchmark: DataFrame) -> DataFrame:
+    """number, item_id, pattern (normalised): a row for each text with a character."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 33
+        number = TaskContext.get().partitionId() << 24
         for b in batches:
             out: list[tuple] = []
             for row, data, at in blocks(b.column(1)):
                 x, of = normalised(data, at)
                 for i in range(len(of) - 1):
                     t = x[of[i] : of[i + 1]].tobytes().strip()
-                    spans = {(s, min(s + width, len(t))) for width, stride in grids for s in [*range(0, max(1, len(t) - width), stride), max(0, len(t) - width)]}
-                    for s, e in sorted(spans) if len(t) >= Q else []:
-                        out.append((number, b.column(0)[row + i].as_py(), e - s, t[s:e]))
+                    if t:
+                        out.append((number, b.column(0)[row + i].as_py(), t))
                         number += 1
-            cols = list(zip(*out, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["window", "item_id", "n", "pattern"])
+            cols = list(zip(*out, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["number", "item_id", "pattern"])
 
-    return benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(cut, "window long, item_id long, n int, pattern binary")
+    return benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(trimmed(cut), "number long, item_id long, pattern binary")
 
 
 @dataclass
-class Pieces:
-    """Pieces of one length, sorted by name: those of name i are first[i] to first[i + 1] of window and at."""
+class Grams:
+    """Q-grams of the items, sorted: those of gram i are first[i] to first[i + 1] of text and at."""
 
-    length: int
+    q: int
     name: np.ndarray
     first: np.ndarray
-    window: np.ndarray
+    text: np.ndarray
     at: np.ndarray
     used: np.ndarray  # a mark for each slot of names
     shift: np.uint64
+    window: np.ndarray  # rows of the windows that it serves, by text
+    of: np.ndarray  # of[t] to of[t + 1] of window are text t's
+    least: np.ndarray  # of each text: the least bound of those
 
-    @classmethod
-    def of(cls, length: int, name: np.ndarray, window: np.ndarray, at: np.ndarray) -> Pieces:
-        order = np.argsort(name, kind="stable")
-        own, first = np.unique(name[order], return_index=True)
-        bits = min(max((64 * len(own)).bit_length(), 16), 24)
-        found = cls(length, own, np.append(first, len(name)), window[order], at[order], np.zeros(1 << bits, bool), U64(64 - bits))
-        found.used[found._slot(own)] = True
-        return found
-
-    def _slot(self, name: np.ndarray) -> np.ndarray:
+    def slot(self, name: np.ndarray) -> np.ndarray:
         return ((name * U64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
-    def __call__(self, eight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places, numbers of the names there)."""
-        g = names(eight, self.length)
-        place = np.flatnonzero(self.used[self._slot(g)])
+    def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, numbers of the grams there)."""
+        g = grams(x, self.q)
+        place = np.flatnonzero(self.used[self.slot(g)])
         g = g[place]
         number = np.minimum(np.searchsorted(self.name, g), len(self.name) - 1)
         same = self.name[number] == g
         return place[same], number[same]
 
 
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _banded(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first cell, hits) of every band of two neighbouring cells that has a hit."""
+    next_ = np.zeros(len(keys), bool)
+    next_[:-1] = keys[1:] == keys[:-1] + 1
+    both = n.copy()
+    both[:-1] += np.where(next_[:-1], n[1:], 0)
+    alone = np.ones(len(keys), bool)
+    alone[1:] = ~next_[:-1]
+    return np.concatenate([keys, keys[alone] - 1]), np.concatenate([both, n[alone]])
+
+
 @dataclass
 class Benchmark:
-    """Windows to look for: a row of `pattern` (filled up with zeros) each."""
+    """Items to look for, and their windows."""
 
-    window: np.ndarray
     item: pa.Array
+    data: np.ndarray
+    of: np.ndarray
+    window: np.ndarray  # a name of its own for each window; the others are in the same order
+    text: np.ndarray
+    start: np.ndarray
     n: np.ndarray
-    pattern: np.ndarray
-    pieces: list[Pieces]
+    edits: np.ndarray
+    bound: np.ndarray
+    grams: list[Grams]
 
     @classmethod
-    def of(cls, rows: pa.Table) -> Benchmark:
-        """rows: window, item_id, n, pattern."""
-        n = rows.column("n").to_numpy().astype(np.int64)
-        pattern = np.zeros((len(n), int(n.max(initial=0))), np.uint8)
-        for i, p in enumerate(rows.column("pattern").to_pylist()):
-            pattern[i, : len(p)] = np.frombuffer(p, np.uint8)
-        held: dict[int, list[tuple]] = {}
-        for size in np.unique(n).tolist():
-            own = np.flatnonzero(n == size)
-            step = size // (budget(size) + 1)
-            length = min(step, LONGEST_PIECE)
-            g = names(eights(pattern[own, :size]), length)
-            for at in range(0, step * (budget(size) + 1), step):
-                held.setdefault(length, []).append((g[:, at], own, np.full(len(own), at)))
-        pieces = [Pieces.of(length, *(np.concatenate(x) for x in zip(*parts, strict=True))) for length, parts in held.items()]
-        return cls(rows.column("window").to_numpy().astype(np.int64), rows.column("item_id").combine_chunks(), n, pattern, pieces)
+    def build(cls, rows: pa.Table, grids: tuple[tuple[int, int], ...]) -> Benchmark:
+        """rows: number, item_id, pattern."""
+        patterns = rows.column("pattern").to_pylist()
+        data = np.frombuffer(b"".join(patterns), np.uint8)
+        of = np.concatenate([[0], np.cumsum([len(p) for p in patterns])]).astype(np.int64)
+        found: list[tuple[int, int, int, int]] = []
+        for i, (number, p) in enumerate(zip(rows.column("number").to_pylist(), patterns, strict=True)):
+            spans = {(s, min(s + width, len(p))) for width, stride in grids for s in [*range(0, max(1, len(p) - width), stride), max(0, len(p) - width)]}
+            found += [((number << 22) + k, i, s, e - s) for k, (s, e) in enumerate(sorted(spans))]
+        window, text, start, n = (np.array(c, np.int64) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 4
+        q, most, least = (np.array([f(int(k)) for k in n], np.int64) for f in (gram, budget, bound))
+        by_gram = []
+        for k in np.unique(q).tolist():
+            own = np.flatnonzero(q == k)
+            texts = np.unique(text[own])
+            g = grams(data, k)
+            at = np.concatenate([np.arange(of[t], of[t + 1] - k + 1) for t in texts])
+            order = at[np.argsort(g[at], kind="stable")]
+            name, first = np.unique(g[order], return_index=True)
+            bits = min(max((64 * len(name)).bit_length(), 16), 24)
+            of_text = np.searchsorted(of, order, "right") - 1
+            fewest = np.full(len(patterns), np.iinfo(np.int64).max)
+            np.minimum.at(fewest, text[own], least[own])
+            made = Grams(k, name, np.append(first, len(order)), of_text, order - of[of_text], np.zeros(1 << bits, bool), U64(64 - bits), own, np.searchsorted(text[own], np.arange(len(patterns) + 1)), fewest)
+            made.used[made.slot(name)] = True
+            by_gram.append(made)
+        return cls(rows.column("item_id").combine_chunks(), data, of, window, text, start, n, most, least, by_gram)
 
     def occurrences(self, x: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, window's row, edits) of the places in the texts of x that hold a window within its budget."""
-        eight = eights(x)
-        out = []
-        for p in self.pieces:
-            place, number = p(eight)
-            doc = np.searchsorted(of, place, "right") - 1
-            whole = place + p.length <= of[doc + 1]
-            place, number, doc = place[whole], number[whole], doc[whole]
-            size = p.first[number + 1] - p.first[number]
-            total = np.cumsum(size)
-            a = 0
+        """(text of x, window's row, edits) of the regions that hold a window within its budget."""
+        out = [self._regions(g, x, of) for g in self.grams]
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
+
+    def _regions(self, g: Grams, x: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        place, number = g(x)
+        doc = np.searchsorted(of, place, "right") - 1
+        whole = place + g.q <= of[doc + 1]
+        place, number, doc = place[whole], number[whole], doc[whole]
+        longest = int(np.diff(self.of).max(initial=0))
+        diagonals = int(np.diff(of).max(initial=0)) + longest + 1
+        size = g.first[number + 1] - g.first[number]
+
+        def hits() -> Iterator[tuple[np.ndarray, ...]]:
+            """(doc, item's text, place in it, diagonal counted from -longest)"""
+            total, a = np.cumsum(size), 0
             while a < len(place):
-                b = max(a + 1, int(np.searchsorted(total, total[a] - size[a] + PAIRS_AT_ONCE, "right")))
+                b = max(a + 1, int(np.searchsorted(total, total[a] - size[a] + HITS_AT_ONCE, "right")))
                 each = np.repeat(np.arange(a, b), size[a:b])
-                own = p.first[number[each]] + np.arange(len(each)) - (total[each] - size[each] - total[a] + size[a])
-                out.append(self._verified(x, of, doc[each], p.window[own], place[each] - p.at[own]))
+                own = g.first[number[each]] + np.arange(len(each)) - (total[each] - size[each] - total[a] + size[a])
+                yield doc[each], g.text[own], g.at[own], place[each] - of[doc[each]] - g.at[own] + longest
                 a = b
-        return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
 
-    def _verified(self, x: np.ndarray, of: np.ndarray, doc: np.ndarray, row: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        order = np.lexsort((row, diagonal, doc))
-        doc, row, diagonal = doc[order], row[order], diagonal[order]
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (diagonal[1:] != diagonal[:-1])
-        doc, row, diagonal = doc[new], row[new], diagonal[new]
+        width = int(self.edits[g.window].max(initial=0)) + 1
+        cells = diagonals // width + 3
+        parts = [_summed((d * len(g.least) + t) * cells + diagonal // width + 1, np.ones(len(d), np.int64)) for d, t, _, diagonal in hits()]
+        if not parts:
+            return (np.empty(0, np.int64),) * 3
+        keys, n = _summed(*(np.concatenate(c) for c in zip(*parts, strict=True))) if len(parts) > 1 else parts[0]
+        keys, n = _banded(keys, n)
+        keys = keys[n >= g.least[keys // cells % len(g.least)]]
+        open_ = np.union1d(keys, keys + 1)
+        if not len(open_):
+            return (np.empty(0, np.int64),) * 3
+
+        # the hits of those bands again, for each window that they fall in
+        wide = diagonals + 3
+        parts = []
+        for d, t, at, diagonal in hits():
+            key = (d * len(g.least) + t) * cells + diagonal // width + 1
+            held = np.flatnonzero(open_[np.minimum(np.searchsorted(open_, key), len(open_) - 1)] == key)
+            for i in range(0, len(held), HITS_AT_ONCE >> 4):
+                own = held[i : i + (HITS_AT_ONCE >> 4)]
+                many = g.of[t[own] + 1] - g.of[t[own]]
+                each = np.repeat(own, many)
+                row = g.window[np.repeat(g.of[t[own]], many) + np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)]
+                inside = at[each] - self.start[row]
+                inside = np.flatnonzero((inside >= 0) & (inside <= self.n[row] - g.q))
+                each, row = each[inside], row[inside]
+                parts.append(_summed((d[each] * len(self.n) + row) * wide + diagonal[each] // (self.edits[row] + 1) + 1, np.ones(len(each), np.int64)))
+        keys, n = _summed(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+        # without edits there is one diagonal and no band
+        exact = self.edits[keys // wide % len(self.n)] == 0
+        keys, n = (np.concatenate(c) for c in zip((keys[exact], n[exact]), _banded(keys[~exact], n[~exact]), strict=True))
+        good = np.flatnonzero(n >= self.bound[keys // wide % len(self.n)])
+        row, doc_, cell = keys[good] // wide % len(self.n), keys[good] // wide // len(self.n), keys[good] % wide - 1
+        # where the window's first character would stand on the band's first diagonal
+        return self._verified(x, of, doc_, row, of[doc_] + cell * (self.edits[row] + 1) - longest + self.start[row])
+
+    def _verified(self, x: np.ndarray, of: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         found = np.full(len(doc), -1)
         for size in np.unique(self.n[row]).tolist():
             own = np.flatnonzero(self.n[row] == size)
+            if not budget(size):
+                # all q-grams on one diagonal: it stands there unchanged
+                lo, hi = at[own], at[own] + size
+                apart = (lo == of[doc[own]]) | (x[lo - 1] == 32)
+                apart &= (hi == of[doc[own] + 1]) | (x[np.minimum(hi, len(x) - 1)] == 32)
+                found[own] = np.where(apart | (size >= Q), 0, -1)
+                continue
             for i in range(0, len(own), 2048):
-                at = own[i : i + 2048]
-                found[at] = banded(self.pattern[row[at], :size], x, diagonal[at], of[doc[at]], of[doc[at] + 1], budget(size))
+                some = own[i : i + 2048]
+                first = self.of[self.text[row[some]]] + self.start[row[some]]
+                patterns = self.data[first[:, None] + np.arange(size)]
+                found[some] = banded(patterns, x, at[some], 2 * budget(size) + 2, of[doc[some]], of[doc[some] + 1], budget(size))
         good = np.flatnonzero(found >= 0)
         return doc[good], row[good], found[good]
 
@@ -219,20 +295,20 @@ def _occurrences(docs: DataFrame, benchmark: Benchmark) -> DataFrame:
                 new[1:] = (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])
                 doc, row, least = doc[new], row[new], least[new]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(first + doc)), b.item.take(pa.array(row)), pa.array(b.window[row]), pa.array(least, pa.int64())],
+                    [batch.column(0).take(pa.array(first + doc)), b.item.take(pa.array(b.text[row])), pa.array(b.window[row]), pa.array(least, pa.int64())],
                     ["doc_id", "item_id", "window", "edits"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, window long, edits long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), "doc_id long, item_id long, window long, edits long")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, grids: tuple[tuple[int, int], ...] = GRIDS[:1]) -> DataFrame:
     """Per document and item that occurs in it: doc_id, item_id, windows (of the item, found), edits (of the best)."""
-    found = scratch.keep(windows(benchmark, grids), "benchmark-windows")
-    groups = max(1, -(-found.count() // WINDOWS_AT_ONCE))
-    own = F.pmod(F.xxhash64("window"), F.lit(groups))
-    # about WINDOWS_AT_ONCE rows at a time
-    scans = [_occurrences(docs, Benchmark.of(found.filter(own == g).toArrow())) for g in range(groups)]
+    found = scratch.keep(items(benchmark), "benchmark-items")
+    groups = max(1, -(-(found.agg(F.sum(F.length("pattern"))).first()[0] or 0) // CHARACTERS_AT_ONCE))
+    own = F.pmod(F.xxhash64("number"), F.lit(groups))
+    # about CHARACTERS_AT_ONCE at a time
+    scans = [_occurrences(docs, Benchmark.build(found.filter(own == g).toArrow(), grids)) for g in range(groups)]
     spots = reduce(DataFrame.unionByName, scans)
     return spots.groupBy("doc_id", "item_id").agg(F.count_distinct("window").alias("windows"), F.min("edits").alias("edits"))
 
