@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -41,8 +42,8 @@ def test_equals_brute_force(spark):
     assert result(frame(spark, rows)) == brute(rows)
 
 
-def test_the_join_alone_gives_the_same(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
+def test_many_shards_and_chunks_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "CHUNK_POSTINGS", 9)
     monkeypatch.setattr(line_dedup, "SHARD_KEYS", 3)
     rows = shared(corpus(60))
     assert result(frame(spark, rows)) == brute(rows)
@@ -83,3 +84,36 @@ def test_cuckoo_filter():
     for k in keys[:1000]:
         assert f.delete(k)
     assert f.contains(keys[1000:]).all() and f.contains(keys[:1000]).mean() < 0.01
+
+
+def test_insertion_into_an_index_without_shared_lines(spark):
+    first = [(1, "a line of its own\nand one that will be shared", "en", "s", 0), (2, "nothing in common", "en", "s", 0)]
+    more = [(3, "And one that will be shared\nbut not this", "en", "s", 0)]
+    index = line_dedup.insert_documents(line_dedup.build_index(frame(spark, first)), frame(spark, more))
+    assert result(frame(spark, first + more), index) == brute(first + more)
+    index = line_dedup.insert_documents(line_dedup.build_index(empty(spark)), frame(spark, first + more))
+    assert result(frame(spark, first + more), index) == brute(first + more)
+
+
+def test_full_filters_are_built_anew(spark, monkeypatch):
+    first = [(i, f"line {i} that two will hold, or more\nline {i % 2} of the first ones", "en", "s", 0) for i in range(300)]
+    more = [(1000 + i, f"line {i} that two will hold, or more", "en", "s", 0) for i in range(300)]
+    for keys in (40_000, 20):  # one shard that runs full; many more shards
+        monkeypatch.setattr(line_dedup, "SHARD_KEYS", keys)
+        index = line_dedup.insert_documents(line_dedup.build_index(frame(spark, first)), frame(spark, more))
+        assert result(frame(spark, first + more), index) == brute(first + more)
+        assert index.filters.select("n_shards").first()[0] == (1 if keys == 40_000 else 16)
+
+
+def test_random_sequences_equal_a_fresh_build(spark):
+    rng = random.Random(5)
+    pool = [(i, "\n".join(f"a line number {rng.randrange(25)}" for _ in range(rng.randrange(4))), "en", "s", 0) for i in range(60)]
+    held, index = [], line_dedup.build_index(empty(spark))
+    for _ in range(3):
+        new = [r for r in rng.sample(pool, 20) if r not in held]
+        index, held = line_dedup.insert_documents(index, frame(spark, new)), held + new
+        out = rng.sample(held, len(held) // 3)
+        index, held = line_dedup.delete_documents(index, spark.createDataFrame([(r[0],) for r in out], "doc_id long")), [r for r in held if r not in out]
+        fresh = line_dedup.build_index(frame(spark, held))
+        assert sorted(index.references.collect()) == sorted(fresh.references.collect())
+    assert result(frame(spark, held), index) == brute(held)
