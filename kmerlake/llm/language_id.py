@@ -2,16 +2,20 @@
 
 A document is a TF-IDF vector of letter n-grams (one to three bytes of the folded text, everything but
 letters being one space), hashed into BUCKETS, with log counts and length one. Each language's sample is
-split into CLUSTERS centroids by spherical k-means; the nearest centroid by cosine names the language. A
-document whose distance (1 - cosine) is beyond both the centroid's radius and `reject_distance` is
-rejected: it resembles nothing that was learned.
+split into CLUSTERS centroids by spherical k-means; the nearest centroid by cosine names the language.
+
+Rejection is by distance. A part of the sample that took no part in the clustering tells how near to their
+centroid texts of a length (a power of two of different n-grams) are: a document goes if its cosine is less
+than REJECT_SHARE of that of the LOW_SHARE farthest of them. Texts with fewer than EVIDENCE different
+n-grams (some 100 letters) are too short to tell; they go only if they have no letter.
 
 The classifier is fitted on about SAMPLE_DOCS labelled rows a language, chosen by a hash of the id;
 prediction is over all rows and whole texts.
 
 Defined cases: null text, or text without any letter, is `und` with score 0 and rejected; rows without a
-label are not learned from; with nothing to learn from, all are `und`; ties go to the first centroid by
-language and number; repeated rows are predicted each; other columns pass through or are ignored.
+label are not learned from; a null id is neither learned from nor held out; with nothing to learn from, all
+are `und`; ties go to the first centroid by language and number; repeated rows are predicted each; very long
+texts count whole; other columns pass through or are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from pyspark.sql import types as T
 from kmerlake.llm import scratch
 from kmerlake.llm.columns import add_columns
 from kmerlake.llm.textkit import FOLD, blocks
+from kmerlake.llm.workers import trimmed
 
 BITS = 12
 BUCKETS = 1 << BITS
@@ -36,9 +41,14 @@ ORDERS = (1, 2, 3)
 CLUSTERS = 4
 SWEEPS = 8
 SAMPLE_DOCS = 1000  # a language
-REJECT_DISTANCE = 0.95
+LEAST_CLUSTER = 0.02  # of a language's rows; smaller ones are outliers and no centroid
+HELD_FOR_LIMITS = 5  # one in so many sampled rows
+LOW_SHARE, REJECT_SHARE = 0.01, 0.4
+FLOOR = 0.05  # a cosine below is always rejected
+EVIDENCE = 256
+LEAST_ROWS = 20  # to set a limit by
 UNKNOWN = "und"
-CHUNK = 256  # documents counted at a time
+CHUNK = 128  # documents counted at a time
 
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = _LETTER[128:] = True
@@ -88,7 +98,7 @@ def _vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 class Model:
     languages: list[str]  # of each centroid
     centroids: np.ndarray
-    radii: np.ndarray
+    limits: np.ndarray  # the least cosine by length class
     idf: np.ndarray
 
 
@@ -106,21 +116,45 @@ def _sample(docs: DataFrame, bound: int) -> DataFrame:
     return labelled.join(rates, F.col("lang") == F.col("_lang")).filter(at < F.col("_rate")).select("doc_id", "lang", "text")
 
 
-def _cluster(v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from farthest-first seeds. Centroids, and each row's."""
-    seeds = [0]
-    near = v @ v[0]
+LENGTHS = BITS + 1
+
+
+def _length_class(counts: np.ndarray) -> np.ndarray:
+    """Power of two of the different n-grams of each row."""
+    return np.log2(np.maximum((counts > 0).sum(1), 1)).astype(int)
+
+
+def _limits(cosine: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """By length class, the cosine below which a text is rejected."""
+    out = np.full(LENGTHS, FLOOR)
+    for c in range(int(np.log2(EVIDENCE)), LENGTHS):
+        own = cosine[length == c]
+        out[c] = max(FLOOR, REJECT_SHARE * np.quantile(own, LOW_SHARE)) if len(own) >= LEAST_ROWS else out[c - 1]
+    return out
+
+
+def _cluster(v: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Centroids by spherical k-means: seeds drawn by squared distance (k-means++), clusters of outliers seeded again and left out at the end."""
+    v = v[np.einsum("ij,ij->i", v, v) > 0.5]  # without empty texts
+    if not len(v):
+        return v
+    seeds = [int(rng.integers(len(v)))]
     while len(seeds) < min(k, len(v)):
-        seeds.append(int(np.argmin(near)))
-        near = np.maximum(near, v @ v[seeds[-1]])
-    c, own = v[seeds].copy(), np.zeros(len(v), int)
-    for _ in range(SWEEPS):
+        far = np.clip(1 - (v @ v[seeds].T).max(1), 0, None) ** 2
+        seeds.append(int(rng.choice(len(v), p=far / far.sum())) if far.sum() > 0 else int(rng.integers(len(v))))
+    c = v[seeds].copy()
+    least = max(1, int(LEAST_CLUSTER * len(v)))
+    for sweep in range(SWEEPS + 1):
         own = np.argmax(v @ c.T, axis=1)
+        size = np.bincount(own, minlength=len(c))
+        if sweep == SWEEPS:
+            return c[size >= least] if (size >= least).any() else c
         for j in range(len(c)):
-            if (own == j).any():
+            if size[j] >= least:
                 m = v[own == j].mean(0)
                 c[j] = m / max(float(np.linalg.norm(m)), 1e-12)
-    return c, np.argmax(v @ c.T, axis=1)
+            else:
+                c[j] = v[rng.choice(np.flatnonzero(own == size.argmax()))]
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, clusters: int = CLUSTERS) -> Model:
@@ -135,37 +169,50 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, clusters: int = CLUSTER
                 yield pa.RecordBatch.from_arrays([b.column(i).slice(row, len(counts)) for i in (0, 1)] + lists, ["doc_id", "lang", "place", "n"])
 
     sample = _sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text"), sample_docs)
-    rows = scratch.keep(sample.mapInArrow(sparse, "doc_id long, lang string, place array<int>, n array<int>"), "language-sample")
+    rows = scratch.keep(sample.mapInArrow(trimmed(sparse), "doc_id long, lang string, place array<int>, n array<int>"), "language-sample")
     n = rows.count()
     idf = np.full(BUCKETS, np.log(n + 1.0), np.float32)
     for r in rows.select(F.explode("place").alias("p")).groupBy("p").count().collect():  # a row a bucket
         idf[r["p"]] = np.log((n + 1.0) / (r["count"] + 1.0)) + 0.05
 
-    def centroids(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id")
+    def dense(pdf: pd.DataFrame) -> np.ndarray:
         counts = np.zeros((len(pdf), BUCKETS), np.int64)
         for i, (place, k) in enumerate(zip(pdf["place"], pdf["n"], strict=True)):
             counts[i, place] = k
-        v = _vectors(counts, idf)
-        c, own = _cluster(v, clusters)
-        far = 1 - np.einsum("ij,ij->i", v, c[own])
-        radius = [float(far[own == j].max(initial=0)) for j in range(len(c))]
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "cluster": range(len(c)), "centroid": list(c.astype(float)), "radius": radius})
+        return counts
+
+    def centroids(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["doc_id", "size"])
+        kept = pdf[~pdf["held"]] if len(pdf) >= 2 * HELD_FOR_LIMITS else pdf
+        c = _cluster(_vectors(dense(kept), idf), clusters, np.random.default_rng(len(kept)))
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "cluster": range(len(c)), "centroid": list(c.astype(float))})
 
     # about SAMPLE_DOCS rows a group; a few centroids a language come to the driver
-    found = rows.groupBy("lang").applyInPandas(centroids, "lang string, cluster int, centroid array<double>, radius double").orderBy("lang", "cluster").collect()
+    held = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(HELD_FOR_LIMITS)) == 0
+    split = rows.withColumn("held", held).withColumn("size", F.size("place"))
+    found = split.groupBy("lang").applyInPandas(centroids, "lang string, cluster int, centroid array<double>").orderBy("lang", "cluster").collect()
     stacked = np.array([r["centroid"] for r in found], np.float32).reshape(-1, BUCKETS)
-    return Model([r["lang"] for r in found], stacked, np.array([r["radius"] for r in found], np.float32), idf)
+
+    def nearness(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(0, len(pdf), CHUNK):
+                counts = dense(pdf.iloc[i : i + CHUNK])
+                cosine = (_vectors(counts, idf) @ stacked.T).max(1) if len(stacked) else np.zeros(len(counts))
+                yield pd.DataFrame({"cosine": cosine.astype(float), "length": _length_class(counts)})
+
+    # a fifth of the sample, two numbers a row
+    near = split.filter("held").mapInPandas(nearness, "cosine double, length int").toPandas()
+    return Model([r["lang"] for r in found], stacked, _limits(near["cosine"].to_numpy(), near["length"].to_numpy()), idf)
 
 
-def identify(docs: DataFrame, model: Model, reject_distance: float = REJECT_DISTANCE, prefix: str = "") -> DataFrame:
+def identify(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     """docs and lang_pred, score (the cosine), rejected. Reads the text only."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: pa.Array) -> list[pa.Array]:
         m = sent.value
         best, score = np.zeros(len(texts), int), np.zeros(len(texts), np.float64)
-        letters = np.zeros(len(texts), bool)
+        letters, far = np.zeros(len(texts), bool), np.zeros(len(texts), bool)
         for row, counts in gram_counts(texts):
             end = row + len(counts)
             letters[row:end] = counts.any(1)
@@ -173,12 +220,12 @@ def identify(docs: DataFrame, model: Model, reject_distance: float = REJECT_DIST
                 cosine = _vectors(counts, m.idf) @ m.centroids.T
                 best[row:end] = cosine.argmax(1)
                 score[row:end] = np.clip(cosine.max(1), 0, 1)
+                far[row:end] = score[row:end] < m.limits[_length_class(counts)]
         for i in np.flatnonzero(letters):
             t = texts[int(i)].as_py()
             letters[i] = any(c.isalpha() for c in t[:64]) or any(c.isalpha() for c in t)
         known = letters & bool(m.languages)
         names = np.array([*m.languages, UNKNOWN], object)
-        far = 1 - score > np.maximum(m.radii[best] if m.languages else 0, reject_distance)
         score[~known] = 0
         return [pa.array(names[np.where(known, best, len(names) - 1)].tolist(), pa.string()), pa.array(score), pa.array(~known | far)]
 
