@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from kmerlake.llm import exchange, scratch
 from kmerlake.llm.textkit import FOLD, U64, blocks, mix, owners, words
+from kmerlake.llm.workers import trimmed
 
 VOCABULARY = 1 << 16
 FREQUENT = 1000
@@ -105,7 +106,7 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> np.ndarray:
             top = np.argsort(-n, kind="stable")[: 2 * size]
             yield pa.RecordBatch.from_arrays([pa.array(h[top].view(np.int64)), pa.array(n[top], pa.int64())], ["word", "n"])
 
-    found = docs.filter("train").select("text").mapInArrow(run, "word long, n long")
+    found = docs.filter("train").select("text").mapInArrow(trimmed(run), "word long, n long")
     top = found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size).select("word").toArrow()
     return top.column(0).to_numpy().astype(np.int64).view(U64)
 
@@ -164,7 +165,7 @@ def _count(docs: DataFrame, sent) -> DataFrame:
         at = np.flatnonzero((seen[1:] > 0) & (w.unit < 0))
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), 2, np.int32)), pa.array(at * UNITS + spelled[1:][at]), pa.array(np.ones(len(at), np.int64))], ["kind", "key", "n"])
 
-    found = docs.filter("train").select("text").mapInArrow(run, "kind int, key long, n long")
+    found = docs.filter("train").select("text").mapInArrow(trimmed(run), "kind int, key long, n long")
     return found.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -219,7 +220,7 @@ def _rare(docs: DataFrame, sent, parts: int) -> DataFrame:
             types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["part", "n_items", "n_rows", "words", "items", "keys", "train"])
 
-    return docs.select("doc_id", "text", "train").mapInArrow(run, "part long, n_items long, n_rows long, words binary, items binary, keys binary, train binary")
+    return docs.select("doc_id", "text", "train").mapInArrow(trimmed(run), "part long, n_items long, n_rows long, words binary, items binary, keys binary, train binary")
 
 
 def _rare_shares(rare: DataFrame, width: int) -> DataFrame:
@@ -260,7 +261,7 @@ def _rare_shares(rare: DataFrame, width: int) -> DataFrame:
         types = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["kind", "key", "n", "rows", "share", "known"])
 
-    return rare.repartition(width, "part").mapInArrow(run, "kind int, key long, n long, rows binary, share binary, known binary")
+    return rare.repartition(width, "part").mapInArrow(trimmed(run), "kind int, key long, n long, rows binary, share binary, known binary")
 
 
 def _summed(shares: DataFrame, width: int) -> DataFrame:
@@ -274,7 +275,7 @@ def _summed(shares: DataFrame, width: int) -> DataFrame:
             sums = np.bincount(own, weights=share, minlength=len(keys)), np.bincount(own, weights=known, minlength=len(keys)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *map(pa.array, sums)], ["key", "_share", "_known"])
 
-    return shares.filter("kind = 0").repartition(width, "key").select("rows", "share", "known").mapInArrow(run, "key long, _share double, _known long")
+    return shares.filter("kind = 0").repartition(width, "key").select("rows", "share", "known").mapInArrow(trimmed(run), "key long, _share double, _known long")
 
 
 def _neighbours(counts: DataFrame) -> DataFrame:
@@ -311,7 +312,7 @@ def cluster(counts: DataFrame, classes: int = CLASSES) -> tuple[np.ndarray, np.n
                     t[i, now[unit]] += exchange.class_counts(other[right], n[right], now, size)
             yield pa.RecordBatch.from_arrays([pa.array([t.reshape(-1)], pa.list_(pa.float64()))], ["t"])
 
-        found = near.mapInArrow(run, "t array<double>").collect()
+        found = near.mapInArrow(trimmed(run), "t array<double>").collect()
         return sum((np.array(r["t"]).reshape(-1, size, size) for r in found), np.zeros((len(tried), size, size)))
 
     def moves(now: np.ndarray, t: np.ndarray, least: float) -> list[tuple[float, int, int]]:
@@ -327,7 +328,7 @@ def cluster(counts: DataFrame, classes: int = CLASSES) -> tuple[np.ndarray, np.n
                         gains.append(gain)
             yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(to, pa.int64()), pa.array(gains, pa.float64())], ["unit", "to", "gain"])
 
-        return sorted((-r["gain"], r["unit"], r["to"]) for r in near.mapInArrow(run, "unit long, to long, gain double").collect())
+        return sorted((-r["gain"], r["unit"], r["to"]) for r in near.mapInArrow(trimmed(run), "unit long, to long, gain double").collect())
 
     t = tables([own])[0]
     while True:
@@ -380,7 +381,7 @@ def _texts(docs: DataFrame, model: Model) -> DataFrame:
                 path = np.bincount(owners(ends), weights=m.transition[before, c] - m.emission[c], minlength=n)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids, b.column(2).slice(row, n), pa.array(np.diff(ends), pa.int64()), pa.array(share), pa.array(some), pa.array(path)], ["key", "doc_id", "held_out", "n_tokens", "share", "known", "path"])
 
-    return docs.select("doc_id", "text", "held_out").mapInArrow(run, "key long, doc_id long, held_out boolean, n_tokens long, share double, known long, path double")
+    return docs.select("doc_id", "text", "held_out").mapInArrow(trimmed(run), "key long, doc_id long, held_out boolean, n_tokens long, share double, known long, path double")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from kmerlake.llm.workers import trimmed
+
 
 def add_columns(df: DataFrame, inputs: list[str], added: T.StructType, work: Callable[..., list[pa.Array]], drop: tuple[str, ...] = ()) -> DataFrame:
     """df without `drop` and with the columns that work(*arrays of inputs) makes of each Arrow batch. Names may be repeated, but for the inputs."""
@@ -23,4 +25,4 @@ def add_columns(df: DataFrame, inputs: list[str], added: T.StructType, work: Cal
             made = work(*(b.column(i) for i in at))
             yield pa.RecordBatch.from_arrays([b.column(i) for i in stay] + made, schema.names)
 
-    return df.toDF(*(f"_{i}" for i in range(len(names)))).mapInArrow(run, schema).toDF(*(names[i] for i in stay), *added.names)
+    return df.toDF(*(f"_{i}" for i in range(len(names)))).mapInArrow(trimmed(run), schema).toDF(*(names[i] for i in stay), *added.names)

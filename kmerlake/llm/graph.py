@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kmerlake.llm import scratch
+from kmerlake.llm.workers import trimmed
 
 
 def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,7 +49,7 @@ def _jumped(hooks: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """links: a, b (long). Gives node and root, its component's smallest node, for all nodes but the roots. Links to itself or null are none."""
     live = links.filter("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-    live = scratch.keep(live.mapInArrow(_local_forest, "lo long, hi long").distinct(), "links")
+    live = scratch.keep(live.mapInArrow(trimmed(_local_forest), "lo long, hi long").distinct(), "links")
     forest = None
     while not live.isEmpty():
         hooks = _jumped(scratch.keep(live.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("parent")), "hooks"))

@@ -26,6 +26,7 @@ from kmerlake.llm import scratch
 from kmerlake.llm.alignment import edits
 from kmerlake.llm.license_templates import NOTICES, PHRASES
 from kmerlake.llm.textkit import NOT_ALNUM, blocks, owners, rolling, words
+from kmerlake.llm.workers import trimmed
 
 PHRASE_GRAM, NOTICE_GRAM = 2, 3
 SLACK = 4
@@ -97,7 +98,7 @@ def _scan(docs: DataFrame, t: Templates) -> DataFrame:
                 row += n
 
     schema = "row long, doc_id long, n_words long, hits array<struct<place:long,gram:long>>, zones array<struct<start:long,words:array<long>>>"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), schema)
 
 
 def _template_places(spark: SparkSession, t: Templates) -> DataFrame:
@@ -171,4 +172,4 @@ def scan(docs: DataFrame, templates: Templates | None = None) -> DataFrame:
             )
 
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first:long,end:long,score:double>>"
-    return joined.mapInArrow(verify, schema)
+    return joined.mapInArrow(trimmed(verify), schema)

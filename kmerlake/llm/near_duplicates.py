@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from kmerlake.llm import graph, scratch
 from kmerlake.llm.shingles import bands, fingerprints, folded, odd_sketch, shingle_sets, signatures
 from kmerlake.llm.textkit import blocks, words
+from kmerlake.llm.workers import trimmed
 
 PERCENT = 75
 CHUNK = 256  # members of a bucket, or so, whose sketches meet those of another chunk in one step
@@ -52,7 +53,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                 names = [pa.array(v.view(np.int64), mask=none) for v in (f1, f2)]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), *names, lists], ["doc_id", "n", "f1", "f2", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), "doc_id long, n long, f1 long, f2 long, bands array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                 sets = pa.ListArray.from_arrays(pa.array(of, pa.int32()), pa.array(x.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(of) - 1), sets], ["node", "set"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "node long, set array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), "node long, set array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -85,20 +86,26 @@ def _sketches(sets: DataFrame) -> DataFrame:
             own = [np.asarray(x.values, np.int64).view(np.uint64) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array([odd_sketch(x).tobytes() for x in own], pa.binary())], ["node", "n", "sketch"])
 
-    return sets.mapInArrow(run, "node long, n long, sketch binary")
+    return sets.mapInArrow(trimmed(run), "node long, n long, sketch binary")
 
 
-def _possible(x: list[dict], y: list[dict], percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of members of different components whose sizes and sketches allow a link."""
+def _by_width(members: pa.StructArray) -> dict[int, tuple[np.ndarray, ...]]:
+    """node, root, n and sketch words of the members, by the width of their sketches."""
+    node, root, n, sketch = (members.field(i) for i in range(4))
+    at = np.frombuffer(sketch.buffers()[1], np.int32)[sketch.offset : sketch.offset + len(sketch) + 1].astype(np.int64)
+    data, size = np.frombuffer(sketch.buffers()[2], np.uint8), np.diff(at)
+    out = {}
+    for w in np.unique(size).tolist():
+        own = np.flatnonzero(size == w)
+        bits = np.stack([data[i : i + w] for i in at[own]]).view("<u8")
+        out[w // 8] = (*(x.to_numpy()[own] for x in (node, root, n)), bits)
+    return out
 
-    def by_width(members: list[dict]) -> dict[int, tuple[np.ndarray, ...]]:
-        widths: dict[int, list[dict]] = {}
-        for m in members:
-            widths.setdefault(len(m["sketch"]) // 8, []).append(m)
-        return {w: (*(np.array([m[c] for m in ms], np.int64) for c in ("node", "root", "n")), np.frombuffer(b"".join(m["sketch"] for m in ms), "<u8").reshape(len(ms), w)) for w, ms in widths.items()}
 
-    right = by_width(y)
-    for w, (node, root, n, bits) in by_width(x).items():
+def _possible(x: pa.StructArray, y: pa.StructArray, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of members of different components whose sizes and sketches allow a link."""
+    right = _by_width(y)
+    for w, (node, root, n, bits) in _by_width(x).items():
         for v, (node_, root_, n_, bits_) in right.items():
             a, b = folded(bits, min(v, w)), folded(bits_, min(v, w))
             for i in range(len(node)):
@@ -127,13 +134,13 @@ def _across(mates: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -
         found: set[tuple[int, int]] = set()
         for b in batches:
             for x, y in zip(b.column(0), b.column(1), strict=True):
-                found.update(_possible(x.as_py(), y.as_py(), percent))
+                found.update(_possible(x.values, y.values, percent))
                 if len(found) > 100_000:
                     yield _pairs(found)
                     found = set()
         yield _pairs(found)
 
-    return met.mapInArrow(run, "a long, b long").distinct()
+    return met.mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
 def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerlake.llm import packing_ga, scratch, tokens
+from kmerlake.llm.workers import trimmed
 
 CAPACITY = 1024
 SHARD_ITEMS = 4096
@@ -56,7 +57,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(item + np.arange(len(doc))), names, *(pa.array(x, pa.int64()) for x in (piece, start, end - start, crc))], fields)
                 item += len(doc)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "item long, doc_id long, piece long, start long, length long, ids_crc32 long").withColumn("piece", F.col("piece").cast("int"))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(cut), "item long, doc_id long, piece long, start long, length long, ids_crc32 long").withColumn("piece", F.col("piece").cast("int"))
 
 
 def _islands(shards: DataFrame, level: int, epoch: int, capacity: int) -> DataFrame:
@@ -71,7 +72,7 @@ def _islands(shards: DataFrame, level: int, epoch: int, capacity: int) -> DataFr
                 bins, squares = packing_ga.score(lengths, plan, capacity)
                 yield pa.RecordBatch.from_pydict({"shard": [row["shard"]], "island": [row["island"]], "plan": pa.array([plan], pa.list_(pa.int64())), "bins": [-bins], "squares": [squares]})
 
-    return shards.mapInArrow(run, "shard long, island long, plan array<long>, bins long, squares double")
+    return shards.mapInArrow(trimmed(run), "shard long, island long, plan array<long>, bins long, squares double")
 
 
 def pack_level(items: DataFrame, n_items: int, level: int, capacity: int) -> DataFrame:

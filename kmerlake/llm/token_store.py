@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from kmerlake.llm import tokens
 from kmerlake.llm.wavelet import Shard
+from kmerlake.llm.workers import trimmed
 
 SHARD_TOKENS = 1 << 20
 NO_ID = -(1 << 63)  # stands for a null doc_id in files
@@ -70,7 +71,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, shard_tokens: int
             yield close()
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(write, "part long, place long, n_docs long, n_tokens long").write.parquet(f"{path}/manifest")
+    ordered.mapInArrow(trimmed(write), "part long, place long, n_docs long, n_tokens long").write.parquet(f"{path}/manifest")
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -106,7 +107,7 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> Da
             out += [pa.array([bytes(x) for x in cut], pa.binary())] * with_ids
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in out], fields)
 
-    docs = _shards(spark, path).mapInArrow(read, ", ".join(f"{f} {'binary' if f == 'ids' else 'long'}" for f in fields))
+    docs = _shards(spark, path).mapInArrow(trimmed(read), ", ".join(f"{f} {'binary' if f == 'ids' else 'long'}" for f in fields))
     start = (F.col("start") + F.col("inside")).alias("start")
     return docs.join(manifest(spark, path).select("part", "place", "start"), ["part", "place"]).select("doc_id", start, *fields[4:])
 
@@ -118,7 +119,7 @@ def count_token(spark: SparkSession, path: str, token: int) -> DataFrame:
         for s in _each(batches):
             yield pa.RecordBatch.from_pydict({"part": [s.part], "place": [s.place], "n": [s.count(token)]})
 
-    return _shards(spark, path).mapInArrow(count, "part long, place long, n long")
+    return _shards(spark, path).mapInArrow(trimmed(count), "part long, place long, n long")
 
 
 def locate_token(spark: SparkSession, path: str, token: int) -> DataFrame:
@@ -131,4 +132,4 @@ def locate_token(spark: SparkSession, path: str, token: int) -> DataFrame:
             starts = ends - s.lengths.astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids[doc], mask=s.doc_ids[doc] == NO_ID), pa.array(at - starts[doc], pa.int64())], ["doc_id", "place"])
 
-    return _shards(spark, path).mapInArrow(locate, "doc_id long, place long")
+    return _shards(spark, path).mapInArrow(trimmed(locate), "doc_id long, place long")

@@ -23,9 +23,9 @@ import pyarrow.compute as pc
 from kmerlake.llm.textkit import blocks
 
 END = 2
-KEPT_PIECES = 600_000
-BLOCK_TEXT = 1 << 22
-AT_ONCE = 20_000  # pieces to a call of the library
+KEPT_PIECES = 300_000
+BLOCK_TEXT = 1 << 21
+AT_ONCE = 10_000  # pieces to a call of the library
 
 # What may begin white space: ASCII's, and the lead bytes of Unicode's. A cut less is always right.
 _MAYBE_SPACE = np.zeros(256, bool)
