@@ -31,4 +31,4 @@ def short_name(target: Column, totals_label: str | None = None) -> Column:
 
 
 def depth_label(median: Column) -> Column:
-    return F.when(median > 0, F.format_string("med(abund): %.0f", median.cast("double"))).otherwise("")
+    return F.when(median > 0, F.format_string("med(abund): %.0f", F.bround(median.cast("double"), 0))).otherwise("")

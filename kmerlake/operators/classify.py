@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerlake.operators import sides
+from kmerlake.operators.containment import in_order
 from kmerlake.operators.syncmers import syncmers
 
 AMBIGUOUS, UNCLASSIFIED = "ambiguous", "unclassified"
@@ -35,22 +38,20 @@ def per_sequence(reads: DataFrame, index: DataFrame, groups: DataFrame, k: int,
     one match classifies, several are ambiguous (listed in the groups' order), none is unclassified ('.', '0').
     groups: group_idx, group. Reads without k-mers are unclassified. reads: sample, seq_id (unique in a sample), seq.
     """
-    base = reads.select("sample", "seq_id", F.coalesce(F.length("seq"), F.lit(0)).cast("long").alias("seq_length"))
-    found = syncmers(reads.select("sample", "seq_id", "seq"), k, s, order=order)
-    totals = found.groupBy("sample", "seq_id").agg(F.count("*").alias("seq_kmers"))
-    hits = found.join(sides.bounded(index), "kmer").groupBy("sample", "seq_id", "group_idx").agg(F.count("*").alias("hits"))
-    known = base.join(totals, ["sample", "seq_id"], "left").withColumn("seq_kmers", F.coalesce("seq_kmers", F.lit(0)).cast("long"))
-    if abs_threshold <= 0 and rel_threshold <= 0:
-        # groups without a hit match too
-        every = known.filter("seq_kmers > 0").select("sample", "seq_id").crossJoin(F.broadcast(groups.select("group_idx")))
-        hits = every.join(hits, ["sample", "seq_id", "group_idx"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)).cast("long"))
-    matches = hits.filter(F.col("hits") >= abs_threshold)
-    if rel_threshold > 0:
-        matches = matches.join(totals, ["sample", "seq_id"]).filter(F.col("hits") >= rel_threshold * F.col("seq_kmers"))
-    named = matches.join(F.broadcast(groups.select("group_idx", "group")), "group_idx")
-    # at most one row a group
-    lists = named.groupBy("sample", "seq_id").agg(F.sort_array(F.collect_list(F.struct("group_idx", "group", "hits"))).alias("m"))
-    out = known.join(lists, ["sample", "seq_id"], "left").withColumn("m", F.coalesce("m", F.array().cast("array<struct<group_idx:int,group:string,hits:bigint>>")))
+    empty = F.lit(None).cast("array<int>")
+    base = reads.select("sample", "seq_id", empty.alias("at"), F.lit(0).cast("long").alias("n"), F.coalesce(F.length("seq"), F.lit(0)).cast("long").alias("seq_length"))
+    # a k-mer's groups as one row, so a read's k-mers stay what they are and count once
+    by_kmer = index.groupBy("kmer").agg(F.sort_array(F.collect_set(F.col("group_idx").cast("int"))).alias("at"))
+    found = syncmers(reads.select("sample", "seq_id", "seq"), k, s, order=order).join(sides.bounded(by_kmer), "kmer", "left")
+    sets = found.groupBy("sample", "seq_id", "at").agg(F.count("*").alias("n")).withColumn("seq_length", F.lit(0).cast("long"))
+    # a row for each set of groups that k-mers of the read have
+    per = base.unionByName(sets).groupBy("sample", "seq_id").agg(F.sum("n").alias("seq_kmers"), F.max("seq_length").alias("seq_length"), F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "n"))).alias("_sets"))
+    names = groups.select(F.col("group_idx").cast("int").alias("g"), F.col("group").alias("name"))
+    every = names.agg(F.sort_array(F.collect_list(F.struct("g", "name"))).alias("_every"))  # at most MAX_GROUPS
+    hits_of = lambda g: F.aggregate(F.filter("_sets", lambda x: F.array_contains(x["at"], g)), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    all_hits = F.transform("_every", lambda x: F.struct(x["g"].alias("group_idx"), x["name"].alias("group"), hits_of(x["g"]).alias("hits")))
+    matches = lambda x: (x["hits"] >= abs_threshold) & (F.try_divide(x["hits"], F.col("seq_kmers")) >= rel_threshold)
+    out = per.crossJoin(F.broadcast(every)).withColumn("_all", all_hits).withColumn("m", F.filter("_all", lambda x: F.coalesce(matches(x), F.lit(False))))
     n = F.size("m")
     return out.select(
         "sample", "seq_id",
@@ -81,5 +82,5 @@ def summary(bucketed: DataFrame, groups: DataFrame) -> DataFrame:
     return grid.select("sample", F.col("bucket").alias("group"), pct("seqs").alias("seqs_pct"), "seqs", pct("bases").alias("bases_pct"), "bases", "bucket_idx")
 
 
-def summary_order() -> list:
-    return [F.asc("sample"), F.desc("seqs_pct"), F.asc("bucket_idx")]
+def summary_order(samples: Sequence[str] | None = None) -> list:
+    return [in_order("sample", samples), F.desc("seqs_pct"), F.asc("bucket_idx")]

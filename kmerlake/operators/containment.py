@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerlake.functions import stats
-from kmerlake.operators import sides
+from kmerlake.operators import prefix, sides
 from kmerlake.operators.syncmers import syncmers
 from kmerlake.operators.targets import Targets, distinct_kmers, union_kmers
 from kmerlake.plans.params import MAX_DEPTH, normalise_thresholds
@@ -17,9 +17,18 @@ SORTS = ("containment", "target", "sample", "input")
 
 
 def limit_bases(reads: DataFrame, limit: int, order: Sequence[str], by: str = "sample") -> DataFrame:
-    """Reads of each sample, in order, until its reads before have `limit` bases."""
-    before = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return reads.withColumn("_before", F.coalesce(F.sum(F.length("seq")).over(before), F.lit(0))).filter(F.col("_before") < limit).drop("_before")
+    """Reads of each sample, in order, until its reads before have `limit` bases. The last column of order is an integer.
+
+    Sums go by blocks of records: blocks wholly before the limit stay as they are, those beyond it go, and
+    reads are put in order within the block that reaches it alone.
+    """
+    dealt = prefix.with_block_sums(reads, by, order)
+    inside = Window.partitionBy(by, *order[:-1], prefix.BLOCK).orderBy(order[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    near = dealt.filter(F.col(prefix.BEFORE) < limit)
+    whole = near.filter(F.col(prefix.BEFORE) + F.col(prefix.TOTAL) < limit)
+    last = near.filter(F.col(prefix.BEFORE) + F.col(prefix.TOTAL) >= limit)
+    last = last.withColumn("_inside", F.coalesce(F.sum(F.length("seq")).over(inside), F.lit(0))).filter(F.col(prefix.BEFORE) + F.col("_inside") < limit)
+    return whole.select(*reads.columns).unionByName(last.select(*reads.columns))
 
 
 def abundance(reads: DataFrame, tk: DataFrame, k: int, s: int, order: str | None = None) -> DataFrame:
@@ -59,15 +68,25 @@ def depth_modes(hist: DataFrame) -> DataFrame:
 
 
 def patchiness(tk: DataFrame, samples: DataFrame, abund: DataFrame) -> DataFrame:
-    """sample, target_idx, z, p: do a target's k-mers that were found cluster along it? Over k-mers that stand once in it."""
-    once = tk.withColumn("_n", F.count("*").over(Window.partitionBy("target_idx", "kmer"))).filter("_n = 1").select("target_idx", "pos", "kmer")
-    labelled = once.crossJoin(F.broadcast(samples.select("sample"))).join(abund.select("sample", "kmer", "depth"), ["sample", "kmer"], "left")
-    hit = F.col("depth").isNotNull().cast("int")
-    w = Window.partitionBy("sample", "target_idx").orderBy("pos")
-    runs = labelled.withColumn("hit", hit).withColumn("_turn", F.coalesce((F.col("hit") != F.lag("hit").over(w)).cast("int"), F.lit(1)))
-    sums = runs.groupBy("sample", "target_idx").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"), F.sum("_turn").alias("runs"))
+    """sample, target_idx, z, p: do a target's k-mers that were found cluster along it? Over k-mers that stand once in it.
+
+    Those are numbered once; only the ones that a sample has are joined and put in order, and a gap in their
+    numbers is a run of misses.
+    """
+    place = Window.partitionBy("target_idx").orderBy("pos")
+    once = tk.groupBy("target_idx", "kmer").agg(F.count("*").alias("_n"), F.min("pos").alias("pos")).filter("_n = 1")
+    once = once.select("target_idx", "kmer", F.row_number().over(place).cast("long").alias("i"))
+    sizes = once.groupBy("target_idx").agg(F.count("*").alias("n"))
+    hits = abund.select("sample", "kmer").join(once, "kmer")
+    w = Window.partitionBy("sample", "target_idx").orderBy("i")
+    fresh = F.coalesce((F.col("i") - F.lag("i").over(w) > 1).cast("long"), F.lit(1))
+    per = hits.withColumn("_fresh", fresh).groupBy("sample", "target_idx").agg(F.count("*").alias("hits"), F.sum("_fresh").alias("_runs"), F.min("i").alias("_lo"), F.max("i").alias("_hi"))
+    # few samples by few targets: the report itself
+    sums = sizes.crossJoin(sides.bounded(samples.select("sample"))).join(per, ["sample", "target_idx"], "left")
+    runs = 2 * F.col("_runs") - 1 + (F.col("_lo") > 1).cast("long") + (F.col("_hi") < F.col("n")).cast("long")
+    sums = sums.select("sample", "target_idx", "n", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), F.coalesce(runs, F.lit(1)).cast("long").alias("runs"))
     z = stats.runs_z(F.col("n"), F.col("hits"), F.col("runs"))
-    return sums.select("sample", "target_idx", "n", "hits", "runs", z.alias("z")).withColumn("p", stats.normal_survival(F.col("z")))
+    return sums.withColumn("z", z).withColumn("p", stats.normal_survival(F.col("z")))
 
 
 def containment(targets: Targets, reads: DataFrame, k: int, s: int, thresholds: Sequence[int] = (10,), confidence: bool = False, order: str | None = None, abund: DataFrame | None = None) -> DataFrame:
@@ -78,7 +97,7 @@ def containment(targets: Targets, reads: DataFrame, k: int, s: int, thresholds:
     sizes = td.groupBy("target_idx").agg(F.count("*").alias("target_kmers"))
     per_sample = sample_stats(reads)
     # few samples by few targets: the report itself
-    grid = targets.info.join(sizes, "target_idx", "left").crossJoin(F.broadcast(per_sample))
+    grid = targets.info.join(sizes, "target_idx", "left").crossJoin(sides.bounded(per_sample))
     found = grid.join(_hit_stats(td, abund, thresholds), ["sample", "target_idx"], "left")
     every = [1, *thresholds]
     n = F.coalesce("target_kmers", F.lit(0)).cast("long")
@@ -110,12 +129,20 @@ def with_totals(result: DataFrame, thresholds: Sequence[int]) -> DataFrame:
     return result.withColumn("is_total", F.lit(False)).unionByName(total, allowMissingColumns=True)
 
 
-def report_order(sort: str = "containment") -> list[Column]:
-    """How a report's rows follow: samples in the order given, TOTAL last, ties in the targets' order."""
+def in_order(column: str, given: Sequence[str] | None) -> Column:
+    """Rank of a column's values as given, others behind; by name if nothing is given."""
+    if given is None:
+        return F.asc(column)
+    at = F.array_position(F.array(*map(F.lit, given)), F.col(column))
+    return F.when(at > 0, at).otherwise(F.lit(len(given) + 1)).asc()
+
+
+def report_order(sort: str = "containment", samples: Sequence[str] | None = None) -> list[Column]:
+    """How a report's rows follow: samples in the order given (else by name), TOTAL last, ties in the targets' order."""
     if sort not in SORTS:
         raise ValueError(f"sort is one of {', '.join(SORTS)}, not {sort!r}")
     inner = {"containment": [F.desc("containment1")], "target": [F.asc("target")], "sample": [F.asc("target")], "input": []}[sort]
-    return [F.asc("sample"), F.asc("is_total"), *inner, F.asc_nulls_last("target_idx")]
+    return [in_order("sample", samples), F.asc("sample"), F.asc("is_total"), *inner, F.asc_nulls_last("target_idx")]
 
 
 def found_kmers(abund: DataFrame) -> DataFrame:

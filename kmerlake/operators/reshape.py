@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kmerlake.operators import sides
+
+LEVEL = "containment"
+
+
+def levels(report: DataFrame) -> dict[int, str]:
+    """Depth threshold and column of each containment share that a report has, ascending."""
+    rest = {c: c.removeprefix(LEVEL) for c in report.columns if c.startswith(LEVEL)}
+    return dict(sorted((int(t), c) for c, t in rest.items() if t.isdecimal()))
+
 
 def decay(report: DataFrame, ids: Sequence[str] = ("target", "sample")) -> DataFrame:
-    """ids, threshold, containment: a row for each containment{N} column; values that are no numbers go."""
-    found = sorted((int(m[1]), c) for c in report.columns if (m := re.fullmatch(r"containment(\d+)", c)))
-    if len(found) < 2:
-        raise ValueError("a decay needs at least 2 containment<N> columns")
-    text = report.select(*ids, *(F.col(c).cast("string").alias(c) for _, c in found))
-    long = text.unpivot(list(ids), [c for _, c in found], "_column", "_value")
-    value = F.expr("try_cast(_value AS DOUBLE)")
-    return long.select(*ids, F.regexp_extract("_column", r"(\d+)$", 1).cast("int").alias("threshold"), value.alias("containment")).filter(F.col("containment").isNotNull())
+    """ids, threshold, containment: a row for each depth threshold of a report; values that are no numbers go."""
+    by = levels(report)
+    if len(by) < 2:
+        raise ValueError(f"one depth threshold shows no decay; the report has {list(by)}")
+    points = F.array(*(F.struct(F.lit(t).alias("threshold"), F.expr(f"try_cast(`{c}` AS DOUBLE)").alias("containment")) for t, c in by.items()))
+    return report.select(*ids, F.inline(points)).filter(F.col("containment").isNotNull())
 
 
 def first_appearance(df: DataFrame, column: str, order: str) -> DataFrame:
@@ -25,10 +32,11 @@ def first_appearance(df: DataFrame, column: str, order: str) -> DataFrame:
     first = df.groupBy(column).agg(F.min(order).alias("_first"))
     # one row a distinct value
     ranked = first.withColumn(f"{column}_order", F.row_number().over(Window.orderBy("_first")) - 1).drop("_first")
-    return df.join(F.broadcast(ranked), column)
+    return df.join(sides.bounded(ranked), column)
 
 
 def only_samples(report: DataFrame, samples: Sequence[str] | None = None, totals: bool = False) -> DataFrame:
-    """Rows of the named samples, with or without TOTAL rows."""
-    kept = report if totals else report.filter(F.col("target") != "TOTAL")
+    """Rows of the named samples: the TOTAL rows alone, or all but those."""
+    is_total = F.col("target") == "TOTAL"
+    kept = report.filter(is_total if totals else ~is_total)
     return kept.filter(F.col("sample").isin(list(samples))) if samples else kept

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerlake.functions import dna
-from kmerlake.operators import sides
+from kmerlake.operators import prefix, sides
 from kmerlake.operators.syncmers import syncmers
 
 
@@ -24,8 +24,10 @@ class Targets:
 
 def merge_records(records: DataFrame) -> DataFrame:
     """records: target, file_idx, rec_idx, seq. Adds offset: the length of the target's records before."""
-    before = Window.partitionBy("target").orderBy("file_idx", "rec_idx").rowsBetween(Window.unboundedPreceding, -1)
-    return records.withColumn("offset", F.coalesce(F.sum(F.length("seq")).over(before), F.lit(0)).cast("long"))
+    dealt = prefix.with_block_sums(records, "target", ["file_idx", "rec_idx"])
+    inside = Window.partitionBy("target", "file_idx", prefix.BLOCK).orderBy("rec_idx").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.col(prefix.BEFORE) + F.coalesce(F.sum(F.length("seq")).over(inside), F.lit(0))
+    return dealt.withColumn("offset", offset.cast("long")).drop(prefix.BLOCK, prefix.BEFORE, prefix.TOTAL)
 
 
 def build(records: DataFrame, k: int, s: int, fraction: float = 1.0, order: str | None = None) -> Targets:

@@ -241,6 +241,14 @@ def sort_input(spark, d):
     return _sorted(spark, d, "input")
 
 
+@_query
+def sort_samples_given(spark, d):
+    """Samples in an order of the caller's, those not named behind."""
+    rows = Q.with_totals(_containment(spark, d), THRESHOLDS)
+    rank = F.row_number().over(Window.orderBy(*Q.report_order("target", ["fr", "en"])))
+    return rows.select(rank.cast("long").alias("rank"), "sample", "target")
+
+
 @_query
 def wilson_ci(spark, d):
     lo, hi = stats.wilson(F.col("containment1_hits"), F.col("target_kmers"))
@@ -359,6 +367,12 @@ def classify_rel_threshold(spark, d):
     return _per_seq(spark, d, abs_threshold=2, rel_threshold=0.05)
 
 
+@_query
+def classify_rel_exact(spark, d):
+    """A share that many reads have exactly: the quotient is what is compared."""
+    return _per_seq(spark, d, rel_threshold=1 / 3)
+
+
 @_query
 def classify_abs0(spark, d):
     return _per_seq(spark, d, abs_threshold=0)
@@ -391,7 +405,25 @@ def lenhist_all(spark, d):
 
 @_query
 def lenhist_bins(spark, d):
-    return _rounded(L.binned(L.histogram(L.all_in_one(tables.reads(spark, d, "source"))), 500, 0, 20000))
+    return _rounded(L.binned(L.histogram(L.all_in_one(tables.reads(spark, d, "source"))), 500))
+
+
+@_query
+def lenhist_bins_range(spark, d):
+    """Bins whose start is within 250 and 3000 and that have two reads or more."""
+    return _rounded(L.binned(L.histogram(L.all_in_one(tables.reads(spark, d, "source"))), 500, 250, 3000, least=0.004, most=0.5))
+
+
+@_query
+def lenhist_order(spark, d):
+    h = L.histogram(C.buckets(_per_seq(spark, d)))
+    w = Window.partitionBy("sample").orderBy(*L.histogram_order([f"group{i}" for i in range(tables.N_GROUPS)])[1:])
+    return h.select("sample", F.row_number().over(w).cast("long").alias("rank"), "group", "length")
+
+
+@_query
+def kde_range(spark, d):
+    return _rounded(L.kde(L.histogram(L.all_in_one(tables.turns(spark, d))), 20, 30.0, 50, 400), 6)
 
 
 @_query
@@ -417,6 +449,13 @@ def short_names(spark, d):
     return out.select("sample", "target", text.short_name(F.col("target"), "All targets").alias("display_name"), text.depth_label(F.col("median_nz_abundance")).alias("depth_label"))
 
 
+@_query
+def plot_totals(spark, d):
+    """The TOTAL rows alone, for the samples asked for."""
+    out = reshape.only_samples(Q.with_totals(_containment(spark, d), THRESHOLDS), ["en", "de"], totals=True)
+    return _rounded(out.select("sample", "target", "target_kmers", "containment1_hits", "containment1"))
+
+
 @_query
 def plot_prep(spark, d):
     out = reshape.only_samples(Q.with_totals(_containment(spark, d), THRESHOLDS), ["en", "de"])

@@ -112,7 +112,7 @@ gk AS MATERIALIZED (SELECT * FROM {"gd" if index == "gd" else "gk0"}),
 n AS (SELECT id, count(*)::BIGINT AS n FROM rk GROUP BY 1),
 hh AS (SELECT id, g, count(*)::BIGINT AS hits FROM rk JOIN gk USING (kmer) GROUP BY ALL),
 ev AS ({every}),
-ma AS (SELECT * FROM ev WHERE hits >= {abs_threshold} AND hits >= {rel} * n),
+ma AS (SELECT * FROM ev WHERE hits >= {abs_threshold} AND hits / n::DOUBLE >= {rel!r}::DOUBLE),
 li AS (SELECT id, count(*) AS m, string_agg('group' || g, ',' ORDER BY g) AS gs, string_agg(hits::VARCHAR, ',' ORDER BY g) AS hs FROM ma GROUP BY 1),
 ps AS MATERIALIZED (SELECT r.sample, r.id AS seq_id, CASE WHEN m = 1 THEN 'classified' WHEN m > 1 THEN 'ambiguous' ELSE 'unclassified' END AS classification,
   coalesce(gs, '.') AS "group", coalesce(hs, '0') AS hits, coalesce(n.n, 0)::BIGINT AS seq_kmers, length(r.seq)::BIGINT AS seq_length
@@ -155,6 +155,9 @@ _X = "((l_extendedprice - 30000) / 10000)"
 _MU = "(l_quantity / 10)"
 _DISC = "SELECT target, pos AS position, kmer FROM {0} WHERE kmer IN (SELECT kmer FROM {0} GROUP BY 1 HAVING count(DISTINCT g) = 1)"
 
+_BINS = f"""WITH r AS (SELECT source AS sample, length({dna("text")})::BIGINT AS length FROM documents),
+b AS (SELECT sample, (length // 500 * 500)::BIGINT AS bin, count(*)::BIGINT AS n, count(*) / 500.0::DOUBLE AS density FROM r GROUP BY 1, 2)"""
+
 ORACLES: dict[str, str] = {
     "syncmers_documents": f"WITH {READS}\nSELECT id AS seq_id, pos, kmer FROM rk",
     "syncmers_positions": f"WITH {TARGETS}\n{DUMP_T}",
@@ -187,6 +190,7 @@ ORACLES: dict[str, str] = {
     "sort_containment": _sort("c1 DESC, "),
     "sort_target": _sort("target, "),
     "sort_input": _sort(""),
+    "sort_samples_given": _sort("target, ").replace("ORDER BY sample", "ORDER BY CASE sample WHEN 'fr' THEN 1 WHEN 'en' THEN 2 ELSE 3 END, sample"),
     "wilson_ci": f"WITH {FULL}\nSELECT sample, target, {_R8((_LO, 'lo'), (_HI, 'hi'))} FROM c",
     "wilson_orders": f"WITH c AS (SELECT o_custkey, count(*)::BIGINT AS n, count(*) FILTER (o_orderstatus = 'F')::BIGINT AS h1 FROM orders GROUP BY 1)\nSELECT o_custkey, h1 AS x, n, {_R8((_LO, 'lo'), (_HI, 'hi'))} FROM c",
     "erf_survival": f"SELECT l_orderkey, l_linenumber, {_R8((erf(_X), 'erf'), (survival(_X), 'survival'))} FROM lineitem",
@@ -226,16 +230,23 @@ SELECT sample, seq_id, length::INT AS length FROM b WHERE before < 20000""",
     "classify_abs0": f"WITH {classified(BY_SOURCE, abs_threshold=0)}\nSELECT * FROM ps",
     "classify_summary": f'WITH {classified(BY_SOURCE)},\n{SUMMARY}\nSELECT sample, "group", seqs, bases, {_R8(("seqs_pct", "seqs_pct"), ("bases_pct", "bases_pct"))} FROM su',
     "classify_summary_order": f'WITH {classified(BY_SOURCE)},\n{SUMMARY}\nSELECT sample, row_number() OVER (PARTITION BY sample ORDER BY seqs_pct DESC, i)::BIGINT AS rank, "group" FROM su',
+    "classify_rel_exact": f"WITH {classified(BY_SOURCE, rel=1 / 3)}\nSELECT * FROM ps",
     "lenhist": f"WITH {classified(BY_SOURCE)},\n{lenhist('bu')}\nSELECT * FROM lh",
     "lenhist_all": f"WITH {ALL_TURNS}\nSELECT * FROM lh",
-    "lenhist_bins": f"""WITH r AS (SELECT source AS sample, 'all' AS bucket, length({dna("text")})::BIGINT AS seq_length FROM documents),
-{lenhist("r")}
-SELECT sample, "group", (length // 500 * 500)::BIGINT AS bin, sum(count)::BIGINT AS n, round(sum(count) / 500.0::DOUBLE, 8) AS density FROM lh WHERE length BETWEEN 0 AND 20000 GROUP BY 1, 2, 3""",
+    "lenhist_bins": f"{_BINS}\nSELECT sample, bin, n, round(density, 8) AS density FROM b",
+    "lenhist_bins_range": f"{_BINS}\nSELECT sample, bin, n, round(density, 8) AS density FROM b WHERE bin BETWEEN 250 AND 3000 AND density BETWEEN 0.004 AND 0.5",
+    "lenhist_order": f"WITH {classified(BY_SOURCE)},\n{lenhist('bu')},\ng AS (SELECT *, CASE \"group\" WHEN 'ambiguous' THEN 4 WHEN 'unclassified' THEN 5 ELSE substr(\"group\", 6)::INT END AS i FROM lh)\nSELECT sample, row_number() OVER (PARTITION BY sample ORDER BY i, length)::BIGINT AS rank, \"group\", length FROM g",
     "kde": f"""WITH {ALL_TURNS},
 b AS (SELECT sample, length, sum(count)::BIGINT AS w FROM lh GROUP BY ALL),
 f AS (SELECT sample, sum(w) AS n, min(length) AS lo, max(length) AS hi, sum(w * length) AS s1, sum(w * length * length) AS s2 FROM b GROUP BY 1),
 g AS (SELECT sample, lo, hi, sqrt((s2 - s1::DOUBLE * s1 / n) / (n - 1)) * pow(n::DOUBLE, -0.2) AS h FROM f WHERE n > 1 AND lo < hi),
 p AS (SELECT *, i, lo + (hi - lo) * i / 49.0::DOUBLE AS x FROM g, range(50) q(i))
+SELECT p.sample, p.i::INT AS i, round(p.x, 6) AS x, round(sum(b.w * exp(-((p.x - b.length) / p.h) * ((p.x - b.length) / p.h) / 2)) / (p.h * sqrt(2 * pi())), 6) AS density FROM p JOIN b ON b.sample = p.sample GROUP BY p.sample, p.i, p.x, p.h""",
+    "kde_range": f"""WITH {ALL_TURNS},
+b AS (SELECT sample, length, sum(count)::BIGINT AS w FROM lh WHERE length BETWEEN 50 AND 400 GROUP BY ALL),
+f AS (SELECT sample, sum(w) AS n, min(length) AS lo, max(length) AS hi, sum(w * length) AS s1, sum(w * length * length) AS s2 FROM b GROUP BY 1),
+g AS (SELECT sample, lo, hi, 30.0::DOUBLE AS h FROM f WHERE n > 1 AND lo < hi),
+p AS (SELECT *, i, lo + (hi - lo) * i / 19.0::DOUBLE AS x FROM g, range(20) q(i))
 SELECT p.sample, p.i::INT AS i, round(p.x, 6) AS x, round(sum(b.w * exp(-((p.x - b.length) / p.h) * ((p.x - b.length) / p.h) / 2)) / (p.h * sqrt(2 * pi())), 6) AS density FROM p JOIN b ON b.sample = p.sample GROUP BY p.sample, p.i, p.x, p.h""",
     "unpivot_decay": f"""WITH {FULL},
 {TOTALS}
@@ -246,7 +257,8 @@ UNION ALL SELECT source, count(*)::BIGINT, sum(length({dna("text")}))::BIGINT, '
     "short_names": f"""WITH {FULL},
 {TOTALS}
 SELECT sample, target, CASE WHEN target = 'TOTAL' THEN 'All targets' WHEN target LIKE '% %' THEN substr(target, instr(target, ' ') + 1) ELSE target END AS display_name,
-  CASE WHEN med > 0 THEN 'med(abund): ' || (CASE WHEN med = floor(med) + 0.5 THEN ceil(med) ELSE round(med) END)::BIGINT ELSE '' END AS depth_label FROM tot""",
+  CASE WHEN med > 0 THEN 'med(abund): ' || round_even(med, 0)::BIGINT ELSE '' END AS depth_label FROM tot""",
+    "plot_totals": f"WITH {FULL},\n{TOTALS}\nSELECT sample, target, n AS target_kmers, h1 AS containment1_hits, round(c1, 8) AS containment1 FROM tot WHERE is_total AND sample IN ('en', 'de')",
     "plot_prep": f"""WITH {FULL},
 p AS (SELECT * FROM c WHERE sample IN ('en', 'de'))
 SELECT sample, target, (dense_rank() OVER (ORDER BY id) - 1)::INT AS target_idx, round(c1, 8) AS containment1, (SELECT count(DISTINCT sample) FROM p)::BIGINT AS n_samples FROM p""",

@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out if its files have fewer row groups than there are cores: what follows is work by row. Large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """target_idx, target, seq: each benchmark item."""
     name = F.concat(F.lit("item "), F.col("item_id").cast("string"))
@@ -37,9 +43,9 @@ def group_names(spark: SparkSession) -> DataFrame:
 
 def reads(spark: SparkSession, sf_dir: str, sample: str = "lang") -> DataFrame:
     """sample, seq_id, seq: each document."""
-    return table(spark, sf_dir, "documents").select(F.col(sample).alias("sample"), F.col("doc_id").alias("seq_id"), text_as_dna("text").alias("seq"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", sample, "text")).select(F.col(sample).alias("sample"), F.col("doc_id").alias("seq_id"), text_as_dna("text").alias("seq"))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sample, conv_id, turn, seq: each turn of a conversation."""
-    return table(spark, sf_dir, "conversations").select(F.col("role").alias("sample"), "conv_id", "turn", text_as_dna("text").alias("seq"))
+    return spread(table(spark, sf_dir, "conversations")).select(F.col("role").alias("sample"), "conv_id", "turn", text_as_dna("text").alias("seq"))

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from kmerlake.operators import sides
 from kmerlake.operators import targets as T
 
 VERSION = 1
@@ -73,7 +74,7 @@ def load_targets(spark: SparkSession, path: str, fraction: float | None = None,
     if fraction is not None and fraction != found.meta["fraction"]:
         raise ValueError(f"The index was built with fraction {found.meta['fraction']}, not {fraction}")
     kmers = found.kmers if "pos" in found.kmers.columns else found.kmers.withColumn("pos", F.lit(None).cast("long"))
-    named = kmers.join(F.broadcast(found.names.select("target_idx", "target")), "target_idx")
+    named = kmers.join(sides.bounded(found.names.select("target_idx", "target"), found.meta["n_names"]), "target_idx")
     return T.Targets(found.names, named.select("target_idx", "target", "pos", "kmer")), found.meta
 
 

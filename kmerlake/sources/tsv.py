@@ -32,7 +32,7 @@ def patchiness_text(z: float | None, p: float | None) -> str:
     return f"{z:.1f}|{mantissa}e{int(exponent)}"
 
 
-def report_lines(result: DataFrame, thresholds: Sequence[int], confidence: bool = False, totals: bool = True, sort: str = "containment") -> Iterator[str]:
+def report_lines(result: DataFrame, thresholds: Sequence[int], confidence: bool = False, totals: bool = True, sort: str = "containment", samples: Sequence[str] | None = None) -> Iterator[str]:
     """result: operators.containment.containment()."""
     extra = normalise_thresholds(thresholds)
     rows = containment.with_totals(result, thresholds) if totals else result.withColumn("is_total", F.lit(False))
@@ -41,7 +41,7 @@ def report_lines(result: DataFrame, thresholds: Sequence[int], confidence: bool
         head += [f"containment{t}", f"containment{t}_hits"] + [f"containment{t}_ci"] * confidence
     head += ["median_nz_abundance", "target_kmers", "target_length", "sample_seqs", "sample_bases"]
     yield "\t".join(head)
-    for r in rows.orderBy(*containment.report_order(sort)).toLocalIterator():
+    for r in rows.orderBy(*containment.report_order(sort, samples)).toLocalIterator():
         ci = lambda t: interval_text(r[f"containment{t}_lo"], r[f"containment{t}_hi"])  # noqa: B023, E731
         out = [r["target"], r["sample"], ratio_text(r["containment1"]), str(r["containment1_hits"])]
         out += [ci(1), patchiness_text(r["patchiness_z"], r["patchiness_p"]), ratio_text(r["ani_est"])] if confidence else []
@@ -51,10 +51,10 @@ def report_lines(result: DataFrame, thresholds: Sequence[int], confidence: bool
         yield "\t".join([*out, "-" if median is None else f"{median:.0f}", *(str(r[c]) for c in head[-4:])])
 
 
-def summary_lines(summary: DataFrame) -> Iterator[str]:
+def summary_lines(summary: DataFrame, samples: Sequence[str] | None = None) -> Iterator[str]:
     head = ["sample", "group", "seqs_pct", "seqs", "bases_pct", "bases"]
     yield "\t".join(head)
-    for r in summary.orderBy(*classify.summary_order()).toLocalIterator():
+    for r in summary.orderBy(*classify.summary_order(samples)).toLocalIterator():
         yield "\t".join([r["sample"], r["group"], f"{r['seqs_pct']:.3f}", str(r["seqs"]), f"{r['bases_pct']:.3f}", str(r["bases"])])
 
 

@@ -110,3 +110,7 @@ def test_params():
         params.check_sample_names(["a", "a"])
     with pytest.raises(ValueError, match="Too many groups"):
         params.check_groups(129)
+
+
+def test_halves_of_depth_labels_go_to_even(spark):
+    assert [value(spark, text.depth_label(F.lit(x))) for x in (0.0, 0.5, 1.5, 2.5, 3.5)] == ["", "med(abund): 0", "med(abund): 2", "med(abund): 2", "med(abund): 4"]

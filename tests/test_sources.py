@@ -99,3 +99,15 @@ def test_background(tmp_path):
     assert [os.path.relpath(p, tmp_path) for p in paths.background([str(tmp_path)])] == ["a/b/y.fasta.gz", "a/x.fq", "z.fa"]
     with pytest.raises(ValueError):
         paths.background([str(tmp_path / "missing")])
+
+
+def test_endings_take_one_compression():
+    assert all(paths.is_fastx(f"x{a}{c}") for a in paths.FASTX_ENDINGS for c in ("", *paths.COMPRESSIONS))
+    assert not any(paths.is_fastx(n) for n in ("x.fa.zst.gz", "x.gz", "x.fa.bz2", "fa", "x.fa.txt"))
+
+
+def test_background_skips_hidden_folders(tmp_path):
+    for name in ("a.fa", "in/b.fq.gz", ".hidden/c.fa", "in/.git/d.fa", "in/.e.fa", "in/deep/f.fasta"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(">x\nACGT\n")
+    assert [os.path.relpath(p, tmp_path) for p in paths.background([str(tmp_path)])] == ["a.fa", "in/b.fq.gz", "in/deep/f.fasta"]
