@@ -3,13 +3,16 @@
 Every rolling word k-gram of a text that some template has is joined with its places in the templates. A
 hit votes for a diagonal (place in the text minus place in the template); diagonals of one template no
 farther apart than `slack` words are one candidate span, and spans with enough votes are verified by
-aligning the words there with the template's, of which `allowed` may differ. Phrases use k = 2 and one diagonal in full; notices k = 3.
+aligning the words there with the template's, of which `allowed` may differ. As a word that differs costs
+k grams at most, a span needs no more votes than are left then. Phrases use k = 2 and one diagonal in
+full; notices k = 3.
 
-Grams that no template has are left out while the words are cut, by the same hashes that are joined.
+Most grams that no template has are left out while the words are cut, by a table of 2^MARK_BITS marks that
+has no false negatives; the join decides.
 
 Defined cases: null text is empty; a text without hits has no labels, null places and score 0; every row
-is scanned by itself, so repeated rows and ids give repeated results; other columns are ignored; an
-empty table gives no rows.
+is scanned by itself, so repeated rows and ids give repeated results, and a null id stays null; very long
+texts are scanned whole; other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from kmerlake.llm.workers import trimmed
 
 PHRASE_GRAM, NOTICE_GRAM = 2, 3
 SLACK = 4
-MIN_VOTES = 0.4  # of a notice's grams, to be verified
+MARK_BITS = 20
 SHORT = 10  # words
 BROADCAST_GRAMS = 200_000
 
@@ -75,8 +78,8 @@ def _scan(docs: DataFrame, t: Templates) -> DataFrame:
         row = TaskContext.get().partitionId() << 33
         tables = {}
         for k, grams in known.items():
-            tables[k] = np.zeros(1 << 16, bool)
-            tables[k][(grams & np.uint64(0xFFFF)).astype(np.int64)] = True
+            tables[k] = np.zeros(1 << MARK_BITS, bool)
+            tables[k][(grams >> np.uint64(64 - MARK_BITS)).astype(np.int64)] = True
         hit_type = pa.list_(pa.struct([("place", pa.int64()), ("gram", pa.int64())]))
         zone_type = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.list_(pa.int64()))]))
         for batch in batches:
@@ -84,10 +87,10 @@ def _scan(docs: DataFrame, t: Templates) -> DataFrame:
                 h, _, _, of = words(data, at, NOT_ALNUM)
                 doc, n = owners(of), len(of) - 1
                 hits: list[list[dict]] = [[] for _ in range(n)]
-                for k, grams in known.items():
+                for k in known:
                     g = rolling(h, k)
-                    maybe = np.flatnonzero(tables[k][(g & np.uint64(0xFFFF)).astype(np.int64)])
-                    maybe = maybe[(doc[maybe] == doc[maybe + k - 1]) & np.isin(g[maybe], grams)]
+                    maybe = np.flatnonzero(tables[k][(g >> np.uint64(64 - MARK_BITS)).astype(np.int64)])
+                    maybe = maybe[doc[maybe] == doc[maybe + k - 1]]
                     for d, p, x in zip(doc[maybe].tolist(), maybe.tolist(), g[maybe].view(np.int64).tolist(), strict=True):
                         hits[d].append({"place": p - int(of[d]), "gram": x})
                 around = [zones(h[of[d] : of[d + 1]], np.array([x["place"] for x in hits[d]])) if hits[d] else None for d in range(n)]
@@ -134,10 +137,12 @@ def scan(docs: DataFrame, templates: Templates | None = None) -> DataFrame:
     votes = scratch.keep(diagonals(scanned, t), "license-votes")
     grams = {i: len(w) - t.gram(i) + 1 for i, w in enumerate(t.words)}
     needed = F.element_at(F.create_map(*(F.lit(x) for kv in grams.items() for x in kv)), F.col("template"))
+    left = {i: max(1, n - NOTICE_GRAM * allowed(len(t.words[i]))) for i, n in grams.items()}
+    enough = F.element_at(F.create_map(*(F.lit(x) for kv in left.items() for x in kv)), F.col("template"))
     phrase = votes.filter((F.col("template") < t.n_phrases) & (F.col("votes") == needed)).groupBy("row").agg(
         F.count("*").alias("n_base"), F.min("diagonal").alias("first_word"), F.max("diagonal").alias("last_word"), F.collect_set("template").alias("phrases")
     )
-    notice = spans(votes.filter(F.col("template") >= t.n_phrases)).filter(F.col("votes") >= F.ceil(needed * F.lit(MIN_VOTES)))
+    notice = spans(votes.filter(F.col("template") >= t.n_phrases)).filter(F.col("votes") >= enough)
     notice = notice.groupBy("row").agg(F.collect_list(F.struct("template", "lo", "hi")).alias("candidates"))
     joined = scanned.drop("hits").join(phrase, "row", "left").join(notice, "row", "left")
 

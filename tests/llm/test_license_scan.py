@@ -1,3 +1,4 @@
+import random
 import re
 
 from kmerlake.llm import license_scan
@@ -31,3 +32,39 @@ def test_edited_notice_is_found_and_random_text_is_not(spark):
 
 def test_empty(spark):
     assert license_scan.scan(empty(spark)).count() == 0
+
+
+def brute_labels(text, t):
+    """Base labels, and each notice that stands somewhere with no more words differing than it may; and the best share."""
+    h = license_scan._hashes(text or "")
+    base = {t.labels[i] for i in range(t.n_phrases) if any((h[a : a + len(t.words[i])] == t.words[i]).all() for a in range(len(h) - len(t.words[i]) + 1))}
+    found, best = set(base), float(bool(base))
+    for i in range(t.n_phrases, len(t.words)):
+        n = len(t.words[i])
+        e = license_scan.edits(t.words[i], h, license_scan.allowed(n))
+        if e <= license_scan.allowed(n):
+            found.add(t.labels[i])
+            best = max(best, 1 - e / n)
+    return ",".join(sorted(base)), ",".join(sorted(found)), best
+
+
+def test_labels_and_score_equal_brute_force(spark):
+    """Notices with words exchanged at random, as many as they may and one more; all in full beside the corpus."""
+    rng = random.Random(6)
+    t = license_scan.Templates()
+    rows = list(corpus(40))
+    for i, (_, notice) in enumerate(license_scan.NOTICES):
+        n = len(notice.split())
+        for e in {0, license_scan.allowed(n), license_scan.allowed(n) + 1}:
+            w = notice.split()
+            for at in rng.sample(range(1, n - 1), e):
+                w[at] = f"changed{at}"
+            rows.append((9000 + 10 * i + e % 10, "Some words before. " + " ".join(w).upper() + ".\nAnd after", "en", "s", 0))
+    rows.append((9999, "mit license " * 3 + "word " * 300_000 + license_scan.NOTICES[1][1], "en", "s", 0))
+    docs = frame(spark, rows).selectExpr("*", "1 AS row", "'x' AS hits", "2 AS zones", "3 AS template")
+    got = sorted(((r["doc_id"], r["base_labels"], r["labels"], round(r["score"], 9)) for r in license_scan.scan(docs).collect()), key=str)
+    want = []
+    for d, text, *_ in rows:
+        base, every, best = brute_labels(text if d != 9999 else "mit license " * 3 + "word " * 50 + license_scan.NOTICES[1][1], t)
+        want.append((d, base, every, round(best, 9)))
+    assert got == sorted(want, key=str)
