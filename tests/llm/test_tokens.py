@@ -124,3 +124,16 @@ def test_packing_pieces_hold_the_ids(spark):
 
 def test_packing_empty(spark):
     assert packing.pack_documents(empty(spark)).count() == 0
+
+
+def test_long_shards_answer_from_their_blocks():
+    rng = np.random.default_rng(4)
+    ids = np.concatenate([rng.integers(0, 50_257, 4000), np.full(3000, 17), rng.integers(0, 40, 5120 - 7000 % 5120)]).astype(np.uint32)
+    s = Shard.from_bytes(Shard.build(ids, np.array([7]), np.array([len(ids)])).to_bytes())
+    assert (s.decode() == ids).all()
+    some = rng.integers(0, len(ids), 500)
+    assert (s.access(some) == ids[some]).all()
+    for t in (17, 3, 39, 50_000, int(ids[0]), int(ids[-1])):
+        assert s.locate(t).tolist() == np.flatnonzero(ids == t).tolist()
+        for end in (0, 511, 512, 513, 5000, len(ids)):
+            assert s.count(t, end) == int((ids[:end] == t).sum())
