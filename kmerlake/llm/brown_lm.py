@@ -1,10 +1,12 @@
 """Brown class-based bigram model, trained and applied by Spark jobs.
 
-A word's probability is P(class | class before) * P(word | class). Units of clustering are the `FREQUENT`
-most frequent words, each by itself, and `GROUPS` groups of all other words by spelling (length and last
-letters); exchange clustering assigns units to classes by the counts of all their bigrams, so every word
-of the corpus has a class and every training token counts. The end of a text is a class of its own and
-also stands before its first word.
+A word's probability is P(class | class before) * P(word | class). Exchange clustering assigns words to
+classes in two steps. First until no unit gains: units are the `FREQUENT` most frequent words, each by
+itself, and `GROUPS` groups of all other words by spelling (length and last letters). Then all `VOCABULARY`
+words that were seen `LEAST` times or more are exchanged one by one (`assign`), `SWEEPS` scans of the
+training texts long. Words outside the vocabulary have their group's class. So every word of the corpus has
+a class and every training token counts. The end of a text is a class of its own and also stands before
+its first word.
 
 Counts of all words are exact. Those of the `VOCABULARY` words that are most frequent by the tasks' own
 counts are summed map-side and broadcast (a fixed number of rows); every other word is shuffled once, in
@@ -19,8 +21,9 @@ learn from, all counts are 0; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,11 @@ VOCABULARY = 1 << 16
 FREQUENT = 1000
 GROUPS = 256
 CLASSES = 32
+LEAST = 5
+SWEEPS = 4
+#: Words in a block of counts, and tasks that first add the blocks of one range of words.
+RANGE = 256
+SALTS = 16
 ADD = 0.5
 _EMPTY = np.empty(0, U64)
 
@@ -347,12 +355,139 @@ def cluster(counts: DataFrame, classes: int = CLASSES) -> tuple[np.ndarray, np.n
         own, t = tried[best], after[best]
 
 
+@dataclass
+class Classes:
+    """What decides a token's class: the vocabulary, each unit's class, and each vocabulary word's own."""
+
+    words: Words
+    unit: np.ndarray
+    place: np.ndarray
+
+    def of(self, place: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        own = np.append(self.place, -1)[place]
+        return np.where(own >= 0, own, self.unit[unit])
+
+
+def _word_counts(docs: DataFrame, classes: Classes, size: int) -> DataFrame:
+    """range, counts: for `RANGE` words, their counts by class on the right and on the left and with themselves; the class table has range -1.
+
+    A row is the sum over the tasks of one of `SALTS` parts, so there are at most `SALTS` rows of a range.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(classes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k: Classes = sent.value
+        n_words = -(-len(k.place) // RANGE) * RANGE
+        sides = np.zeros((2, n_words * size), np.int64)
+        itself = np.zeros(n_words, np.int64)
+        table = np.zeros(size * size, np.int64)
+        for b in batches:
+            for _, data, at in blocks(b.column(0)):
+                _, of, place, unit = k.words.units(data, at)
+                c, _ = _with_ends(k.of(place, unit), of, k.unit[END])
+                p, _ = _with_ends(place, of, -1)
+                c, p = np.append(k.unit[END], c), np.append(-1, p)
+                for side, word, near in ((sides[0], p[:-1], c[1:]), (sides[1], p[1:], c[:-1])):
+                    side += np.bincount((word * size + near)[word >= 0], minlength=len(side))
+                itself += np.bincount(p[1:][(p[1:] >= 0) & (p[1:] == p[:-1])], minlength=n_words)
+                table += np.bincount(c[:-1] * size + c[1:], minlength=len(table))
+        by_range = [x.reshape(-1, RANGE * size) for x in sides] + [itself.reshape(-1, RANGE)]
+        ranges = ((r, np.concatenate([x[r] for x in by_range])) for r in range(n_words // RANGE) if any(x[r].any() for x in by_range))
+        yield from _packed(chain([(-1, table)], ranges))
+
+    found = docs.filter("train").select("text").mapInArrow(trimmed(run), "range long, counts binary")
+    return _added(found.withColumn("salt", F.spark_partition_id() % SALTS), "range", "salt")
+
+
+def _packed(rows: Iterable[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    rows = iter(rows)
+    while some := list(islice(rows, 64)):
+        packed = [pa.compress(x.astype("<i8").tobytes(), codec="zstd", asbytes=True) for _, x in some]
+        yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in some], pa.int64()), pa.array(packed, pa.binary())], ["range", "counts"])
+
+
+def _opened(b: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
+    for r, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+        n = size * size if r < 0 else RANGE * (2 * size + 1)
+        yield r, np.frombuffer(pa.decompress(x.as_buffer(), decompressed_size=8 * n, codec="zstd"), "<i8")
+
+
+def _added(rows: DataFrame, *keys: str, size: int = CLASSES + 1) -> DataFrame:
+    """The sums by key. A task holds one sum for each range at most, which the vocabulary bounds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for r, x in _opened(b, size):
+                sums[r] = sums[r] + x if r in sums else x
+        yield from _packed(sums.items())
+
+    width = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return rows.repartition(width, *keys).select("range", "counts").mapInArrow(trimmed(run), "range long, counts binary")
+
+
+def assign(docs: DataFrame, start: Classes, seen: np.ndarray, sweeps: int = SWEEPS) -> tuple[Classes, np.ndarray]:
+    """(classes, class transition counts) after exchanging the vocabulary's words of `LEAST` counts or more.
+
+    Each scan of the training texts counts every word's neighbours by class and the class table. From them a
+    word's gain is exact if it moves alone. All gaining moves are made together; where the next scan shows that
+    the objective did not rise, the quarter of them with the highest gains is made instead. The best is kept.
+    """
+    size = CLASSES + 1
+
+    def scan(now: Classes) -> tuple[DataFrame, np.ndarray]:
+        kept = scratch.keep(_word_counts(docs, now, size), "brown-words")
+        tables = [np.frombuffer(pa.decompress(bytes(r["counts"]), decompressed_size=8 * size * size, codec="zstd"), "<i8") for r in kept.filter("range < 0").collect()]
+        return kept, sum(tables, np.zeros(size * size)).reshape(size, size)
+
+    def moves(kept: DataFrame, now: Classes, t: np.ndarray) -> list[tuple[float, int, int]]:
+        """At most one of each word of the vocabulary."""
+        sent = docs.sparkSession.sparkContext.broadcast((now.place, seen, t))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, n, table = sent.value
+            found = []
+            for b in batches:
+                for r, x in _opened(b, size):
+                    right, left = x[: 2 * RANGE * size].reshape(2, RANGE, size)
+                    itself = x[2 * RANGE * size :]
+                    for i in range(min(RANGE, len(own) - r * RANGE)):
+                        word = r * RANGE + i
+                        if n[word] >= LEAST:
+                            to, gain = exchange.best_class(int(own[word]), right[i], left[i], float(itself[i]), table, CLASSES)
+                            if gain > 1e-6:
+                                found.append((word, to, gain))
+            cols = list(zip(*found, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["word", "to", "gain"])
+
+        whole = _added(kept.filter("range >= 0"), "range").mapInArrow(trimmed(run), "word long, to long, gain double")
+        return sorted((-r["gain"], r["word"], r["to"]) for r in whole.collect())
+
+    best = start
+    kept, table = scan(best)
+    found, take = moves(kept, best, table), 1.0
+    for _ in range(sweeps - 1):
+        made = found[: int(np.ceil(len(found) * take))]
+        if not made:
+            break
+        place = best.place.copy()
+        place[[w for _, w, _ in made]] = [to for _, _, to in made]
+        tried = Classes(best.words, best.unit, place)
+        kept, after = scan(tried)
+        if exchange.objective(after) > exchange.objective(table):
+            best, table = tried, after
+            found = moves(kept, best, table)
+        else:
+            take /= 4
+    return best, table
+
+
 @dataclass
 class Model:
     words: Words
     log_count: np.ndarray  # of each vocabulary word: log10(count + ADD)
     known: np.ndarray
-    classes: np.ndarray
+    classes: Classes
     transition: np.ndarray  # log10
     emission: np.ndarray  # log10 of what a class's word counts are divided by
     end_share: float
@@ -375,9 +510,9 @@ def _texts(docs: DataFrame, model: Model) -> DataFrame:
                 key = _row_keys(ids, data, at, h, of)
                 share = np.bincount(doc, weights=log_count[place], minlength=n) + m.end_share
                 some = np.bincount(doc, weights=known[place], minlength=n).astype(np.int64) + (m.tokens > 0)
-                c, ends = _with_ends(m.classes[unit], of, m.classes[END])
+                c, ends = _with_ends(m.classes.of(place, unit), of, m.classes.unit[END])
                 before = np.empty_like(c)
-                before[:1], before[1:] = m.classes[END], c[:-1]
+                before[:1], before[1:] = m.classes.unit[END], c[:-1]
                 path = np.bincount(owners(ends), weights=m.transition[before, c] - m.emission[c], minlength=n)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids, b.column(2).slice(row, n), pa.array(np.diff(ends), pa.int64()), pa.array(share), pa.array(some), pa.array(path)], ["key", "doc_id", "held_out", "n_tokens", "share", "known", "path"])
 
@@ -397,21 +532,20 @@ def score_documents(docs: DataFrame) -> DataFrame:
     seen = np.zeros(len(w.unit), np.int64)
     for place, n in zip(*counts.filter("kind = 1").select("key", "n").toArrow().to_pydict().values(), strict=True):  # at most VOCABULARY rows
         seen[place] = n
-    classes, table = cluster(counts)
-    size = len(table)
-    # distinct words by unit: at most UNITS rows
+    units, _ = cluster(counts)
     units_of = w.unit.copy()
-    distinct = np.zeros(UNITS, np.int64)
-    for r in shares.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).collect():
-        distinct[r["key"]] = r["n"]
     for r in counts.filter("kind = 2").select("key").collect():  # at most VOCABULARY rows
         units_of[r["key"] // UNITS] = r["key"] % UNITS
-    np.add.at(distinct, units_of[(seen > 0) & (units_of >= 0)], 1)
-    ends = int(round(table[:, classes[END]].sum()))
-    tokens, kinds = int(round(table.sum())), int(distinct.sum()) + (ends > 0)
-    per_class = np.bincount(classes[:END], weights=distinct[:END], minlength=size)
+    classes, table = assign(d, Classes(w, units, np.where(units_of >= 0, units[units_of], -1)), seen)
+    size, end = len(table), units[END]
+    # distinct words by class: those of the vocabulary, and by unit (at most UNITS rows) the others
+    per_class = np.bincount(classes.place[(seen > 0) & (classes.place >= 0)], minlength=size)
+    for r in shares.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).collect():
+        per_class[units[r["key"]]] += r["n"]
+    ends = int(round(table[:, end].sum()))
+    tokens, kinds = int(round(table.sum())), int(per_class.sum()) + (ends > 0)
     emission = np.log10(table.sum(0) + ADD * (per_class + 1))
-    emission[classes[END]] = np.log10(ends + ADD)  # an end is certain in its class
+    emission[end] = np.log10(ends + ADD)  # an end is certain in its class
     transition = np.log10((table + ADD) / (table.sum(1) + ADD * size)[:, None])
     model = Model(w, np.log10(seen + ADD), seen > 0, classes, transition, emission, float(np.log10(ends + ADD)), tokens, kinds)
 

@@ -40,6 +40,78 @@ def test_base_equals_brute_force_and_classes_help(spark):
     assert all(r["score"] < 0 for r in got)
 
 
+def class_of(model, word):
+    """Of a token as `tokens` gives it."""
+    if word is None:
+        return int(model.classes.unit[brown_lm.END])
+    raw = np.frombuffer(word.encode(), np.uint8)
+    _, _, place, unit = model.words.units(raw, np.array([0, len(raw)]))
+    return int(model.classes.of(place, unit)[0])
+
+
+def scores(model, rows):
+    """Scores by dictionaries, given each word's class."""
+    train = [tokens(r[1]) for r in rows if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 != 1]
+    own = {t: class_of(model, t) for r in rows for t in tokens(r[1])}
+    count = Counter(t for ts in train for t in ts)
+    pairs = Counter((own[a], own[b]) for ts in train for a, b in zip([None, *ts], ts, strict=False))
+    left, right, kinds = Counter(), Counter(), Counter(own[t] for t in count)
+    for (a, b), n in pairs.items():
+        left[a] += n
+        right[b] += n
+    size, end = brown_lm.CLASSES + 1, own[None]
+    out = []
+    for r in rows:
+        total = 0.0
+        for a, b in zip([None, *tokens(r[1])], tokens(r[1]), strict=False):
+            x, y = own[a], own[b]
+            total += math.log10((pairs[x, y] + 0.5) / (left[x] + 0.5 * size))
+            total += 0.0 if y == end else math.log10((count[b] + 0.5) / (right[y] + 0.5 * (kinds[y] + 1)))
+        out.append((r[0], round(total, 6)))
+    return sorted(out, key=str)
+
+
+def test_score_equals_brute_force(spark, monkeypatch):
+    models = []
+    texts = brown_lm._texts
+    monkeypatch.setattr(brown_lm, "_texts", lambda d, m: models.append(m) or texts(d, m))
+    whole = brown_lm.vocabulary
+    for size in (1 << 16, 50):
+        monkeypatch.setattr(brown_lm, "vocabulary", lambda d, size=size: whole(d, size))
+        rows = corpus(200)
+        got = brown_lm.score_documents(frame(spark, rows)).collect()
+        assert sorted(((r["doc_id"], round(r["score"], 6)) for r in got), key=str) == scores(models[-1], rows)
+
+
+def test_words_are_exchanged_one_by_one(spark):
+    rng = np.random.default_rng(3)
+    first, second = ([f"{c}{i}xx" for i in range(40)] for c in "ab")
+    rows = [(i, " ".join(w for _ in range(40) for w in (first[rng.integers(40)], second[rng.integers(40)])), "en", "s", 0) for i in range(60)]
+    d = brown_lm._prepared(frame(spark, rows))
+    w = brown_lm.Words.of(brown_lm.vocabulary(d))
+    unit = np.zeros(brown_lm.UNITS, np.int64)
+    unit[brown_lm.END] = brown_lm.CLASSES
+    start = brown_lm.Classes(w, unit, rng.integers(0, 4, len(w.unit)))
+    train = [tokens(r[1]) for r in rows if zlib.crc32(str(r[0]).encode()) % 5 != 1]
+    place = {t: int(w.units(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[2][0]) for t in first + second}
+    count = Counter(t for ts in train for t in ts)
+    seen = np.zeros(len(w.unit), np.int64)
+    for t, at in place.items():
+        seen[at] = count[t]
+    reached = []
+    for sweeps in (1, 8):
+        classes, table = brown_lm.assign(d, start, seen, sweeps)
+        own = {t: int(classes.place[at]) for t, at in place.items()} | {None: brown_lm.CLASSES}
+        want = np.zeros_like(table)
+        for ts in train:
+            for x, y in zip([None, *ts], ts, strict=False):
+                want[own[x], own[y]] += 1
+        assert np.array_equal(table, want)
+        reached.append(exchange.objective(table))
+    assert reached[1] > reached[0]
+    assert not {own[t] for t in first} & {own[t] for t in second}
+
+
 def test_rare_words_path(spark, monkeypatch):
     want = {(r["doc_id"], r["n_tokens"]): r["base_score"] for r in check(spark, corpus())}
     monkeypatch.setattr(brown_lm, "FREQUENT", 1000)
