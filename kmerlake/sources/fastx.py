@@ -1,7 +1,8 @@
 """`spark.read.format("fastx")`: FASTA and FASTQ files, plain, gz, xz or zst, a partition for each file.
 
 The format is told by the first byte. Options: `manifest`, a JSON list of [sample, file number, path].
-Files must be readable by the executors; pipes and stdin are first copied by the driver (spool).
+Files must be readable by the executors; pipes and stdin are first copied by the driver (spool)
+to the folder that `spark.checkpoint.dir` names, where that is a mounted one.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import sys
 import tempfile
 from collections.abc import Iterator, Sequence
 from typing import IO
+from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -115,11 +117,13 @@ class FastxSource(DataSource):
         return FastxReader(json.loads(self.options["manifest"]))
 
 
-def spool(path: str) -> str:
-    """A copy of what can be read only once, made by the driver; other paths as they are."""
+def spool(path: str, folder: str | None = None) -> str:
+    """A copy in the folder of what can be read only once, made by the driver; other paths as they are."""
     if not paths.is_special(path):
         return path
-    with tempfile.NamedTemporaryFile(prefix="kmerlake-", suffix=".fastx", delete=False) as out:
+    if folder is not None:
+        os.makedirs(folder, exist_ok=True)
+    with tempfile.NamedTemporaryFile(prefix="kmerlake-", suffix=".fastx", dir=folder, delete=False) as out:
         if path == "-":
             shutil.copyfileobj(sys.stdin.buffer, out)
         else:
@@ -128,10 +132,17 @@ def spool(path: str) -> str:
     return out.name
 
 
+def _spool_folder(spark: SparkSession) -> str | None:
+    """The cluster's shared folder; None, for a local one, where none is set. Pipes need one that can be opened as files."""
+    url = urlparse(spark.conf.get("spark.checkpoint.dir", None) or "")
+    return unquote(url.path) or None if url.scheme in ("", "file") else None
+
+
 def read_fastx(spark: SparkSession, manifest: Sequence[tuple[str, int, str]]) -> DataFrame:
     """manifest: (sample, file number, path), as sources.paths gives it."""
     spark.dataSource.register(FastxSource)
-    files = [(sample, i, os.path.abspath(spool(p))) for sample, i, p in manifest]
+    folder = _spool_folder(spark)
+    files = [(sample, i, os.path.abspath(spool(p, folder))) for sample, i, p in manifest]
     return spark.read.format("fastx").option("manifest", json.dumps(files)).load()
 
 

@@ -2,6 +2,7 @@ import gzip
 import lzma
 import os
 import threading
+from types import SimpleNamespace
 
 import pyarrow as pa
 import pytest
@@ -42,6 +43,22 @@ def test_wrapped_lines_and_errors(spark, tmp_path):
     assert fastx.read_samples(spark, [str(tmp_path / "none.fa")]).count() == 0
 
 
+def test_pipe_is_copied_to_the_shared_folder(spark, tmp_path, monkeypatch):
+    pipe, shared = tmp_path / "p.fa", tmp_path / "shared"
+    os.mkfifo(pipe)
+    writer = threading.Thread(target=lambda: pipe.write_text(">r\nACGT\n"))
+    writer.start()
+    monkeypatch.setattr(fastx, "_spool_folder", lambda spark: str(shared))
+    assert [r["seq"] for r in fastx.read_fastx(spark, [("s", 0, str(pipe))]).collect()] == ["ACGT"]
+    writer.join()
+    assert len(list(shared.iterdir())) == 1
+
+
+def test_spool_folder_follows_the_session():
+    folder = lambda x: fastx._spool_folder(SimpleNamespace(conf={"spark.checkpoint.dir": x}))
+    assert [folder(x) for x in (None, "/mnt/x", "file:///mnt/x", "hdfs://n/x")] == [None, "/mnt/x", "/mnt/x", None]
+
+
 def test_pipe(spark, tmp_path):
     pipe = str(tmp_path / "pipe")
     os.mkfifo(pipe)
