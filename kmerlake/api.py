@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +13,11 @@ from kmerlake.operators import lenhist as L
 from kmerlake.operators import targets as T
 from kmerlake.operators.syncmers import syncmers
 from kmerlake.plans.params import check_fraction, check_groups, check_k_s
-from kmerlake.sources import fastx, index, paths
+from kmerlake.sources import fastx, index, paths, storage
 
 
 def _is_index(path: str) -> bool:
-    return os.path.isdir(os.path.join(path, "meta"))
+    return storage.is_dir(f"{path}/meta")
 
 
 def _limited(reads: DataFrame, limit: int | None) -> DataFrame:
@@ -28,7 +27,7 @@ def _limited(reads: DataFrame, limit: int | None) -> DataFrame:
 def read_targets(spark: SparkSession, path: str, individual: bool = False) -> DataFrame:
     """Records with target_idx and target. A folder's files and folders are a target each; of a file, each
     record (`individual`), or all together under the file's name if there are several."""
-    if os.path.isdir(path):
+    if storage.is_dir(path):
         records, _ = fastx.read_groups(spark, path)
         return records.withColumnRenamed("group_idx", "target_idx").withColumnRenamed("group", "target")
     records = fastx.read_fastx(spark, [("", 0, path)])

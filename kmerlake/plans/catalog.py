@@ -1,10 +1,7 @@
-"""Registered queries of the core engine: each operator over the driver's tables. Their SQL twins are in plans.oracles."""
+"""Registered queries of the core engine: each operator over the driver's tables. Their SQL twins are in plans.oracles; queries over files are in plans.files."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +12,7 @@ from kmerlake.operators import lenhist as L
 from kmerlake.operators import reshape
 from kmerlake.operators import targets as T
 from kmerlake.operators.syncmers import split_long, syncmers, syncmers_native
-from kmerlake.plans import tables
-from kmerlake.plans.oracles import ORACLES as ORACLES
+from kmerlake.plans import files, oracles, tables
 from kmerlake.sources import index
 
 K, S = 31, 9
@@ -467,15 +463,9 @@ def plot_prep(spark, d):
 # indexes and text
 
 
-def _folder(spark: SparkSession) -> str:
-    """The folder that a cluster's driver and executors share; a local one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-kmerlake-", dir="/tmp")
-    return f"{root.rstrip('/')}/kmerlake-{uuid.uuid4().hex}"
-
-
 @_query
 def index_roundtrip(spark, d):
-    path = _folder(spark)
+    path = files.folder(spark)
     index.save_query_index(spark, path, _targets(spark, d), K, S, positions=True)
     t, _ = index.load_targets(spark, path, need_positions=True)
     return T.dump(t.kmers, K)
@@ -483,7 +473,7 @@ def index_roundtrip(spark, d):
 
 @_query
 def index_info(spark, d):
-    path = _folder(spark)
+    path = files.folder(spark)
     index.save_classify_index(spark, path, _index(spark, d), tables.group_names(spark), K, S)
     return index.info(spark, path).select("name", "n_kmers", "kind", "k", "s", "n_names", "total_kmers")
 
@@ -493,3 +483,7 @@ def format_bp(spark, d):
     n = (F.col("o_totalprice") * F.col("o_orderkey")).cast("long")
     o = tables.table(spark, d, "orders").withColumn("n", n)
     return o.select("o_orderkey", text.format_bp(F.col("n")).alias("bp"), text.format_bp_per_sec(F.col("n").cast("double")).alias("rate"))
+
+
+QUERIES |= files.QUERIES
+ORACLES = oracles.ORACLES | files.ORACLES

@@ -1,8 +1,8 @@
 """`spark.read.format("fastx")`: FASTA and FASTQ files, plain, gz, xz or zst, a partition for each file.
 
-The format is told by the first byte. Options: `manifest`, a JSON list of [sample, file number, path].
+The format is told by the first byte. Options: `manifest`, a JSON list of [sample, file number, path or URL].
 Files must be readable by the executors; pipes and stdin are first copied by the driver (spool)
-to the folder that `spark.checkpoint.dir` names, where that is a mounted one.
+to the folder that `spark.checkpoint.dir` names. `write_fastx` is the way back.
 """
 
 from __future__ import annotations
@@ -11,19 +11,20 @@ import gzip
 import io
 import json
 import lzma
-import os
 import shutil
 import sys
 import tempfile
+import uuid
 from collections.abc import Iterator, Sequence
 from typing import IO
-from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from kmerlake.sources import paths
+from kmerlake.sources import paths, storage
 
 SCHEMA = "sample string, file_idx int, rec_idx long, seq_id string, seq string"
 BATCH_BASES = 1 << 22
@@ -31,7 +32,9 @@ BATCH_BASES = 1 << 22
 
 def open_plain(path: str) -> IO[bytes]:
     """The file's bytes, uncompressed, whatever its name says."""
-    raw = open(path, "rb")  # noqa: SIM115
+    raw = storage.open_input(path)
+    if not hasattr(raw, "peek"):
+        raw = io.BufferedReader(raw)
     head = raw.peek(6)[:6]
     if head.startswith(b"\x1f\x8b"):
         return io.BufferedReader(gzip.GzipFile(fileobj=raw))
@@ -121,31 +124,72 @@ def spool(path: str, folder: str | None = None) -> str:
     """A copy in the folder of what can be read only once, made by the driver; other paths as they are."""
     if not paths.is_special(path):
         return path
-    if folder is not None:
-        os.makedirs(folder, exist_ok=True)
-    with tempfile.NamedTemporaryFile(prefix="kmerlake-", suffix=".fastx", dir=folder, delete=False) as out:
+    copy = f"{folder or tempfile.gettempdir()}/kmerlake-{uuid.uuid4().hex}.fastx"
+    with storage.open_output(copy) as out:
         if path == "-":
             shutil.copyfileobj(sys.stdin.buffer, out)
         else:
             with open(path, "rb") as pipe:
                 shutil.copyfileobj(pipe, out)
-    return out.name
+    return copy
 
 
 def _spool_folder(spark: SparkSession) -> str | None:
-    """The cluster's shared folder; None, for a local one, where none is set. Pipes need one that can be opened as files."""
-    url = urlparse(spark.conf.get("spark.checkpoint.dir", None) or "")
-    return unquote(url.path) or None if url.scheme in ("", "file") else None
+    """The cluster's shared folder; None, for a local one, only where none is set."""
+    return storage.plain(spark.conf.get("spark.checkpoint.dir", None) or "") or None
 
 
 def read_fastx(spark: SparkSession, manifest: Sequence[tuple[str, int, str]]) -> DataFrame:
     """manifest: (sample, file number, path), as sources.paths gives it."""
     spark.dataSource.register(FastxSource)
     folder = _spool_folder(spark)
-    files = [(sample, i, os.path.abspath(spool(p, folder))) for sample, i, p in manifest]
+    files = [(sample, i, storage.absolute(spool(p, folder))) for sample, i, p in manifest]
     return spark.read.format("fastx").option("manifest", json.dumps(files)).load()
 
 
+def _compressed(raw: IO[bytes], path: str) -> IO[bytes]:
+    if path.endswith(".gz"):
+        return gzip.GzipFile(fileobj=raw, mode="wb", mtime=0)
+    if path.endswith(".xz"):
+        return lzma.LZMAFile(raw, "wb")
+    if path.endswith(".zst"):
+        return pa.CompressedOutputStream(pa.PythonFile(raw, mode="w"), "zstd")
+    return raw
+
+
+def write_fastx(df: DataFrame, folder: str, ending: str = ".fa", stem: str = "part") -> None:
+    """df: seq_id, seq. A file for each partition that has rows: {stem}-{partition}{ending}, moved to that name when whole.
+
+    FASTQ endings get the best quality throughout; .gz, .xz and .zst compress. Null sequences are empty;
+    characters that no sequence has are written as N, line breaks in names as spaces.
+    """
+    if not paths.is_fastx("x" + ending):
+        raise ValueError(f"not an ending of a sequence file: {ending!r}")
+    quality = ending.split(".")[1] in ("fq", "fastq")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n = TaskContext.get(), 0
+        final = f"{folder}/{stem}-{task.partitionId():05d}{ending}"
+        partial = f"{folder}/.{task.taskAttemptId()}-{stem}{ending}"
+        raw = out = None
+        for b in batches:
+            for name, seq in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if out is None:
+                    raw = storage.open_output(partial)
+                    out = _compressed(raw, ending)
+                out.write((f"@{name}\n{seq}\n+\n{'I' * len(seq)}\n" if quality else f">{name}\n{seq}\n").encode())
+                n += 1
+        if out is not None:
+            out.close()
+            raw.close()
+            storage.move(partial, final)
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    name = F.regexp_replace(F.coalesce(F.col("seq_id").cast("string"), F.lit("")), r"[\r\n]", " ")
+    rows = df.select(name.alias("seq_id"), F.regexp_replace(F.coalesce("seq", F.lit("")), r"[^A-Za-z*.-]", "N").alias("seq"))
+    rows.mapInArrow(run, "n long").agg(F.sum("n")).collect()  # one number
+
+
 def read_samples(spark: SparkSession, inputs: Sequence[str], names: Sequence[str] | None = None) -> DataFrame:
     return read_fastx(spark, paths.samples(inputs, names))
 
@@ -156,6 +200,4 @@ def read_groups(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]
     names = list(dict.fromkeys(g for _, g, _, _ in found))
     numbers = spark.createDataFrame(list(enumerate(names)), "group_idx int, group string")
     read = read_fastx(spark, [(g, i, p) for _, g, i, p in found]).withColumnRenamed("sample", "group")
-    from pyspark.sql import functions as F
-
     return read.join(F.broadcast(numbers), "group"), names

@@ -7,7 +7,7 @@ from types import SimpleNamespace
 import pyarrow as pa
 import pytest
 
-from kmerlake.sources import fastx, paths
+from kmerlake.sources import fastx, paths, storage
 from tests.dna_data import fasta, fastq, random_dna
 
 RECORDS = [("a first", random_dna(70, 1)), ("b", ""), ("c\tx", random_dna(300, 2))]
@@ -56,7 +56,7 @@ def test_pipe_is_copied_to_the_shared_folder(spark, tmp_path, monkeypatch):
 
 def test_spool_folder_follows_the_session():
     folder = lambda x: fastx._spool_folder(SimpleNamespace(conf={"spark.checkpoint.dir": x}))
-    assert [folder(x) for x in (None, "/mnt/x", "file:///mnt/x", "hdfs://n/x")] == [None, "/mnt/x", "/mnt/x", None]
+    assert [folder(x) for x in (None, "/mnt/x", "file:///mnt/x", "hdfs://n/x")] == [None, "/mnt/x", "/mnt/x", "hdfs://n/x"]
 
 
 def test_pipe(spark, tmp_path):
@@ -128,3 +128,34 @@ def test_background_skips_hidden_folders(tmp_path):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(">x\nACGT\n")
     assert [os.path.relpath(p, tmp_path) for p in paths.background([str(tmp_path)])] == ["a.fa", "in/b.fq.gz", "in/deep/f.fasta"]
+
+
+@pytest.mark.parametrize("ending", [".fa", ".FASTA.gz", ".fastq.xz", ".fq.zst"])
+def test_written_files_read_back(spark, tmp_path, ending):
+    rows = [("a b", "ACGT"), ("two\nlines", "AC\nGT>@+é"), (None, None), ("long", random_dna(5000, 3))]
+    fastx.write_fastx(spark.createDataFrame(rows, "seq_id string, seq string").repartition(2), str(tmp_path / "x"), ending)
+    got = {(r["seq_id"], r["seq"]) for r in fastx.read_samples(spark, [str(tmp_path / "x")]).collect()}
+    assert got == {("a b", "ACGT"), ("two lines", "ACNGTNNNN"), ("", ""), ("long", random_dna(5000, 3))}
+    assert not [n for n in os.listdir(tmp_path / "x") if n.startswith(".")]
+
+
+def test_written_ending_is_checked(spark, tmp_path):
+    with pytest.raises(ValueError, match="ending"):
+        fastx.write_fastx(spark.createDataFrame([("a", "A")], "seq_id string, seq string"), str(tmp_path), ".txt")
+
+
+def test_urls_go_the_same_way_as_paths(folder, monkeypatch):
+    (folder / "sub" / ".dark").mkdir(parents=True)
+    for p in ("sub/x.fa", "sub/.dark/y.fa"):
+        (folder / p).write_text(">r\nAC\n")
+    local = [paths.background([str(folder)]), paths.fastx_files(str(folder))]
+    url = f"file://{folder}"
+    monkeypatch.setattr(storage, "is_remote", lambda p: "://" in p)
+    assert [[p.removeprefix("file://") for p in x] for x in (paths.background([url]), paths.fastx_files(url))] == local
+    assert storage.is_dir(url) and not storage.exists(url + "/none") and storage.is_file(url + "/one.fa")
+    with fastx.open_plain(url + "/two.fastq.gz") as f:
+        assert [x for x in fastx.records(f)] == RECORDS
+    with storage.open_output(url + "/new/a.fa") as out:
+        out.write(b">r\nAC\n")
+    storage.move(url + "/new/a.fa", url + "/new/b.fa")
+    assert (folder / "new/b.fa").read_text() == ">r\nAC\n"
