@@ -7,7 +7,8 @@
    that are in another component by then.
 3. What is left are buckets whose members are still in several components. Their members are dealt into
    chunks, and tasks compare the odd sketches of two chunks at a time: a bit more in the difference of two
-   sketches than a link allows elements in that of the sets rules a pair out for certain.
+   sketches than a link allows elements in that of the sets rules a pair out for certain. Chunks that
+   cannot hold a link do not meet: both of the bucket's largest component, or too unlike in size.
 4. Every candidate is confirmed on the full shingle sets, and confirmed links go to union-find.
 
 With 32 bands of four slots a link of exactly 0.75 has no shared band with probability 5e-6, and a
@@ -21,6 +22,7 @@ through; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +36,7 @@ from kmerlake.llm.textkit import blocks, words
 from kmerlake.llm.workers import trimmed
 
 PERCENT = 75
-CHUNK = 256  # members of a bucket, or so, whose sketches meet those of another chunk in one step
+CHUNK_BYTES = 1 << 18  # of sketches, or so, that meet those of another chunk in one step
 
 
 def _signed(docs: DataFrame) -> DataFrame:
@@ -117,18 +119,48 @@ def _possible(x: pa.StructArray, y: pa.StructArray, percent: int) -> Iterator[tu
                     yield from ((min(int(node[i]), k), max(int(node[i]), k)) for k in node_[fits].tolist())
 
 
+def _dealt(open_: DataFrame, percent: int) -> DataFrame:
+    """open_: band, node, root, n of buckets with several components. Adds big, size and chunk.
+
+    A bucket whose sketches fit in one chunk is one. Of a larger one the most frequent component (big) is
+    apart, for its members need not meet each other, and so are sizes: a link's sets are in the same or in
+    neighbouring classes of size. Each of these parts has as many chunks as its sketches fill.
+    """
+    weight = F.greatest("n", F.lit(128)).alias("_w")  # a sketch has fewer bytes
+    counted = open_.groupBy("band", "root").agg(F.count("*").alias("_n"), F.sum(weight).alias("_w"))
+    split = counted.groupBy("band").agg(F.count("*").alias("_roots"), F.sum("_w").alias("_all"), F.max(F.struct("_n", "root")).getField("root").alias("_big")).filter("_roots > 1")
+    part = F.col("_all") > CHUNK_BYTES
+    size = F.floor(F.log(F.col("n")) / math.log(100 / percent * 1.005)).cast("int")
+    kinds = {"big": part & (F.col("root") == F.col("_big")), "size": F.when(part, size).otherwise(F.lit(0))}
+    members = open_.join(split.hint("merge"), "band").withColumns(kinds).drop("_roots", "_all", "_big")
+    parts = members.groupBy("band", "big", "size").agg(F.ceil(F.sum(weight) / CHUNK_BYTES).cast("int").alias("chunks"))
+    # parts are counted map-side, so a bucket of any size is a few rows on this side
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    return members.join(parts.hint("merge"), ["band", "big", "size"]).withColumn("chunk", chunk)
+
+
+def _meetings(dealt: DataFrame) -> DataFrame:
+    """band, big, size, chunk and the big_, size_, chunk_ to meet: each two chunks that can hold a link once, none both of the big component."""
+    parts = dealt.select("band", "big", "size", "chunks").distinct()
+    other = parts.select("band", F.col("big").alias("big_"), F.col("size").alias("size_"), F.col("chunks").alias("chunks_"))
+    near = F.col("size_") - F.col("size")
+    wanted = F.when(F.col("big_"), F.abs(near) <= 1).otherwise(near.isin(0, 1))
+    from_ = F.when(F.col("big_") | (near > 0), F.lit(0)).otherwise(F.col("chunk"))
+    left = dealt.filter("NOT big").select("band", "big", "size", "chunk").join(other.hint("merge"), "band").filter(wanted)
+    return left.select("band", "big", "size", "chunk", "big_", "size_", F.explode(F.sequence(from_, F.col("chunks_") - 1)).alias("chunk_"))
+
+
 def _across(mates: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: possible links of nodes that share a band but not yet a component. mates: band, node."""
+    """a, b: possible links of nodes that share a band but not yet a component. mates: band, node, n."""
     open_ = scratch.keep(_root(mates, roots, "node", "root"), "open-mates")
-    split = open_.groupBy("band").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_n")).filter("_lo < _hi")
-    split = split.select("band", F.ceil(F.col("_n") / CHUNK).cast("int").alias("chunks"))
-    members = open_.join(split.hint("merge"), "band").join(_sketches(sets).hint("merge"), "node")
-    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk")
-    # about CHUNK members each, whatever the bucket's size
-    dealt = members.groupBy("band", "chunks", chunk).agg(F.collect_list(F.struct("node", "root", "n", "sketch")).alias("x"))
+    members = _dealt(open_, percent).join(_sketches(sets).drop("n").hint("merge"), "node")
+    # about CHUNK_BYTES each, whatever the bucket's size
+    key = ["band", "big", "size", "chunk"]
+    dealt = members.groupBy(*key, "chunks").agg(F.collect_list(F.struct("node", "root", "n", "sketch")).alias("x"))
     dealt = scratch.keep(dealt, "open-chunks")
-    left = dealt.select("band", F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("chunk"), "x")
-    met = left.join(dealt.select("band", "chunk", F.col("x").alias("y")).hint("merge"), ["band", "chunk"]).select("x", "y")
+    left = _meetings(dealt).join(dealt.select(*key, "x").hint("merge"), key)
+    right = dealt.select("band", *(F.col(c).alias(f"{c}_") for c in key[1:]), F.col("x").alias("y"))
+    met = left.join(right.hint("merge"), ["band", "big_", "size_", "chunk_"]).select("x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[tuple[int, int]] = set()
@@ -168,7 +200,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     node = F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node")
     member = scratch.keep(member.select("doc_id", "n", node), "members")
 
-    bucket = classes.select(F.explode("bands").alias("band"), "node")
+    bucket = classes.select(F.explode("bands").alias("band"), "node", "n")
     leaders = bucket.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("_last")).filter("leader < _last").drop("_last")
     mates = scratch.keep(bucket.join(leaders.hint("merge"), "band"), "bucket-mates")
 
@@ -187,7 +219,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = links.unionByName(scratch.keep(_confirmed(more, sets, percent), "links"))
     roots = _merged(links)
 
-    across = _across(mates.select("band", "node"), roots, sets, percent).join(stars, ["a", "b"], "left_anti")  # stars were tried
+    across = _across(mates.select("band", "node", "n"), roots, sets, percent).join(stars, ["a", "b"], "left_anti")  # stars were tried
     links = links.unionByName(scratch.keep(_confirmed(across, sets, percent), "links"))
     roots = _merged(links)
 

@@ -57,6 +57,41 @@ def test_chains_and_hub(spark):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute(rows)
 
 
+def test_open_buckets_in_many_chunks(spark, monkeypatch):
+    """Texts of several sizes with much in common, a large component among them, dealt into chunks of a few sketches each."""
+    monkeypatch.setattr(near_duplicates, "CHUNK_BYTES", 1500)
+    text = lambda i, common, own: " ".join([*(f"c{j}" for j in range(common)), *(f"o{i}x{j}" for j in range(own))])
+    rows = [(i, text(i, 150 + i % 7 * 15, 40 + i % 5 * 9), "en", "boiler", 0) for i in range(90)]
+    rows += [(200 + i, text(0, 150, 40) + f" tail{i} end{i}", "en", "large", 0) for i in range(40)]
+    rows += [(300 + i, text(i, 150 + i % 7 * 15, 40 + i % 5 * 9) + f" more{i} last{i}", "en", "pairs", 0) for i in range(0, 90, 4)]
+    got = near_duplicates.near_duplicates(frame(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute(rows)
+    assert len({r["component_id"] for r in got}) > 10
+
+
+def test_chunks_meet_once_and_no_possible_link_is_left_out(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "CHUNK_BYTES", 1000)
+    rng = np.random.default_rng(5)
+    members = [(int(b), i * 3 + int(b), 7 if i % 3 else i, int(n)) for b in range(2) for i, n in enumerate(rng.integers(3, 400, 80))]
+    members += [(2, 900 + i, i, 20) for i in range(5)] + [(3, 950 + i, 1, 20) for i in range(50)]
+    dealt = near_duplicates._dealt(spark.createDataFrame(members, "band long, node long, root long, n long"), 75)
+    at = {}
+    for r in dealt.collect():
+        at.setdefault((r["band"], r["big"], r["size"], r["chunk"]), []).append((r["node"], r["root"], r["n"]))
+    met = {}
+    for r in near_duplicates._meetings(dealt.select("band", "big", "size", "chunk", "chunks").distinct()).collect():
+        x, y = (r["band"], r["big"], r["size"], r["chunk"]), (r["band"], r["big_"], r["size_"], r["chunk_"])
+        for a in at[x]:
+            for b in at.get(y, []):
+                if x != y or a < b:
+                    met[(r["band"], *sorted((a[0], b[0])))] = met.get((r["band"], *sorted((a[0], b[0]))), 0) + 1
+    assert set(met.values()) == {1}
+    for i, (band, a, ra, n) in enumerate(members):
+        for band_, b, rb, m in members[:i]:
+            if band == band_ and ra != rb and 4 * min(n, m) >= 3 * max(n, m):
+                assert (band, *sorted((a, b))) in met
+
+
 def test_empty(spark):
     assert near_duplicates.near_duplicates(empty(spark)).count() == 0
 
