@@ -77,6 +77,13 @@ def shared_counts(tk: DataFrame) -> DataFrame:
     return per.agg(F.count("*").alias("distinct_kmers"), F.count_if(F.col("n") > 1).alias("shared_kmers"), F.count_if(F.col("n") == 1).alias("unique_kmers"), F.coalesce(F.sum("n"), F.lit(0)).alias("target_kmers"))
 
 
+def summary(records: DataFrame, tk: DataFrame) -> DataFrame:
+    """One row: targets, records, bases, then shared_counts and shared_pct, the share of distinct k-mers that several targets have. records: target_idx, seq."""
+    size = records.agg(F.count_distinct("target_idx").alias("targets"), F.count("*").alias("records"), F.coalesce(F.sum(F.length("seq")), F.lit(0)).cast("long").alias("bases"))
+    pct = F.when(F.col("distinct_kmers") > 0, 100 * F.col("shared_kmers") / F.col("distinct_kmers")).otherwise(F.lit(0.0))
+    return size.crossJoin(shared_counts(tk)).withColumn("shared_pct", pct)  # one row each
+
+
 def dump(tk: DataFrame, k: int) -> DataFrame:
     """target, position, kmer (as bases)."""
     return tk.select("target", F.col("pos").alias("position"), (dna.decode("kmer", k) if k <= 31 else F.col("kmer")).alias("kmer"))

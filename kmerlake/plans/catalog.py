@@ -122,6 +122,12 @@ def shared_kmers(spark, d):
     return T.shared_counts(_targets(spark, d).kmers)
 
 
+@_query
+def target_summary(spark, d):
+    r = tables.merged_targets(spark, d)
+    return _rounded(T.summary(r, T.build(r, K, S).kmers))
+
+
 @_query
 def discriminatory(spark, d):
     t = T.build(tables.merged_targets(spark, d), K, S)

@@ -172,6 +172,11 @@ ORACLES: dict[str, str] = {
     "target_union": f"WITH {TARGETS}\nSELECT DISTINCT kmer FROM tk",
     "target_merge_offsets": f"WITH {MERGED}\nSELECT target, length, pos AS position, kmer FROM mk",
     "shared_kmers": f"WITH {TARGETS},\nx AS (SELECT kmer, count(DISTINCT id) AS n FROM tk GROUP BY 1)\nSELECT count(*)::BIGINT AS distinct_kmers, count(*) FILTER (n > 1)::BIGINT AS shared_kmers, count(*) FILTER (n = 1)::BIGINT AS unique_kmers, coalesce(sum(n), 0)::BIGINT AS target_kmers FROM x",
+    "target_summary": f"""WITH {MERGED},
+x AS (SELECT kmer, count(DISTINCT g) AS n FROM mk GROUP BY 1),
+y AS (SELECT count(*)::BIGINT AS distinct_kmers, count(*) FILTER (n > 1)::BIGINT AS shared_kmers, count(*) FILTER (n = 1)::BIGINT AS unique_kmers, coalesce(sum(n), 0)::BIGINT AS target_kmers FROM x)
+SELECT (SELECT count(DISTINCT g) FROM b)::BIGINT AS targets, (SELECT count(*) FROM b)::BIGINT AS records, (SELECT coalesce(sum(length(seq)), 0) FROM b)::BIGINT AS bases, y.*,
+  CASE WHEN distinct_kmers > 0 THEN round(100 * shared_kmers / distinct_kmers::DOUBLE, 8) ELSE 0.0 END AS shared_pct FROM y""",
     "discriminatory": f"WITH {MERGED}\n{_DISC.format('mk')}",
     "background_mask": f"WITH {TARGETS},\n{READS},\n{_HITS}\n{DUMP_T} WHERE kmer NOT IN (SELECT kmer FROM bg)",
     "background_hits": f"WITH {TARGETS},\n{READS},\n{_HITS}\nSELECT count(DISTINCT kmer)::BIGINT AS masked_kmers FROM tk WHERE kmer IN (SELECT kmer FROM bg)",
