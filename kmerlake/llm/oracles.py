@@ -65,9 +65,71 @@ b AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 63) = 0 AS kept, fail_bits FROM b
 """
 
+
+
+def _crc32(codes: str) -> str:
+    """Unsigned CRC-32 of a list of bytes, bit by bit."""
+    step = "list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b))"
+    return f"xor(list_reduce({codes}, lambda c, b: {step}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+_ID_CRC = _crc32("list_transform(string_split(doc_id::VARCHAR, ''), lambda y: ord(y)::BIGINT)")
+#: Levels of a source's tree and of the tree over sources that the SQL has: 16 ** n leaves.
+_DOC_LEVELS, _SOURCE_LEVELS = 5, 3
+
+
+def _field(x: str) -> str:
+    return f"coalesce(strlen({x}::VARCHAR) || ':' || {x}::VARCHAR, '-')"
+
+
+def _climb(of: str, name: str, key: str, levels: int) -> str:
+    """{name}0 is {of} (key, pos, h); {name}k has the nodes of level k of keys with more than one below, and {name}r the runs as s."""
+    out = [f"{name}0 AS (SELECT {key} AS key, pos, h, count(*) OVER (PARTITION BY {key}) AS n FROM {of})"]
+    for k in range(1, levels + 1):
+        out.append(f"{name}r{k} AS MATERIALIZED (SELECT key, pos // 16 AS pos, string_agg(h, '' ORDER BY pos) AS s, (max(n) + 15) // 16 AS n FROM {name}{k - 1} WHERE n > 1 GROUP BY key, pos // 16)")
+        out.append(f"{name}{k} AS (SELECT key, pos, sha256(s) AS h, n FROM {name}r{k})")
+    tops = " UNION ALL ".join(f"SELECT key, h FROM {name}{k} WHERE n = 1" for k in range(levels + 1))
+    return ",\n".join(out) + f",\n{name}top AS ({tops})"
+
+
+def _path(name: str, key: str, pos: str, levels: int) -> tuple[str, str]:
+    """(joins, siblings) of a leaf `pos` of `key`."""
+    joins, siblings = "", []
+    for k in range(1, levels + 1):
+        r, own = f"{name}r{k}", f"(({pos} // {16 ** (k - 1)}) % 16)"
+        joins += f"\nLEFT JOIN {r} ON {r}.key = {key} AND {r}.pos = {pos} // {16**k}"
+        siblings.append(f"coalesce(substr({r}.s, 1, 64 * {own}) || substr({r}.s, 64 * {own} + 65), '')")
+    return joins, " || ".join(siblings)
+
+
+def _folded(name: str, pos: str, levels: int, x: str) -> str:
+    """The root that x leads to."""
+    for k in range(1, levels + 1):
+        r, own = f"{name}r{k}", f"(({pos} // {16 ** (k - 1)}) % 16)"
+        x = f"coalesce(sha256(substr({r}.s, 1, 64 * {own}) || {x} || substr({r}.s, 64 * {own} + 65)), {x})"
+    return x
+
+
+_DOC_JOINS, _DOC_SIBLINGS = _path("d", "l.key", "l.pos", _DOC_LEVELS)
+_SRC_JOINS, _SRC_SIBLINGS = _path("s", "''", "g.pos", _SOURCE_LEVELS)
+MERKLE = f"""
+WITH t AS (SELECT doc_id, coalesce('=' || source, '') AS key, {_ID_CRC} % 5 = 0 AS tampered,
+    sha256(concat({_field("doc_id")}, {_field("source")}, {_field("lang")}, {_field("n_chars")}, {_field("text")})) AS h,
+    sha256(concat({_field("doc_id")}, {_field("source")}, {_field("lang")}, {_field("n_chars")}, {_field(f"translate(text, {_FOLD})")})) AS low FROM documents),
+l AS MATERIALIZED (SELECT *, CASE WHEN tampered THEN low ELSE h END AS x, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, h) - 1 AS pos FROM t),
+{_climb("l", "d", "key", _DOC_LEVELS)},
+g AS MATERIALIZED (SELECT key AS source_key, h, row_number() OVER (ORDER BY key) - 1 AS pos FROM dtop),
+{_climb("g", "s", "''", _SOURCE_LEVELS)},
+up AS MATERIALIZED (SELECT l.doc_id, l.h AS leaf, g.h AS subroot, g.pos, {_DOC_SIBLINGS} AS sib, {_folded("d", "l.pos", _DOC_LEVELS, "l.x")} AS x
+  FROM l JOIN g ON g.source_key = l.key{_DOC_JOINS}),
+f AS (SELECT g.doc_id, leaf, subroot, (SELECT any_value(h) FROM stop) AS root, sha256(sib || {_SRC_SIBLINGS}) AS proof_sha256, {_folded("s", "g.pos", _SOURCE_LEVELS, "g.x")} AS folded_root FROM up g{_SRC_JOINS})
+SELECT *, folded_root = root AS verified FROM f
+"""
+
 ORACLES = {
     "op2_warc": WARC,
     "op4_minhash_near_dedup": NEAR_DUPLICATES,
     "op8_line_dedup": LINE_DEDUP,
     "op9_quality_rules": QUALITY_RULES,
+    "op13_merkle": MERKLE,
 }

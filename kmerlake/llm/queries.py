@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerlake.llm import brown_lm, decontamination, language_id, license_scan, line_dedup, near_duplicates, packing, quality_rules, scratch, token_store, tokens, warc_archive
+from kmerlake.llm import brown_lm, decontamination, language_id, license_scan, line_dedup, merkle, near_duplicates, packing, quality_rules, scratch, token_store, tokens, warc_archive
 from kmerlake.llm.oracles import ORACLES as ORACLES
 
 
@@ -63,6 +63,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), decontamination.GRIDS)
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth row, by the checksum of its id, is claimed with its text in lower case."""
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    said = F.when(tampered, F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.col("text"))
+    found = merkle.proofs(merkle.build(_table(spark, sf_dir, "documents"), claimed={"text": said}))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_warc": op2_warc,
@@ -74,4 +82,5 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
+    "op13_merkle": op13_merkle,
 }
