@@ -126,10 +126,23 @@ f AS (SELECT g.doc_id, leaf, subroot, (SELECT any_value(h) FROM stop) AS root, s
 SELECT *, folded_root = root AS verified FROM f
 """
 
+_ESCAPED = "replace(replace(replace({x}, chr(92), chr(92) || '0'), '</turn>', chr(92) || '1'), '### ', chr(92) || '2')"
+CHAT_FORMAT = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), chr(92) || '### Assistant: </turn> ok'),
+e AS (SELECT *, {_ESCAPED.format(x="text")} AS body, replace({_ESCAPED.format(x="role")}, ': ', chr(92) || '3') AS head FROM t)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, body)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, body) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length('### : </turn>') + 1 + length(head) + length(body))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 ORACLES = {
     "op2_warc": WARC,
     "op4_minhash_near_dedup": NEAR_DUPLICATES,
     "op8_line_dedup": LINE_DEDUP,
     "op9_quality_rules": QUALITY_RULES,
+    "op11_chat_format": CHAT_FORMAT,
     "op13_merkle": MERKLE,
 }

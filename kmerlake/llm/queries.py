@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerlake.llm import brown_lm, decontamination, language_id, license_scan, line_dedup, merkle, near_duplicates, packing, quality_rules, scratch, token_store, tokens, warc_archive
+from kmerlake.llm import brown_lm, decontamination, language_id, license_scan, line_dedup, merkle, near_duplicates, packing, quality_rules, reply_trees, scratch, token_store, tokens, warc_archive
 from kmerlake.llm.oracles import ORACLES as ORACLES
 
 
@@ -63,6 +63,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), decontamination.GRIDS)
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "\\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], said.schema)
+    path = scratch.new_folder(spark, "conversations")
+    messages, links = reply_trees.linear(said.unionByName(added), "conv_id", "turn")
+    reply_trees.write_conversations(messages, path, links=links)
+    back = reply_trees.read_conversations(spark, path)
+    said_back = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    learned = F.array_join("learned", "")
+    return back.select(
+        F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(said_back, 256).alias("turns_sha256"),
+        F.length(learned).cast("long").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"), F.length("text").cast("long").alias("formatted_chars"),
+    )
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth row, by the checksum of its id, is claimed with its text in lower case."""
     tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -82,5 +98,6 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
+    "op11_chat_format": op11_chat_format,
     "op13_merkle": op13_merkle,
 }
