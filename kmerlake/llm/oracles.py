@@ -138,11 +138,29 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM e GROUP BY conv_id
 """
 
+_STEP = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+SPELLING = f"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda x, i: {_STEP}, b)) AS t),
+u AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{7,}}')), {_FOLD}) AS run FROM documents),
+r AS MATERIALIZED (SELECT run, coalesce(doc_id::VARCHAR, '') || ':' || run AS name, hex(coalesce(doc_id::VARCHAR, '') || ':' || run) AS x, count(*) AS k FROM u GROUP BY ALL),
+h AS (SELECT run, k, xor(list_reduce(list_transform(range(length(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS h FROM r, crc),
+v AS MATERIALIZED (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(k)::BIGINT AS n
+  FROM h GROUP BY 1 HAVING length(word) >= 7 AND sum(k) >= 2),
+d AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) AS p, substr(word, i + 1) AS q FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+e AS (SELECT a.word, b.word AS near FROM d a JOIN d b ON a.i = b.i AND a.p = b.p AND a.q = b.q AND a.word <> b.word
+  UNION ALL SELECT unnest([word, near]), unnest([near, word]) FROM (SELECT DISTINCT d.word, v.word AS near FROM d JOIN v ON v.word = d.p || d.q)),
+f AS MATERIALIZED (SELECT v.word, v.n, count(b.word)::BIGINT AS n_near, arg_min(b.word, (-b.n, encode(b.word))) FILTER (b.n >= 10 * v.n) AS form FROM v LEFT JOIN e USING (word) LEFT JOIN v b ON b.word = e.near GROUP BY ALL),
+up AS (SELECT word, word AS at, form FROM f UNION ALL SELECT up.word, f.word, f.form FROM up JOIN f ON f.word = up.form)
+SELECT f.word, f.form, up.at AS root, f.n, f.n_near, b.n AS form_n FROM f JOIN up ON up.word = f.word AND up.form IS NULL LEFT JOIN v b ON b.word = f.form
+"""
+
 ORACLES = {
     "op2_warc": WARC,
     "op4_minhash_near_dedup": NEAR_DUPLICATES,
     "op8_line_dedup": LINE_DEDUP,
     "op9_quality_rules": QUALITY_RULES,
     "op11_chat_format": CHAT_FORMAT,
+    "op12_spelling_variants": SPELLING,
     "op13_merkle": MERKLE,
 }

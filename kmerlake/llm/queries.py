@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerlake.llm import brown_lm, decontamination, language_id, license_scan, line_dedup, merkle, near_duplicates, packing, quality_rules, reply_trees, scratch, token_store, tokens, warc_archive
+from kmerlake.llm import brown_lm, decontamination, language_id, license_scan, line_dedup, merkle, near_duplicates, packing, quality_rules, reply_trees, scratch, spelling, token_store, tokens, warc_archive
 from kmerlake.llm.oracles import ORACLES as ORACLES
 
 
@@ -79,6 +79,15 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every 31st run, by the checksum of id and run, a letter is left out."""
+    found = spelling.runs(_table(spark, sf_dir, "documents"), keep=("doc_id",))
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run"))
+    found = found.withColumn("h", F.crc32(name))
+    word = F.when(F.col("h") % 31 == 0, spelling.without_letter(F.col("run"), F.col("h") % F.length("run"))).otherwise(F.col("run"))
+    return spelling.group_variants(spelling.vocabulary(found.select(word.alias("word"))))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth row, by the checksum of its id, is claimed with its text in lower case."""
     tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -99,5 +108,6 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
     "op11_chat_format": op11_chat_format,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_merkle": op13_merkle,
 }
