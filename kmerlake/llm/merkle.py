@@ -191,7 +191,8 @@ def build(docs: DataFrame, fields: Sequence[str] = FIELDS, id_column: str = "doc
     leaf = digest([F.col(c) for c in fields])
     said = digest([(claimed or {}).get(c, F.col(c)) for c in fields]) if claimed else F.lit(None).cast("binary")
     rows = docs.select(key.alias("key"), F.col(id_column).alias("id"), leaf.alias("leaf"), said.alias("claimed"))
-    rows = rows.withColumn("claimed", F.expr("nullif(claimed, leaf)"))
+    # sorting by ranges reads its input twice: that must not be the texts
+    rows = scratch.keep(rows.withColumn("claimed", F.expr("nullif(claimed, leaf)")), "digests")
     rows = numbered(rows, "key", [F.col("id"), F.col("leaf")], "place")
     leaves = scratch.keep(rows.select("key", "id", "leaf", "claimed", F.expr(f"place div {BUCKET}").alias("bucket"), F.expr(f"place % {BUCKET}").alias("pos"), _levels(F.col("size")).alias("levels"), "size"), "leaves")
     dealt = _by_bucket(leaves.select("key", "bucket", "pos", "levels", "leaf"))
