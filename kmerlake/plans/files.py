@@ -10,7 +10,7 @@ import tempfile
 import threading
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kmerlake import api
@@ -102,6 +102,40 @@ def file_groups(spark, d):
     return read.select("group_idx", "group", "seq_id", "seq")
 
 
+def _read_files(spark: SparkSession, d: str, ending: str) -> str:
+    """Documents as sequence files, in order of their ids over all files: a folder."""
+    root, reads = folder(spark), tables.reads(spark, d)
+    fastx.write_fastx(reads.repartitionByRange(3, "seq_id").sortWithinPartitions("seq_id").select("seq_id", "seq"), root, ending)
+    return root
+
+
+SPLIT_FORMATS = (".fa", ".fq.gz", ".fa.zst")
+SPLIT_BYTES = 100_000
+LIMIT = 300_000
+
+
+@_query
+def file_split(spark, d):
+    """Large files, plain and in blocks, as many partitions: the records and their numbers are those of the whole files."""
+    out = None
+    for ending in SPLIT_FORMATS:
+        root = _read_files(spark, d, ending)
+        read = fastx.read_samples(spark, [root], [ending], split=SPLIT_BYTES)
+        # records of the files before, of which there are a few
+        before = Window.partitionBy("sample").orderBy("file_idx").rowsBetween(Window.unboundedPreceding, -1)
+        files = read.groupBy("sample", "file_idx").agg(F.count("*").alias("n")).select("sample", "file_idx", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+        rows = read.join(F.broadcast(files), ["sample", "file_idx"]).select("sample", (F.col("before") + F.col("rec_idx")).alias("number"), F.col("seq_id").cast("long").alias("doc_id"), "seq")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@_query
+def file_limit(spark, d):
+    """Reads of a folder of files up to a number of bases; the files' ranges behind it are not opened."""
+    read = fastx.read_samples(spark, [_read_files(spark, d, ".fq")], ["reads"], limit=LIMIT, numbers=False, split=SPLIT_BYTES)
+    return read.select("sample", F.col("seq_id").cast("long").alias("doc_id"), F.length("seq").cast("long").alias("length"))
+
+
 @_query
 def file_pipe(spark, d):
     """A named pipe, read once by the driver into the shared folder."""
@@ -259,6 +293,8 @@ ORACLES: dict[str, str] = {
     "file_formats": f"WITH r AS (SELECT {_FIELDS} FROM benchmark)\nSELECT f AS sample, seq_id, seq FROM r, (SELECT unnest({list(FORMATS)}) AS f)",
     "file_names": f"WITH r AS (SELECT {_FIELDS} FROM benchmark)\nSELECT f AS sample, row_number() OVER (PARTITION BY f ORDER BY item_id) - 1 AS rec_idx, seq_id, length(seq)::BIGINT AS length FROM r, (SELECT unnest(['a.b-00000', 'c-00000']) AS f)",
     "file_groups": f"SELECT (item_id % 4)::INT AS group_idx, 'group' || (item_id % 4) AS \"group\", seq_id, seq FROM (SELECT {_FIELDS} FROM benchmark)",
+    "file_split": f"SELECT f AS sample, row_number() OVER (PARTITION BY f ORDER BY doc_id) - 1 AS number, doc_id, regexp_replace({O.dna('text')}, '[^A-Za-z*.-]', 'N', 'g') AS seq FROM documents, (SELECT unnest({list(SPLIT_FORMATS)}) AS f)",
+    "file_limit": f"SELECT 'reads' AS sample, doc_id, length(text)::BIGINT AS length FROM documents QUALIFY coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < {LIMIT}",
     "file_pipe": f"SELECT 'pipe' AS sample, seq_id, seq FROM (SELECT {_FIELDS} FROM benchmark)",
     "file_background": f"WITH {O.TARGETS}\nSELECT DISTINCT kmer FROM tk WHERE id % 2 = 0",
     "file_targets": f"WITH {O.MERGED}\nSELECT o.target, max(o.length) AS length, count(DISTINCT kmer)::BIGINT AS target_kmers FROM o LEFT JOIN mk USING (g) GROUP BY o.g, o.target",

@@ -1,21 +1,24 @@
-"""`spark.read.format("fastx")`: FASTA and FASTQ files, plain, gz, xz or zst, a partition for each file.
+"""`spark.read.format("fastx")`: FASTA and FASTQ files, plain, gz, xz or zst, a partition for each range of a file.
 
-The format is told by the first byte. Options: `manifest`, a JSON list of [sample, file number, path or URL].
+The format is told by the first byte. Options: `manifest`, a JSON list of [sample, file number, path or URL], or
+`ranges`, one of sources.splits.Range as dictionaries; read_fastx plans those.
 Files must be readable by the executors; pipes and stdin are first copied by the driver (spool)
-to the folder that `spark.checkpoint.dir` names. `write_fastx` is the way back.
+to the folder that `spark.checkpoint.dir` names. `write_fastx` is the way back; its gz and zst files can be split.
 """
 
 from __future__ import annotations
 
-import gzip
 import io
 import json
 import lzma
 import shutil
+import struct
 import sys
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator, Sequence
+from dataclasses import asdict
 from typing import IO
 
 import pyarrow as pa
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from kmerlake.sources import paths, storage
+from kmerlake.sources import paths, splits, storage
 
 SCHEMA = "sample string, file_idx int, rec_idx long, seq_id string, seq string"
 BATCH_BASES = 1 << 22
@@ -35,14 +38,7 @@ def open_plain(path: str) -> IO[bytes]:
     raw = storage.open_input(path)
     if not hasattr(raw, "peek"):
         raw = io.BufferedReader(raw)
-    head = raw.peek(6)[:6]
-    if head.startswith(b"\x1f\x8b"):
-        return io.BufferedReader(gzip.GzipFile(fileobj=raw))
-    if head.startswith(b"\xfd7zXZ\x00"):
-        return io.BufferedReader(lzma.LZMAFile(raw))
-    if head.startswith(b"\x28\xb5\x2f\xfd"):
-        return io.BufferedReader(pa.CompressedInputStream(pa.PythonFile(raw, mode="r"), "zstd"))
-    return raw
+    return splits.inflated(raw, splits.kind_of(raw.peek(18)[:18]))
 
 
 def records(stream: IO[bytes]) -> Iterator[tuple[str, str]]:
@@ -76,34 +72,42 @@ def records(stream: IO[bytes]) -> Iterator[tuple[str, str]]:
         yield name, b"".join(parts).decode(errors="replace")
 
 
-class FastxFile(InputPartition):
-    def __init__(self, sample: str, file_idx: int, path: str):
-        self.sample, self.file_idx, self.path = sample, file_idx, path
+def range_records(r: splits.Range) -> Iterator[tuple[str, str]]:
+    whole = r.end_block is None and not r.block and not r.skip
+    with open_plain(r.path) if whole else splits.open_range(r) as stream:
+        yield from records(stream)
+
+
+class FastxRange(InputPartition):
+    def __init__(self, of: splits.Range):
+        self.of = of
 
 
 class FastxReader(DataSourceReader):
-    def __init__(self, manifest: list):
-        self.manifest = manifest
+    def __init__(self, ranges: list[splits.Range]):
+        self.ranges = ranges
 
-    def partitions(self) -> list[FastxFile]:
-        return [FastxFile(*m) for m in self.manifest]
+    def partitions(self) -> list[FastxRange]:
+        return [FastxRange(r) for r in self.ranges]
 
-    def read(self, partition: FastxFile) -> Iterator[pa.RecordBatch]:
-        names, seqs, at, size = [], [], 0, 0
+    def read(self, partition: FastxRange) -> Iterator[pa.RecordBatch]:
+        of = partition.of
+        names, seqs, at, size, before = [], [], of.first, 0, 0
 
         def batch() -> pa.RecordBatch:
             n = len(names)
-            cols = [pa.array([partition.sample] * n), pa.array([partition.file_idx] * n, pa.int32()), pa.array(range(at - n, at), pa.int64()), pa.array(names), pa.array(seqs)]
+            cols = [pa.array([of.sample] * n), pa.array([of.file_idx] * n, pa.int32()), pa.array(range(at - n, at), pa.int64()), pa.array(names), pa.array(seqs)]
             return pa.RecordBatch.from_arrays(cols, ["sample", "file_idx", "rec_idx", "seq_id", "seq"])
 
-        with open_plain(partition.path) as stream:
-            for name, seq in records(stream):
-                names.append(name)
-                seqs.append(seq)
-                at, size = at + 1, size + len(seq)
-                if size >= BATCH_BASES:
-                    yield batch()
-                    names, seqs, size = [], [], 0
+        for name, seq in range_records(of):
+            if of.bases is not None and before >= of.bases:
+                break
+            names.append(name)
+            seqs.append(seq)
+            at, size, before = at + 1, size + len(seq), before + len(seq)
+            if size >= BATCH_BASES:
+                yield batch()
+                names, seqs, size = [], [], 0
         if names:
             yield batch()
 
@@ -117,7 +121,9 @@ class FastxSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> FastxReader:
-        return FastxReader(json.loads(self.options["manifest"]))
+        if "ranges" in self.options:
+            return FastxReader([splits.Range(**r) for r in json.loads(self.options["ranges"])])
+        return FastxReader([splits.Range(*m, kind="") for m in json.loads(self.options["manifest"])])
 
 
 def spool(path: str, folder: str | None = None) -> str:
@@ -139,21 +145,63 @@ def _spool_folder(spark: SparkSession) -> str | None:
     return storage.plain(spark.conf.get("spark.checkpoint.dir", None) or "") or None
 
 
-def read_fastx(spark: SparkSession, manifest: Sequence[tuple[str, int, str]]) -> DataFrame:
-    """manifest: (sample, file number, path), as sources.paths gives it."""
+def read_fastx(spark: SparkSession, manifest: Sequence[tuple[str, int, str]], limit: int | None = None, numbers: bool = True, split: int = splits.SIZE) -> DataFrame:
+    """manifest: (sample, file number, path), as sources.paths gives it.
+
+    limit: each sample ends with the record that reaches as many bases. numbers: rec_idx counts a file's records; without
+    it, it ascends in the file, with gaps, and records of large files need not be counted. split: bytes to a partition.
+    """
     spark.dataSource.register(FastxSource)
     folder = _spool_folder(spark)
     files = [(sample, i, storage.absolute(spool(p, folder))) for sample, i, p in manifest]
-    return spark.read.format("fastx").option("manifest", json.dumps(files)).load()
+    ranges = splits.plan(spark, files, split)
+    if limit is not None:
+        ranges = splits.limited(spark, ranges, limit)
+    if not ranges:
+        return spark.createDataFrame([], SCHEMA)
+    if numbers:
+        ranges = splits.numbered(spark, ranges)
+    return spark.read.format("fastx").option("ranges", json.dumps([asdict(r) for r in ranges])).load()
+
+
+class _Blocks(io.RawIOBase):
+    """Compresses in blocks that can be read from any one on: BGZF blocks or zstd frames."""
+
+    def __init__(self, raw: IO[bytes], size: int, block, end: bytes = b""):
+        self.raw, self.size, self.block, self.end, self.held = raw, size, block, end, bytearray()
+
+    def writable(self) -> bool:
+        return True
+
+    def write(self, data: bytes) -> int:
+        self.held += data
+        while len(self.held) >= self.size:
+            self.raw.write(self.block(bytes(self.held[: self.size])))
+            del self.held[: self.size]
+        return len(data)
+
+    def close(self) -> None:
+        if not self.closed:
+            if self.held:
+                self.raw.write(self.block(bytes(self.held)))
+            self.raw.write(self.end)
+        super().close()
+
+
+def _bgzf_block(data: bytes) -> bytes:
+    deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = deflate.compress(data) + deflate.flush()
+    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0"
+    return head + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data))
 
 
 def _compressed(raw: IO[bytes], path: str) -> IO[bytes]:
     if path.endswith(".gz"):
-        return gzip.GzipFile(fileobj=raw, mode="wb", mtime=0)
+        return _Blocks(raw, 0xFF00, _bgzf_block, _bgzf_block(b""))
     if path.endswith(".xz"):
         return lzma.LZMAFile(raw, "wb")
     if path.endswith(".zst"):
-        return pa.CompressedOutputStream(pa.PythonFile(raw, mode="w"), "zstd")
+        return _Blocks(raw, 1 << 20, lambda data: pa.compress(data, codec="zstd", asbytes=True))
     return raw
 
 
@@ -190,14 +238,14 @@ def write_fastx(df: DataFrame, folder: str, ending: str = ".fa", stem: str = "pa
     rows.mapInArrow(run, "n long").agg(F.sum("n")).collect()  # one number
 
 
-def read_samples(spark: SparkSession, inputs: Sequence[str], names: Sequence[str] | None = None) -> DataFrame:
-    return read_fastx(spark, paths.samples(inputs, names))
+def read_samples(spark: SparkSession, inputs: Sequence[str], names: Sequence[str] | None = None, limit: int | None = None, numbers: bool = True, split: int = splits.SIZE) -> DataFrame:
+    return read_fastx(spark, paths.samples(inputs, names), limit, numbers, split)
 
 
-def read_groups(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
+def read_groups(spark: SparkSession, folder: str, numbers: bool = True) -> tuple[DataFrame, list[str]]:
     """(records with group_idx and group, the groups' names)."""
     found = paths.groups(folder)
     names = list(dict.fromkeys(g for _, g, _, _ in found))
     numbers = spark.createDataFrame(list(enumerate(names)), "group_idx int, group string")
-    read = read_fastx(spark, [(g, i, p) for _, g, i, p in found]).withColumnRenamed("sample", "group")
+    read = read_fastx(spark, [(g, i, p) for _, g, i, p in found], numbers=numbers).withColumnRenamed("sample", "group")
     return read.join(F.broadcast(numbers), "group"), names

@@ -70,6 +70,21 @@ def open_input(path: str) -> IO[bytes]:
     return fs.open_input_stream(at)
 
 
+def open_seekable(path: str) -> IO[bytes]:
+    if not is_remote(path):
+        return open(plain(path), "rb")
+    fs, at = FileSystem.from_uri(path)
+    return fs.open_input_file(at)
+
+
+def size(path: str) -> int:
+    """Bytes of a file."""
+    if not is_remote(path):
+        return os.path.getsize(plain(path))
+    fs, at = FileSystem.from_uri(path)
+    return fs.get_file_info(at).size
+
+
 def open_output(path: str) -> IO[bytes]:
     if not is_remote(path):
         os.makedirs(os.path.dirname(plain(path)) or ".", exist_ok=True)
