@@ -11,8 +11,7 @@ from kmerlake.operators import classify as C
 from kmerlake.operators import containment as Q
 from kmerlake.operators import lenhist as L
 from kmerlake.operators import targets as T
-from kmerlake.operators.syncmers import syncmers
-from kmerlake.plans.params import check_fraction, check_groups, check_k_s
+from kmerlake.plans.params import check_fraction, check_groups, check_k_s, parse_bases
 from kmerlake.sources import fastx, index, paths, storage
 
 
@@ -20,25 +19,33 @@ def _is_index(path: str) -> bool:
     return storage.is_dir(f"{path}/meta")
 
 
-def _limited(reads: DataFrame, limit: int | None) -> DataFrame:
-    return reads if limit is None else Q.limit_bases(reads, limit, ["file_idx", "rec_idx"])
+def _reads(spark: SparkSession, samples: Sequence[str], names: Sequence[str] | None, limit: int | str | None) -> DataFrame:
+    """Records of the samples; what lies behind a limit is not opened."""
+    return fastx.read_samples(spark, samples, names, parse_bases(limit) if isinstance(limit, str) else limit, numbers=False)
 
 
-def read_targets(spark: SparkSession, path: str, individual: bool = False) -> DataFrame:
-    """Records with target_idx and target. A folder's files and folders are a target each; of a file, each
-    record (`individual`), or all together under the file's name if there are several."""
-    if storage.is_dir(path):
-        records, _ = fastx.read_groups(spark, path)
+def _sample_order(samples: Sequence[str], names: Sequence[str] | None) -> list[str]:
+    """Samples as given, which is how reports follow."""
+    return list(names) if names is not None else [paths.sample_name(p) for p in samples]
+
+
+def read_targets(spark: SparkSession, path: str | Sequence[str], individual: bool = False) -> DataFrame:
+    """Records with target_idx and target. A folder's files and folders are a target each; of a file, or of several files
+    in their order, each record (`individual`), or all together under the first file's name if there are several."""
+    files = [path] if isinstance(path, str) else list(path)
+    if len(files) == 1 and storage.is_dir(files[0]):
+        records, _ = fastx.read_groups(spark, files[0], numbers=False)
         return records.withColumnRenamed("group_idx", "target_idx").withColumnRenamed("group", "target")
-    records = fastx.read_fastx(spark, [("", 0, path)])
-    if not individual and records.limit(2).count() > 1:
-        return records.withColumn("target_idx", F.lit(0).cast("long")).withColumn("target", F.lit(paths.sample_name(path)))
-    return records.withColumn("target_idx", F.col("rec_idx")).withColumn("target", F.col("seq_id")).drop("file_idx", "rec_idx")
+    records = fastx.read_fastx(spark, [("", i, p) for i, p in enumerate(files)])
+    if not individual and len(records.select("rec_idx").take(2)) > 1:
+        return records.withColumn("target_idx", F.lit(0).cast("long")).withColumn("target", F.lit(paths.sample_name(files[0])))
+    number = F.shiftleft(F.col("file_idx").cast("long"), 40) + F.col("rec_idx")
+    return records.withColumn("target_idx", number).withColumn("target", F.col("seq_id")).drop("file_idx", "rec_idx")
 
 
-def load_targets(spark: SparkSession, path: str, k: int = 31, s: int = 9, individual: bool = False, fraction: float | None = None, background: Sequence[str] = (), discriminatory: bool = False, positions: bool = False, order: str | None = None) -> tuple[T.Targets, int, int, str | None]:
+def load_targets(spark: SparkSession, path: str | Sequence[str], k: int = 31, s: int = 9, individual: bool = False, fraction: float | None = None, background: Sequence[str] = (), discriminatory: bool = False, positions: bool = False, order: str | None = None) -> tuple[T.Targets, int, int, str | None]:
     """(targets, k, s, order) from an index or sequence files, filtered in the fixed order."""
-    if _is_index(path):
+    if isinstance(path, str) and _is_index(path):
         found, meta = index.load_targets(spark, path, fraction, positions)
         k, s, order = meta["k"], meta["s"], meta["smer_order"]
     else:
@@ -53,16 +60,23 @@ def load_targets(spark: SparkSession, path: str, k: int = 31, s: int = 9, indivi
 
 def background_hits(spark: SparkSession, tk: DataFrame, inputs: Sequence[str], k: int, s: int, order: str | None = None) -> DataFrame:
     files = [("background", i, p) for i, p in enumerate(paths.background(inputs))]
-    return T.background_hits(T.union_kmers(tk), syncmers(fastx.read_fastx(spark, files).select("seq"), k, s, order=order))
+    return T.background_hits_of(tk, fastx.read_fastx(spark, files, numbers=False), k, s, order)
 
 
-def query(spark: SparkSession, targets: str, samples: Sequence[str], *, k: int = 31, s: int = 9, individual: bool = False, confidence: bool = False, discriminatory: bool = False, fraction: float | None = None, thresholds: Sequence[int] = (10,), background: Sequence[str] = (), limit: int | None = None, names: Sequence[str] | None = None, order: str | None = None) -> DataFrame:
+def query(spark: SparkSession, targets: str | Sequence[str], samples: Sequence[str], *, k: int = 31, s: int = 9, individual: bool = False, confidence: bool = False, discriminatory: bool = False, fraction: float | None = None, thresholds: Sequence[int] = (10,), background: Sequence[str] = (), limit: int | str | None = None, names: Sequence[str] | None = None, order: str | None = None, totals: bool = False, sort: str | None = None) -> DataFrame:
+    """limit: bases of each sample, also as text (`10M`). totals: is_total and a TOTAL row for each sample. sort: rows in a report's order (containment.SORTS), samples as given."""
     found, k, s, order = load_targets(spark, targets, k, s, individual, fraction, background, discriminatory, confidence, order)
-    reads = _limited(fastx.read_samples(spark, samples, names), limit)
-    return Q.containment(found, reads, k, s, thresholds, confidence, order)
+    out = Q.containment(found, _reads(spark, samples, names, limit), k, s, thresholds, confidence, order)
+    if totals:
+        out = Q.with_totals(out, thresholds)
+    if sort is None:
+        return out
+    flagged = out if totals else out.withColumn("is_total", F.lit(False))
+    ordered = flagged.orderBy(*Q.report_order(sort, _sample_order(samples, names)))
+    return ordered if totals else ordered.drop("is_total")
 
 
-def dump_syncmers(spark: SparkSession, targets: str, *, k: int = 31, s: int = 9, individual: bool = False, fraction: float | None = None, background: Sequence[str] = (), discriminatory: bool = False, order: str | None = None) -> DataFrame:
+def dump_syncmers(spark: SparkSession, targets: str | Sequence[str], *, k: int = 31, s: int = 9, individual: bool = False, fraction: float | None = None, background: Sequence[str] = (), discriminatory: bool = False, order: str | None = None) -> DataFrame:
     found, k, _, _ = load_targets(spark, targets, k, s, individual, fraction, background, discriminatory, True, order)
     return T.dump(found.kmers, k)
 
@@ -74,7 +88,7 @@ def load_groups(spark: SparkSession, path: str, k: int, s: int, discriminatory:
         kmers, groups, k, s, order = found.kmers, found.names, found.meta["k"], found.meta["s"], found.meta["smer_order"]
     else:
         check_k_s(k, s)
-        records, names = fastx.read_groups(spark, path)
+        records, names = fastx.read_groups(spark, path, numbers=False)
         check_groups(len(names))
         groups = spark.createDataFrame(list(enumerate(names)), "group_idx int, group string")
         kmers = C.group_index(records, k, s, order)
@@ -86,25 +100,25 @@ def _numbered(reads: DataFrame) -> DataFrame:
     return reads.withColumn("read_name", F.col("seq_id")).withColumn("seq_id", F.concat_ws(":", "file_idx", "rec_idx", "seq_id"))
 
 
-def classify(spark: SparkSession, groups: str, samples: Sequence[str], *, k: int = 31, s: int = 9, discriminatory: bool = False, abs_threshold: int = 1, rel_threshold: float = 0.0, limit: int | None = None, names: Sequence[str] | None = None, per_seq: bool = False, order: str | None = None) -> DataFrame:
+def classify(spark: SparkSession, groups: str, samples: Sequence[str], *, k: int = 31, s: int = 9, discriminatory: bool = False, abs_threshold: int = 1, rel_threshold: float = 0.0, limit: int | str | None = None, names: Sequence[str] | None = None, per_seq: bool = False, order: str | None = None) -> DataFrame:
+    """A row for each read (`per_seq`), or for each sample and group in a report's order, samples as given."""
     kmers, known, k, s, order = load_groups(spark, groups, k, s, discriminatory, order)
-    reads = _numbered(_limited(fastx.read_samples(spark, samples, names), limit))
-    found = C.per_sequence(reads, kmers, known, k, s, abs_threshold, rel_threshold, order)
+    found = C.per_sequence(_numbered(_reads(spark, samples, names, limit)), kmers, known, k, s, abs_threshold, rel_threshold, order)
     if per_seq:
         return found.withColumn("seq_id", F.regexp_replace("seq_id", r"^\d+:\d+:", ""))
-    return C.summary(C.buckets(found), known)
+    return C.summary(C.buckets(found), known).orderBy(*C.summary_order(_sample_order(samples, names)))
 
 
-def lenhist(spark: SparkSession, groups: str, samples: Sequence[str], *, k: int = 31, s: int = 9, discriminatory: bool = False, abs_threshold: int = 1, rel_threshold: float = 0.0, limit: int | None = None, names: Sequence[str] | None = None, order: str | None = None) -> DataFrame:
+def lenhist(spark: SparkSession, groups: str, samples: Sequence[str], *, k: int = 31, s: int = 9, discriminatory: bool = False, abs_threshold: int = 1, rel_threshold: float = 0.0, limit: int | str | None = None, names: Sequence[str] | None = None, order: str | None = None) -> DataFrame:
     """groups `-`: one bucket for all reads, no k-mers."""
-    reads = _numbered(_limited(fastx.read_samples(spark, samples, names), limit))
+    reads = _numbered(_reads(spark, samples, names, limit))
     if groups == "-":
         return L.histogram(L.all_in_one(reads))
     kmers, known, k, s, order = load_groups(spark, groups, k, s, discriminatory, order)
     return L.histogram(C.buckets(C.per_sequence(reads, kmers, known, k, s, abs_threshold, rel_threshold, order)))
 
 
-def build_query_index(spark: SparkSession, targets: str, out: str, *, k: int = 31, s: int = 9, individual: bool = False, positions: bool = False, fraction: float = 1.0, background: Sequence[str] = (), order: str | None = None) -> None:
+def build_query_index(spark: SparkSession, targets: str | Sequence[str], out: str, *, k: int = 31, s: int = 9, individual: bool = False, positions: bool = False, fraction: float = 1.0, background: Sequence[str] = (), order: str | None = None) -> None:
     found, k, s, _ = load_targets(spark, targets, k, s, individual, fraction, background, order=order)
     index.save_query_index(spark, out, found, k, s, fraction, positions, order or ("md5" if s <= 9 else "mix"))
 

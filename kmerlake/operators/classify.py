@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kmerlake.operators import sides
+from kmerlake.operators import prefilter, sides
 from kmerlake.operators.containment import in_order
 from kmerlake.operators.syncmers import syncmers
+from kmerlake.sources import shared
 
 AMBIGUOUS, UNCLASSIFIED = "ambiguous", "unclassified"
 CLASSIFIED = "classified"
@@ -38,14 +39,21 @@ def per_sequence(reads: DataFrame, index: DataFrame, groups: DataFrame, k: int,
     one match classifies, several are ambiguous (listed in the groups' order), none is unclassified ('.', '0').
     groups: group_idx, group. Reads without k-mers are unclassified. reads: sample, seq_id (unique in a sample), seq.
     """
-    empty = F.lit(None).cast("array<int>")
-    base = reads.select("sample", "seq_id", empty.alias("at"), F.lit(0).cast("long").alias("n"), F.coalesce(F.length("seq"), F.lit(0)).cast("long").alias("seq_length"))
     # a k-mer's groups as one row, so a read's k-mers stay what they are and count once
-    by_kmer = index.groupBy("kmer").agg(F.sort_array(F.collect_set(F.col("group_idx").cast("int"))).alias("at"))
-    found = syncmers(reads.select("sample", "seq_id", "seq"), k, s, order=order).join(sides.bounded(by_kmer), "kmer", "left")
-    sets = found.groupBy("sample", "seq_id", "at").agg(F.count("*").alias("n")).withColumn("seq_length", F.lit(0).cast("long"))
-    # a row for each set of groups that k-mers of the read have
-    per = base.unionByName(sets).groupBy("sample", "seq_id").agg(F.sum("n").alias("seq_kmers"), F.max("seq_length").alias("seq_length"), F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "n"))).alias("_sets"))
+    side, rows = sides.counted(index.groupBy("kmer").agg(F.sort_array(F.collect_set(F.col("group_idx").cast("int"))).alias("at")))
+    small = rows <= sides.BROADCAST_ROWS
+    only = None if small else prefilter.build(side, rows)
+    # one pass for hits and for each read's number of k-mers and length
+    found = syncmers(reads.select("sample", "seq_id", "seq"), k, s, order=order, tally=True, only=only)
+    if small:
+        met = found.join(F.broadcast(side), "kmer", "left").filter("kmer IS NULL OR at IS NOT NULL")
+    else:
+        found = shared.keep(found, "hits")
+        none = F.lit(None).cast("array<int>").alias("at")
+        met = found.filter("kmer IS NOT NULL").join(side.hint("shuffle_hash"), "kmer").unionByName(found.filter("kmer IS NULL").select("*", none))
+    # a row for each set of groups that k-mers of the read have, and one for the read
+    sets = met.groupBy("sample", "seq_id", "at").agg(F.count("*").alias("n"), F.sum("mers").alias("mers"), F.sum("bases").alias("bases"))
+    per = sets.groupBy("sample", "seq_id").agg(F.sum("mers").alias("seq_kmers"), F.sum("bases").alias("seq_length"), F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "n"))).alias("_sets"))
     names = groups.select(F.col("group_idx").cast("int").alias("g"), F.col("group").alias("name"))
     every = names.agg(F.sort_array(F.collect_list(F.struct("g", "name"))).alias("_every"))  # at most MAX_GROUPS
     hits_of = lambda g: F.aggregate(F.filter("_sets", lambda x: F.array_contains(x["at"], g)), F.lit(0).cast("long"), lambda a, x: a + x["n"])
@@ -74,9 +82,13 @@ def summary(bucketed: DataFrame, groups: DataFrame) -> DataFrame:
     last = F.lit(1 << 30)
     pseudo = spark.createDataFrame([(AMBIGUOUS, 0), (UNCLASSIFIED, 1)], "bucket string, _i int").select("bucket", (last + F.col("_i")).alias("bucket_idx"))
     names = groups.select(F.col("group").alias("bucket"), F.col("group_idx").cast("int").alias("bucket_idx")).unionByName(pseudo)
+    # counted once; what a sample has no reads of is added from the names
+    every = names.agg(F.collect_list(F.struct("bucket", "bucket_idx")).alias("_every"))  # at most MAX_GROUPS and two
     counts = bucketed.groupBy("sample", "bucket").agg(F.count("*").alias("seqs"), F.sum("seq_length").alias("bases"))
-    grid = counts.select("sample").distinct().crossJoin(F.broadcast(names)).join(counts, ["sample", "bucket"], "left")
-    grid = grid.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("seqs", "bases")})
+    got = counts.groupBy("sample").agg(F.collect_list(F.struct("bucket", "seqs", "bases")).alias("_got")).crossJoin(F.broadcast(every))
+    own = lambda x: F.get(F.filter("_got", lambda y: y["bucket"] == x["bucket"]), 0)
+    rows = got.select("sample", F.explode(F.transform("_every", lambda x: F.struct(x["bucket"].alias("bucket"), x["bucket_idx"].alias("bucket_idx"), own(x).alias("own")))).alias("x"))
+    grid = rows.select("sample", "x.bucket", "x.bucket_idx", *(F.coalesce(F.col(f"x.own.{c}"), F.lit(0)).cast("long").alias(c) for c in ("seqs", "bases")))
     w = Window.partitionBy("sample")
     pct = lambda c: F.when(F.sum(c).over(w) > 0, 100 * F.col(c) / F.sum(c).over(w)).otherwise(F.lit(0.0))
     return grid.select("sample", F.col("bucket").alias("group"), pct("seqs").alias("seqs_pct"), "seqs", pct("bases").alias("bases_pct"), "bases", "bucket_idx")

@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerlake.functions import stats
-from kmerlake.operators import prefix, sides
+from kmerlake.operators import prefilter, prefix, sides
 from kmerlake.operators.syncmers import syncmers
 from kmerlake.operators.targets import Targets, distinct_kmers, union_kmers
 from kmerlake.plans.params import MAX_DEPTH, normalise_thresholds
+from kmerlake.sources import shared
 
+STRETCH = 1 << 20  # bases
+STRETCH_HITS = 1 << 16
 SORTS = ("containment", "target", "sample", "input")
 
 
@@ -31,10 +34,33 @@ def limit_bases(reads: DataFrame, limit: int, order: Sequence[str], by: str = "s
     return whole.select(*reads.columns).unionByName(last.select(*reads.columns))
 
 
+def tallied(reads: DataFrame, tk: DataFrame, k: int, s: int, order: str | None = None) -> DataFrame:
+    """reads: sample, seq. Gives sample, kmer, n of target k-mers and, without a k-mer, sample, seqs, bases: one pass for both.
+
+    K-mers of no target are dropped before anything is shuffled: by the targets themselves if they may be broadcast,
+    else by a filter in the generator that lets few others pass, and then by an exact join.
+    """
+    side, rows = sides.sized(union_kmers(tk), tk)
+    small = rows <= sides.BROADCAST_ROWS
+    found = syncmers(reads.select("sample", "seq"), k, s, order=order, tally=True, only=None if small else prefilter.build(side, rows))
+    if small:
+        known = F.broadcast(side.withColumn("_known", F.lit(True)))
+        found = found.join(known, "kmer", "left").filter("kmer IS NULL OR _known")
+    # counted before an exact join, so that a frequent k-mer comes once from each task
+    counts = found.groupBy("sample", "kmer").agg(F.count("kmer").alias("n"), F.sum("seqs").alias("seqs"), F.sum("bases").alias("bases"))
+    if small:
+        return counts
+    counts = shared.keep(counts, "counts")
+    return counts.filter("kmer IS NULL").unionByName(counts.join(side.hint("shuffle_hash"), "kmer", "left_semi").select(*counts.columns))
+
+
 def abundance(reads: DataFrame, tk: DataFrame, k: int, s: int, order: str | None = None) -> DataFrame:
     """reads: sample, seq. Gives sample, kmer, depth of target k-mers. Others are dropped before anything is shuffled."""
-    found = syncmers(reads.select("sample", "seq"), k, s, order=order)
-    return depths(found.join(sides.bounded(union_kmers(tk)), "kmer", "left_semi"))
+    return _depths(tallied(reads, tk, k, s, order))
+
+
+def _depths(counts: DataFrame) -> DataFrame:
+    return counts.filter("kmer IS NOT NULL").select("sample", "kmer", F.least("n", F.lit(MAX_DEPTH)).cast("long").alias("depth"))
 
 
 def depths(occurrences: DataFrame) -> DataFrame:
@@ -46,10 +72,8 @@ def sample_stats(reads: DataFrame) -> DataFrame:
     return reads.groupBy("sample").agg(F.count("*").alias("sample_seqs"), F.coalesce(F.sum(F.length("seq")), F.lit(0)).cast("long").alias("sample_bases"))
 
 
-def _hit_stats(td: DataFrame, abund: DataFrame, thresholds: Sequence[int]) -> DataFrame:
-    hits = td.join(abund, "kmer")
-    # over counts of each depth, of which there are few, and not over single k-mers
-    by_depth = hits.groupBy("sample", "target_idx", "depth").agg(F.count("*").alias("n"))
+def _hit_stats(by_depth: DataFrame, thresholds: Sequence[int]) -> DataFrame:
+    """Over counts of each depth, of which there are few, and not over single k-mers."""
     above = [F.sum(F.when(F.col("depth") >= t, F.col("n")).otherwise(0)).alias(f"containment{t}_hits") for t in thresholds]
     return by_depth.groupBy("sample", "target_idx").agg(F.sum("n").alias("containment1_hits"), *above, F.percentile("depth", F.lit(0.5), F.col("n")).alias("median_nz_abundance"))
 
@@ -67,38 +91,74 @@ def depth_modes(hist: DataFrame) -> DataFrame:
     return best.select("sample", "target_idx", F.col("m.depth").alias("mode"), F.col("m.n").alias("at_mode"), F.col("m._next").alias("after_mode"))
 
 
-def patchiness(tk: DataFrame, samples: DataFrame, abund: DataFrame) -> DataFrame:
-    """sample, target_idx, z, p: do a target's k-mers that were found cluster along it? Over k-mers that stand once in it.
+def numbered_once(tk: DataFrame) -> DataFrame:
+    """target_idx, kmer, i (from 1, by place) of the k-mers that stand once in their target, and n, how many it has.
 
-    Those are numbered once; only the ones that a sample has are joined and put in order, and a gap in their
-    numbers is a run of misses.
+    They are numbered in stretches of STRETCH bases, and each stretch's number of k-mers is added to those behind it: no
+    task holds a target.
     """
-    place = Window.partitionBy("target_idx").orderBy("pos")
     once = tk.groupBy("target_idx", "kmer").agg(F.count("*").alias("_n"), F.min("pos").alias("pos")).filter("_n = 1")
-    once = once.select("target_idx", "kmer", F.row_number().over(place).cast("long").alias("i"))
-    sizes = once.groupBy("target_idx").agg(F.count("*").alias("n"))
-    hits = abund.select("sample", "kmer").join(once, "kmer")
-    w = Window.partitionBy("sample", "target_idx").orderBy("i")
-    fresh = F.coalesce((F.col("i") - F.lag("i").over(w) > 1).cast("long"), F.lit(1))
-    per = hits.withColumn("_fresh", fresh).groupBy("sample", "target_idx").agg(F.count("*").alias("hits"), F.sum("_fresh").alias("_runs"), F.min("i").alias("_lo"), F.max("i").alias("_hi"))
+    once = once.select("target_idx", "kmer", "pos", F.floor(F.col("pos") / STRETCH).alias("_stretch"))
+    whole = Window.partitionBy("target_idx")
+    counts = once.groupBy("target_idx", "_stretch").agg(F.count("*").alias("_own"))
+    before = F.coalesce(F.sum("_own").over(whole.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("target_idx", "_stretch", before.alias("_before"), F.sum("_own").over(whole).alias("n"))
+    inside = F.row_number().over(Window.partitionBy("target_idx", "_stretch").orderBy("pos"))
+    placed = once.withColumn("_i", inside).join(counts, ["target_idx", "_stretch"])
+    return placed.select("target_idx", "kmer", (F.col("_i") + F.col("_before")).cast("long").alias("i"), "n")
+
+
+def run_counts(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """hits: keys, i (once each). Gives keys, hits, runs of neighbouring i, and the first and last i.
+
+    Runs are counted in stretches of numbers, then those that go on over a border are joined.
+    """
+    cut = hits.withColumn("_stretch", F.floor(F.col("i") / STRETCH_HITS))
+    near = Window.partitionBy(*keys, "_stretch").orderBy("i")
+    fresh = F.coalesce((F.col("i") - F.lag("i").over(near) > 1).cast("long"), F.lit(1))
+    parts = cut.withColumn("_fresh", fresh).groupBy(*keys, "_stretch").agg(F.count("*").alias("hits"), F.sum("_fresh").alias("runs"), F.min("i").alias("lo"), F.max("i").alias("hi"))
+    goes_on = (F.col("lo") - F.lag("hi").over(Window.partitionBy(*keys).orderBy("_stretch")) == 1).cast("long")
+    joined = parts.withColumn("runs", F.col("runs") - F.coalesce(goes_on, F.lit(0)))
+    return joined.groupBy(*keys).agg(F.sum("hits").alias("hits"), F.sum("runs").alias("runs"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def patchiness(tk: DataFrame, samples: DataFrame, abund: DataFrame) -> DataFrame:
+    """sample, target_idx, z, p: do a target's k-mers that were found cluster along it? Over k-mers that stand once in it. samples: a report's, so few.
+
+    Those are numbered once; only the ones that a sample has are joined, and a gap in their numbers is a run of misses.
+    """
+    once = numbered_once(tk)
+    sizes = once.groupBy("target_idx").agg(F.max("n").alias("n"))
+    per = run_counts(abund.select("sample", "kmer").join(once.drop("n"), "kmer").select("sample", "target_idx", "i"), ["sample", "target_idx"])
     # few samples by few targets: the report itself
-    sums = sizes.crossJoin(sides.bounded(samples.select("sample"))).join(per, ["sample", "target_idx"], "left")
-    runs = 2 * F.col("_runs") - 1 + (F.col("_lo") > 1).cast("long") + (F.col("_hi") < F.col("n")).cast("long")
+    sums = sizes.crossJoin(samples.select("sample")).join(per, ["sample", "target_idx"], "left")
+    runs = 2 * F.col("runs") - 1 + (F.col("lo") > 1).cast("long") + (F.col("hi") < F.col("n")).cast("long")
     sums = sums.select("sample", "target_idx", "n", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), F.coalesce(runs, F.lit(1)).cast("long").alias("runs"))
     z = stats.runs_z(F.col("n"), F.col("hits"), F.col("runs"))
     return sums.withColumn("z", z).withColumn("p", stats.normal_survival(F.col("z")))
 
 
 def containment(targets: Targets, reads: DataFrame, k: int, s: int, thresholds: Sequence[int] = (10,), confidence: bool = False, order: str | None = None, abund: DataFrame | None = None) -> DataFrame:
-    """A row for each sample and target, also for those without a hit. reads: sample, seq."""
+    """A row for each sample and target, also for those without a hit. reads: sample, seq, which are read once.
+
+    The generator's counts are written and used from there, and so are the counts of each depth, on which all figures rest.
+    """
     thresholds = normalise_thresholds(thresholds)
-    abund = abundance(reads, targets.kmers, k, s, order) if abund is None else abund
+    if abund is None:
+        counts = shared.keep(tallied(reads, targets.kmers, k, s, order), "depths")
+        abund = _depths(counts)
+        per_sample = counts.filter("kmer IS NULL").select("sample", F.col("seqs").alias("sample_seqs"), F.col("bases").alias("sample_bases"))
+    else:
+        per_sample = sample_stats(reads)
     td = distinct_kmers(targets.kmers)
     sizes = td.groupBy("target_idx").agg(F.count("*").alias("target_kmers"))
-    per_sample = sample_stats(reads)
+    by_depth = depth_histogram(td, abund)
+    if confidence:
+        by_depth = shared.keep(by_depth, "histogram")
     # few samples by few targets: the report itself
-    grid = targets.info.join(sizes, "target_idx", "left").crossJoin(sides.bounded(per_sample))
-    found = grid.join(_hit_stats(td, abund, thresholds), ["sample", "target_idx"], "left")
+    per_sample = sides.bounded(per_sample, per_sample.count())
+    grid = targets.info.join(sizes, "target_idx", "left").crossJoin(per_sample)
+    found = grid.join(_hit_stats(by_depth, thresholds), ["sample", "target_idx"], "left")
     every = [1, *thresholds]
     n = F.coalesce("target_kmers", F.lit(0)).cast("long")
     hits = {t: F.coalesce(F.col(f"containment{t}_hits"), F.lit(0)).cast("long") for t in every}
@@ -109,7 +169,7 @@ def containment(targets: Targets, reads: DataFrame, k: int, s: int, thresholds:
         for t in every:
             lo, hi = stats.wilson(F.col(f"containment{t}_hits"), F.col("target_kmers"))
             out = out.withColumns({f"containment{t}_lo": lo, f"containment{t}_hi": hi})
-        modes = depth_modes(depth_histogram(td, abund))
+        modes = depth_modes(by_depth)
         patchy = patchiness(targets.kmers, per_sample, abund).select("sample", "target_idx", F.col("z").alias("patchiness_z"), F.col("p").alias("patchiness_p"))
         out = out.join(modes, ["sample", "target_idx"], "left").join(patchy, ["sample", "target_idx"], "left")
         rate = stats.depth_rate(F.col("target_kmers"), F.col("containment1_hits"), F.col("median_nz_abundance"), F.col("mode"), F.col("at_mode"), F.col("after_mode"))

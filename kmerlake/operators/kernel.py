@@ -19,6 +19,7 @@ TABLE_S = 9  # up to this s the order comes from a table of all s-mers
 _CODE = np.full(256, 4, np.uint8)
 _CODE[[65, 67, 71, 84]] = range(4)
 _LETTERS = np.frombuffer(b"ACGT", np.uint8)
+WIDE = pa.decimal128(38, 0)
 _orders: dict[tuple[str, int], np.ndarray] = {}
 
 
@@ -55,8 +56,37 @@ def order_table(order: str, s: int) -> np.ndarray:
     return _orders[order, s]
 
 
+def _seeds() -> np.ndarray:
+    """32 bits for each base."""
+    return (_mix(np.arange(1, 5)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+#: For A, C, G and T.
+SEEDS = _seeds()
+
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    by %= 32
+    return x << np.uint32(by) | x >> np.uint32(32 - by) if by else x
+
+
+def _rolling(code: np.ndarray, s: int) -> np.ndarray:
+    """The lesser of both strands' hashes of each s-mer: seeds of its bases, turned by their places, xor-ed; so the next
+    s-mer's is this one's turned, without the base that leaves and with the one that enters."""
+    n = len(code) - s + 1
+    base = code & np.uint8(3)
+    own, other = SEEDS[base], SEEDS[3 - base]
+    ahead, back = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
+    for j in range(s):
+        ahead ^= _turned(own[j : j + n], s - 1 - j)
+        back ^= _turned(other[j : j + n], j)
+    return np.minimum(ahead, back)
+
+
 def _ranks(code: np.ndarray, s: int, order: str) -> np.ndarray:
     """Of the s-mer at each place; those with ambiguous bases have any."""
+    if order == "rolling":
+        return _rolling(code, s)
     n = len(code) - s + 1
     kind = np.uint32 if s <= 16 else np.uint64
     x = np.zeros(n, kind)
@@ -102,6 +132,22 @@ def packed(code: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
     return np.minimum(x, y)
 
 
+def packed_wide(code: np.ndarray, starts: np.ndarray, k: int) -> pa.Array:
+    """Canonical k-mers as numbers of two 64-bit words, k up to 61, as decimals."""
+
+    def words(at) -> tuple[np.ndarray, np.ndarray]:
+        high, low = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
+        for i in range(k):
+            high = high << np.uint64(2) | low >> np.uint64(62)
+            low = low << np.uint64(2) | at(i)
+        return high, low
+
+    x, y = words(lambda i: code[starts + i].astype(np.uint64)), words(lambda i: (3 - code[starts + (k - 1 - i)]).astype(np.uint64))
+    less = (x[0] < y[0]) | ((x[0] == y[0]) & (x[1] <= y[1]))
+    out = np.stack([np.where(less, x[1], y[1]), np.where(less, x[0], y[0])], 1)
+    return pa.Array.from_buffers(WIDE, len(out), [None, pa.py_buffer(np.ascontiguousarray(out))])
+
+
 def spelled(code: np.ndarray, starts: np.ndarray, k: int) -> pa.Array:
     """Canonical k-mers as strings, any k."""
     x = code[starts[:, None] + np.arange(k)]
@@ -113,8 +159,11 @@ def spelled(code: np.ndarray, starts: np.ndarray, k: int) -> pa.Array:
     return pa.array(np.ascontiguousarray(_LETTERS[out]).view(f"S{k}").reshape(-1).astype(f"U{k}") if len(out) else [], pa.string())
 
 
-def blocks(seqs: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, codes, offsets) of runs of whole sequences, a code for each character. Null is empty."""
+def blocks(seqs: pa.Array, k: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(first row, codes, offsets, shift) of runs of whole sequences, a code for each character. Null is empty.
+
+    A sequence of more than BLOCK_BASES comes in pieces that overlap by k - 1; shift is where a piece begins in it.
+    """
     seqs = seqs.fill_null("").cast(pa.large_string())
     n = len(seqs)
     if not n:
@@ -126,9 +175,16 @@ def blocks(seqs: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     while row < n:
         end = max(row + 1, int(np.searchsorted(at, at[row] + BLOCK_BASES, "right")) - 1)
         part, cut = data[at[row] : at[end]], at[row : end + 1] - at[row]
-        more = (part & 0xC0) == 0x80
-        if more.any():  # further bytes of a character
+        if not part.size or part.max() < 0x80:
+            code = _CODE[part]
+        else:  # further bytes of a character do not count
+            more = (part & 0xC0) == 0x80
             cut = cut - np.concatenate([[0], np.cumsum(more)])[cut]
-            part = part[~more]
-        yield row, _CODE[part], cut
+            code = _CODE[part[~more]]
+        if end == row + 1 and len(code) > BLOCK_BASES:
+            for a in range(0, max(len(code) - k + 1, 1), BLOCK_BASES):
+                piece = code[a : a + BLOCK_BASES + k - 1]
+                yield row, piece, np.array([0, len(piece)]), a
+        else:
+            yield row, code, cut, 0
         row = end

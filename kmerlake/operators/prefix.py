@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerlake.operators import sides
@@ -13,14 +13,15 @@ RECORDS = 1 << 16  # to a block: neighbours by the last column of the order
 BLOCK, BEFORE, TOTAL = "_block", "_block_before", "_block_total"
 
 
-def with_block_sums(records: DataFrame, by: str, order: Sequence[str]) -> DataFrame:
-    """records and their block, the bases of the group's blocks before it and its own. The last column of order is an integer."""
+def with_block_sums(records: DataFrame, by: str, order: Sequence[str], size: Column | None = None) -> DataFrame:
+    """records and their block, the bases of the group's blocks before it and its own. The last column of order is an integer. size: of a record, by default its sequence's."""
+    size = F.length("seq") if size is None else size
     dealt = records.withColumn(BLOCK, F.floor(F.col(order[-1]) / RECORDS))
     keys = [by, *order[:-1], BLOCK]
-    sums = dealt.groupBy(*keys).agg(F.coalesce(F.sum(F.length("seq")), F.lit(0)).cast("long").alias(TOTAL))
+    sums = dealt.groupBy(*keys).agg(F.coalesce(F.sum(size), F.lit(0)).cast("long").alias(TOTAL))
     # a row for each RECORDS records
     w = Window.partitionBy(by).orderBy(*order[:-1], BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn(BEFORE, F.coalesce(F.sum(TOTAL).over(w), F.lit(0)).cast("long"))
-    named = sums.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), BEFORE, TOTAL)
+    named = sides.bounded(sums.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), BEFORE, TOTAL))
     same = [dealt[k].eqNullSafe(named[f"_k{i}"]) for i, k in enumerate(keys)]
-    return dealt.join(sides.bounded(named), same).drop(*(f"_k{i}" for i in range(len(keys))))
+    return dealt.join(named, same).drop(*(f"_k{i}" for i in range(len(keys))))

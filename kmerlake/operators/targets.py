@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerlake.functions import dna
-from kmerlake.operators import prefix, sides
+from kmerlake.operators import prefilter, prefix, sides
 from kmerlake.operators.syncmers import syncmers
+from kmerlake.sources import shared
 
 
 @dataclass
@@ -22,28 +23,35 @@ class Targets:
     kmers: DataFrame
 
 
-def merge_records(records: DataFrame) -> DataFrame:
-    """records: target, file_idx, rec_idx, seq. Adds offset: the length of the target's records before."""
-    dealt = prefix.with_block_sums(records, "target", ["file_idx", "rec_idx"])
+def merge_records(records: DataFrame, size: Column | None = None) -> DataFrame:
+    """records: target, file_idx, rec_idx, seq. Adds offset: the length of the target's records before. size: of a record, by default its sequence's."""
+    size = F.length("seq") if size is None else size
+    dealt = prefix.with_block_sums(records, "target", ["file_idx", "rec_idx"], size)
     inside = Window.partitionBy("target", "file_idx", prefix.BLOCK).orderBy("rec_idx").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.col(prefix.BEFORE) + F.coalesce(F.sum(F.length("seq")).over(inside), F.lit(0))
+    offset = F.col(prefix.BEFORE) + F.coalesce(F.sum(size).over(inside), F.lit(0))
     return dealt.withColumn("offset", offset.cast("long")).drop(prefix.BLOCK, prefix.BEFORE, prefix.TOTAL)
 
 
 def build(records: DataFrame, k: int, s: int, fraction: float = 1.0, order: str | None = None) -> Targets:
-    """records: target_idx, target, seq and perhaps file_idx, rec_idx of targets with several records."""
-    merged = {"file_idx", "rec_idx"} <= set(records.columns)
-    r = merge_records(records) if merged else records.withColumn("offset", F.lit(0).cast("long"))
-    info = r.groupBy("target_idx", "target").agg(F.coalesce(F.sum(F.length("seq")), F.lit(0)).cast("long").alias("length"))
-    found = syncmers(r.select("target_idx", "target", "offset", "seq"), k, s, positions=True, order=order)
-    kmers = found.select("target_idx", "target", (F.col("offset") + F.col("pos")).alias("pos"), "kmer")
+    """records: target_idx, target, seq and perhaps file_idx, rec_idx of targets with several records.
+
+    The records are read once: k-mers and lengths come from one pass and are written, then offsets are added.
+    """
+    place = ["file_idx", "rec_idx"] if {"file_idx", "rec_idx"} <= set(records.columns) else []
+    found = shared.keep(syncmers(records.select("target_idx", "target", *place, "seq"), k, s, positions=True, order=order, tally=True), "targets")
+    sizes, kmers = found.filter("kmer IS NULL"), found.filter("kmer IS NOT NULL")
+    info = sizes.groupBy("target_idx", "target").agg(F.sum("bases").alias("length"))
+    if place:
+        offsets = merge_records(sizes.select("target", *place, "bases"), F.col("bases")).select("target", *place, "offset")
+        kmers = kmers.join(sides.bounded(offsets), ["target", *place]).withColumn("pos", F.col("offset") + F.col("pos"))
+    kmers = kmers.select("target_idx", "target", "pos", "kmer")
     if fraction < 1:
         kmers = kmers.filter(sketched(F.col("kmer"), k, fraction))
     return Targets(info, kmers)
 
 
 def sketched(kmer: Column, k: int, fraction: float) -> Column:
-    return dna.sketched(dna.decode(kmer, k) if k <= 31 else kmer, fraction)
+    return dna.sketched(dna.decode(kmer, k), fraction)
 
 
 def distinct_kmers(tk: DataFrame) -> DataFrame:
@@ -59,6 +67,16 @@ def background_hits(union: DataFrame, background: DataFrame) -> DataFrame:
     return background.select("kmer").join(sides.bounded(union), "kmer", "left_semi").distinct()
 
 
+def background_hits_of(tk: DataFrame, reads: DataFrame, k: int, s: int, order: str | None = None) -> DataFrame:
+    """The same of tk, from sequences (seq); if the targets are too large to broadcast, a filter in the generator drops most others."""
+    side, rows = sides.sized(union_kmers(tk), tk)
+    only = None if rows <= sides.BROADCAST_ROWS else prefilter.build(side, rows)
+    found = syncmers(reads.select("seq"), k, s, order=order, only=only)
+    if only is not None:
+        found = found.distinct()
+    return found.join(sides.bounded(side, rows), "kmer", "left_semi").distinct()
+
+
 def mask(tk: DataFrame, hits: DataFrame) -> DataFrame:
     return tk.join(hits, "kmer", "left_anti").select(*tk.columns)
 
@@ -86,4 +104,4 @@ def summary(records: DataFrame, tk: DataFrame) -> DataFrame:
 
 def dump(tk: DataFrame, k: int) -> DataFrame:
     """target, position, kmer (as bases)."""
-    return tk.select("target", F.col("pos").alias("position"), (dna.decode("kmer", k) if k <= 31 else F.col("kmer")).alias("kmer"))
+    return tk.select("target", F.col("pos").alias("position"), dna.decode("kmer", k).alias("kmer"))

@@ -62,7 +62,33 @@ def syncmers_dataframe_form(spark, d):
 
 @_query
 def syncmers_k33(spark, d):
-    return syncmers(tables.targets(spark, d).select("target_idx", "seq"), 33, S, positions=True)
+    found = syncmers(tables.targets(spark, d).select("target_idx", "seq"), 33, S, positions=True)
+    return found.withColumn("kmer", dna.decode("kmer", 33))
+
+
+@_query
+def syncmers_k61(spark, d):
+    """Two words a k-mer."""
+    found = syncmers(tables.targets(spark, d).select("target_idx", "seq"), 61, S, positions=True)
+    return found.withColumn("kmer", dna.decode("kmer", 61))
+
+
+@_query
+def abundance_k61(spark, d):
+    t = T.build(tables.targets(spark, d), 61, S)
+    return Q.abundance(tables.reads(spark, d), t.kmers, 61, S).select("sample", dna.decode("kmer", 61).alias("kmer"), "depth")
+
+
+@_query
+def syncmers_rolling(spark, d):
+    """s-mers ranked by a rolling hash of both strands."""
+    return syncmers(tables.targets(spark, d).select("target_idx", "seq"), K, 11, positions=True, order="rolling", text=True)
+
+
+@_query
+def syncmers_rolling_dataframe_form(spark, d):
+    t = tables.targets(spark, d)
+    return syncmers_native(t, K, 11, key="target_idx", order="rolling")
 
 
 @_query
@@ -135,7 +161,7 @@ def discriminatory(spark, d):
 
 
 def _masked(spark, d, t):
-    hits = T.background_hits(T.union_kmers(t.kmers), syncmers(tables.reads(spark, d).select("seq"), K, S))
+    hits = T.background_hits_of(t.kmers, tables.reads(spark, d), K, S)
     return T.mask(t.kmers, hits)
 
 
@@ -146,7 +172,7 @@ def background_mask(spark, d):
 
 @_query
 def background_hits(spark, d):
-    hits = T.background_hits(T.union_kmers(_targets(spark, d).kmers), syncmers(tables.reads(spark, d).select("seq"), K, S))
+    hits = T.background_hits_of(_targets(spark, d).kmers, tables.reads(spark, d), K, S)
     return hits.agg(F.count("*").alias("masked_kmers"))
 
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 import os
 import tempfile
 import threading
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,7 +20,7 @@ from kmerlake.operators import targets as T
 from kmerlake.operators.classify import group_index
 from kmerlake.plans import oracles as O
 from kmerlake.plans import tables
-from kmerlake.sources import fastx, storage, tsv
+from kmerlake.sources import fastx, paths, shared, storage, tsv
 from kmerlake.streaming import incremental
 
 K, S = O.K, O.S
@@ -35,10 +34,7 @@ def _query(f):
     return f
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder in the one that a cluster's driver and executors share; a local one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-kmerlake-", dir="/tmp")
-    return f"{root.rstrip('/')}/kmerlake-{uuid.uuid4().hex}"
+folder = shared.folder
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
@@ -52,6 +48,13 @@ def _one_file(df: DataFrame, path: str, stem: str, ending: str = ".fa") -> None:
     fastx.write_fastx(df.coalesce(1), path, ending, stem)
 
 
+def _target_files(spark: SparkSession, d: str) -> list[str]:
+    """Files of targets, in their order over all files."""
+    root = folder(spark)
+    fastx.write_fastx(_items(spark, d).repartitionByRange(3, "item_id").sortWithinPartitions("item_id"), root, ".fa")
+    return paths.fastx_files(root)
+
+
 def _group_folder(spark: SparkSession, d: str) -> str:
     """Groups 0 and 1 as a file each, 2 and 3 as folders of files."""
     root, items = folder(spark), _items(spark, d)
@@ -161,8 +164,9 @@ def file_background(spark, d):
     root, items = folder(spark), _items(spark, d)
     for g, place in enumerate(("deep/down", ".hidden", "visible", "deep/.too/down")):
         fastx.write_fastx(items.filter(F.pmod("item_id", F.lit(4)) == g).repartition(2), f"{root}/{place}", ".fa.xz")
-    _one_file(items, root, "odd", ".fa.gz")
-    storage.move(f"{root}/odd-00000.fa.gz", f"{root}/odd.fa.zst.gz")
+    fastx.write_fastx(items.repartition(2), f"{root}/odd", ".fa.gz")
+    for i, path in enumerate(paths.fastx_files(f"{root}/odd")):
+        storage.move(path, f"{root}/odd/{i}.fa.zst.gz")
     tk = T.build(items.select(F.col("item_id").alias("target_idx"), F.col("seq_id").alias("target"), "seq"), K, S).kmers
     return api.background_hits(spark, tk, [root], K, S).select(dna.decode("kmer", K).alias("kmer"))
 
@@ -181,9 +185,7 @@ def file_targets(spark, d):
 @_query
 def file_query(spark, d):
     """The records of a file as targets, in folders of reads."""
-    root = folder(spark)
-    _one_file(_items(spark, d), root, "targets")
-    out = api.query(spark, f"{root}/targets-00000.fa", _sample_folders(spark, d, "lang"), k=K, s=S, individual=True, thresholds=THRESHOLDS)
+    out = api.query(spark, _target_files(spark, d), _sample_folders(spark, d, "lang"), k=K, s=S, individual=True, thresholds=THRESHOLDS)
     return out.select("sample", "target", *(F.round(f"containment{t}", 8).alias(f"containment{t}") for t in (1, 2, 10)), "containment2_hits", "containment10_hits", "target_length", "sample_seqs", "sample_bases")
 
 
@@ -191,8 +193,7 @@ def file_query(spark, d):
 def file_query_index(spark, d):
     """A built index as targets."""
     root = folder(spark)
-    _one_file(_items(spark, d), root, "targets")
-    api.build_query_index(spark, f"{root}/targets-00000.fa", f"{root}/index", k=K, s=S, individual=True, positions=True)
+    api.build_query_index(spark, _target_files(spark, d), f"{root}/index", k=K, s=S, individual=True, positions=True)
     return api.dump_syncmers(spark, f"{root}/index")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from kmerlake.functions.dna import BASES, LETTERS
 from kmerlake.functions.stats import ERF_A, ERF_P, Z95
+from kmerlake.operators.kernel import SEEDS
 
 K, S = 31, 9
 
@@ -16,11 +17,26 @@ def _rc(x: str) -> str:
     return f"reverse(translate({x}, 'ACGT', 'TGCA'))"
 
 
-def mers(name: str, src: str, k: int = K, s: int = S) -> str:
-    """CTEs that end in `name`: id, pos, kmer of src (id, seq)."""
+def _md5_rank(m: str, s: int) -> str:
+    return f"('0x' || substr(md5(least({m}, {_rc(m)})), 1, 15))::BIGINT"
+
+
+def rolling_rank(m: str, s: int) -> str:
+    """The lesser of both strands' sums (xor) of the bases' seeds, each turned left by its place."""
+
+    def strand(letters: str, by: str) -> str:
+        seed = f"{SEEDS.tolist()}[instr('{letters}', substr({m}, (j + 1)::INT, 1))]::BIGINT"
+        turned = f"((({seed}) << (({by}) % 32)::INT) & 4294967295) | (({seed}) >> (32 - ({by}) % 32)::INT)"
+        return f"list_reduce(list_transform(range({s}), lambda j: {turned}), lambda a, b: xor(a, b))"
+
+    return f"least({strand('ACGT', f'{s - 1} - j')}, {strand('TGCA', 'j')})"
+
+
+def mers(name: str, src: str, k: int = K, s: int = S, rank=_md5_rank) -> str:
+    """CTEs that end in `name`: id, pos, kmer of src (id, seq). rank: how s-mers are ordered."""
     half = (k - s) // 2
     return f"""{name}_m AS (SELECT id, i, substr(seq, i, {s}) AS m FROM (SELECT id, seq, unnest(range(1, length(seq) - {s - 2})) AS i FROM {src} WHERE length(seq) >= {k})),
-{name}_h AS (SELECT id, i, CASE WHEN NOT regexp_matches(m, '[^ACGT]') THEN ('0x' || substr(md5(least(m, {_rc("m")})), 1, 15))::BIGINT END AS h FROM {name}_m),
+{name}_h AS (SELECT id, i, CASE WHEN NOT regexp_matches(m, '[^ACGT]') THEN {rank("m", s)} END AS h FROM {name}_m),
 {name}_w AS (SELECT id, i, h, min(h) OVER w AS lo, count(h) OVER w AS n FROM {name}_h WINDOW w AS (PARTITION BY id ORDER BY i ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING)),
 {name}_p AS (SELECT id, i - {half + 1} AS pos FROM {name}_w WHERE n = {k - s + 1} AND h = lo),
 {name}_k AS (SELECT p.id, p.pos, substr(x.seq, p.pos + 1, {k}) AS m FROM {name}_p p JOIN {src} x USING (id)),
@@ -167,6 +183,10 @@ ORACLES: dict[str, str] = {
     "syncmers_chunked": f"WITH {READS}\nSELECT id AS seq_id, pos, kmer FROM rk",
     "ambiguous_skip": f"WITH {TURNS},\n{mers('rk', 'r')},\nn AS (SELECT id, count(*) AS n FROM rk GROUP BY 1)\nSELECT conv_id, turn, greatest(length(seq) - {K - 1}, 0)::BIGINT AS windows, coalesce(n, 0)::BIGINT AS selected, NOT regexp_matches(seq, '[^ACGT]') AS unambiguous FROM r LEFT JOIN n USING (id)",
     "kmer_decode": f"WITH {TARGETS}\nSELECT id AS target_idx, kmer, {_rc('kmer')} AS reverse_complement FROM tk",
+    "syncmers_k61": f"WITH t AS (SELECT item_id AS id, {dna('text')} AS seq FROM benchmark),\n{mers('tk', 't', 61)}\nSELECT id AS target_idx, pos, kmer FROM tk",
+    "abundance_k61": f"WITH t AS (SELECT item_id AS id, {dna('text')} AS seq FROM benchmark),\n{mers('tk', 't', 61)},\nr AS (SELECT doc_id AS id, lang AS sample, {dna('text')} AS seq FROM documents),\n{mers('rk', 'r', 61)}\nSELECT sample, kmer, least(count(*), 65535)::BIGINT AS depth FROM rk JOIN r USING (id) WHERE kmer IN (SELECT kmer FROM tk) GROUP BY ALL",
+    "syncmers_rolling": f"WITH t AS (SELECT item_id AS id, {dna('text')} AS seq FROM benchmark),\n{mers('tk', 't', 31, 11, rolling_rank)}\nSELECT id AS target_idx, pos, kmer FROM tk",
+    "syncmers_rolling_dataframe_form": f"WITH t AS (SELECT item_id AS id, {dna('text')} AS seq FROM benchmark),\n{mers('tk', 't', 31, 11, rolling_rank)}\nSELECT id AS target_idx, pos, kmer FROM tk",
     "fracminhash": f"WITH {TARGETS}\n{DUMP_T} WHERE ('0x' || substr(md5(kmer), 1, 15))::BIGINT <= {int(0.1 * (1 << 60))}",
     "target_distinct": f"WITH {TARGETS}\nSELECT t.target, length(t.seq)::BIGINT AS length, count(DISTINCT kmer)::BIGINT AS target_kmers FROM t LEFT JOIN tk USING (id) GROUP BY t.id, t.target, t.seq",
     "target_union": f"WITH {TARGETS}\nSELECT DISTINCT kmer FROM tk",

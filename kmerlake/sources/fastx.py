@@ -47,20 +47,20 @@ def records(stream: IO[bytes]) -> Iterator[tuple[str, str]]:
     line = next((x for x in lines if x), None)
     while line is not None:
         name = line[1:].decode(errors="replace")
-        parts: list[bytes] = []
+        seq = bytearray()  # a chromosome is millions of lines
         if line[:1] == b">":
             line = next(lines, None)
             while line is not None and line[:1] != b">":
-                parts.append(line)
+                seq += line
                 line = next(lines, None)
         elif line[:1] == b"@":
             line = next(lines, None)
             while line is not None and line[:1] != b"+":
-                parts.append(line)
+                seq += line
                 line = next(lines, None)
             if line is None:
                 raise ValueError(f"FASTQ record without a quality line: {name!r}")
-            left = sum(map(len, parts))
+            left = len(seq)
             while left > 0:
                 quality = next(lines, None)
                 if quality is None:
@@ -69,7 +69,7 @@ def records(stream: IO[bytes]) -> Iterator[tuple[str, str]]:
             line = next((x for x in lines if x), None)
         else:
             raise ValueError("neither FASTA nor FASTQ: a record starts with '>' or '@'")
-        yield name, b"".join(parts).decode(errors="replace")
+        yield name, seq.decode(errors="replace")
 
 
 def range_records(r: splits.Range) -> Iterator[tuple[str, str]]:

@@ -82,7 +82,7 @@ def test_kernel_property(seq):
     import pyarrow as pa
 
     got = []
-    for _, code, at in kernel.blocks(pa.array([seq])):
+    for _, code, at, _ in kernel.blocks(pa.array([seq])):
         starts = kernel.select(code, at, 9, 5, "md5")
         got += list(zip(starts.tolist(), kernel.spelled(code, np.asarray(starts), 9).to_pylist(), strict=True))
     assert got == brute(seq, 9, 5)
