@@ -81,18 +81,19 @@ def dump_syncmers(spark: SparkSession, targets: str | Sequence[str], *, k: int =
     return T.dump(found.kmers, k)
 
 
-def load_groups(spark: SparkSession, path: str, k: int, s: int, discriminatory: bool, order: str | None) -> tuple[DataFrame, DataFrame, int, int, str | None]:
-    """(index, groups, k, s, order) from an index or a folder of groups."""
+def load_groups(spark: SparkSession, path: str, k: int, s: int, discriminatory: bool, order: str | None) -> tuple[DataFrame, DataFrame, int, int, str | None, int | None]:
+    """(index of masks, groups, k, s, order, the most k-mers it may have, if that is known) from an index or a folder of groups."""
+    n_kmers = None
     if _is_index(path):
         found = index.load(spark, path, index.CLASSIFY)
-        kmers, groups, k, s, order = found.kmers, found.names, found.meta["k"], found.meta["s"], found.meta["smer_order"]
+        kmers, groups, k, s, order, n_kmers = found.kmers, found.names, found.meta["k"], found.meta["s"], found.meta["smer_order"], found.meta["n_kmers"]
     else:
         check_k_s(k, s)
         records, names = fastx.read_groups(spark, path, numbers=False)
         check_groups(len(names))
         groups = spark.createDataFrame(list(enumerate(names)), "group_idx int, group string")
-        kmers = C.group_index(records, k, s, order)
-    return (C.discriminatory(kmers) if discriminatory else kmers), groups, k, s, order
+        kmers = C.mask_index(records, k, s, order)
+    return (C.discriminatory(kmers) if discriminatory else kmers), groups, k, s, order, n_kmers
 
 
 def _numbered(reads: DataFrame) -> DataFrame:
@@ -102,8 +103,8 @@ def _numbered(reads: DataFrame) -> DataFrame:
 
 def classify(spark: SparkSession, groups: str, samples: Sequence[str], *, k: int = 31, s: int = 9, discriminatory: bool = False, abs_threshold: int = 1, rel_threshold: float = 0.0, limit: int | str | None = None, names: Sequence[str] | None = None, per_seq: bool = False, order: str | None = None) -> DataFrame:
     """A row for each read (`per_seq`), or for each sample and group in a report's order, samples as given."""
-    kmers, known, k, s, order = load_groups(spark, groups, k, s, discriminatory, order)
-    found = C.per_sequence(_numbered(_reads(spark, samples, names, limit)), kmers, known, k, s, abs_threshold, rel_threshold, order)
+    kmers, known, k, s, order, n_kmers = load_groups(spark, groups, k, s, discriminatory, order)
+    found = C.per_sequence(_numbered(_reads(spark, samples, names, limit)), kmers, known, k, s, abs_threshold, rel_threshold, order, n_kmers)
     if per_seq:
         return found.withColumn("seq_id", F.regexp_replace("seq_id", r"^\d+:\d+:", ""))
     return C.summary(C.buckets(found), known).orderBy(*C.summary_order(_sample_order(samples, names)))
@@ -114,18 +115,18 @@ def lenhist(spark: SparkSession, groups: str, samples: Sequence[str], *, k: int
     reads = _numbered(_reads(spark, samples, names, limit))
     if groups == "-":
         return L.histogram(L.all_in_one(reads))
-    kmers, known, k, s, order = load_groups(spark, groups, k, s, discriminatory, order)
-    return L.histogram(C.buckets(C.per_sequence(reads, kmers, known, k, s, abs_threshold, rel_threshold, order)))
+    kmers, known, k, s, order, n_kmers = load_groups(spark, groups, k, s, discriminatory, order)
+    return L.histogram(C.buckets(C.per_sequence(reads, kmers, known, k, s, abs_threshold, rel_threshold, order, n_kmers)))
 
 
-def build_query_index(spark: SparkSession, targets: str | Sequence[str], out: str, *, k: int = 31, s: int = 9, individual: bool = False, positions: bool = False, fraction: float = 1.0, background: Sequence[str] = (), order: str | None = None) -> None:
+def build_query_index(spark: SparkSession, targets: str | Sequence[str], out: str, *, k: int = 31, s: int = 9, individual: bool = False, positions: bool = False, fraction: float = 1.0, background: Sequence[str] = (), order: str | None = None, form: str = "parquet", buckets: int | None = None) -> None:
     found, k, s, _ = load_targets(spark, targets, k, s, individual, fraction, background, order=order)
-    index.save_query_index(spark, out, found, k, s, fraction, positions, order or ("md5" if s <= 9 else "mix"))
+    index.save_query_index(spark, out, found, k, s, fraction, positions, order or ("md5" if s <= 9 else "mix"), form, buckets)
 
 
-def build_classify_index(spark: SparkSession, groups: str, out: str, *, k: int = 31, s: int = 9, order: str | None = None) -> None:
-    kmers, known, k, s, _ = load_groups(spark, groups, k, s, False, order)
-    index.save_classify_index(spark, out, kmers, known, k, s, order or ("md5" if s <= 9 else "mix"))
+def build_classify_index(spark: SparkSession, groups: str, out: str, *, k: int = 31, s: int = 9, order: str | None = None, form: str = "parquet", buckets: int | None = None) -> None:
+    kmers, known, k, s, order, _ = load_groups(spark, groups, k, s, False, order)
+    index.save_classify_index(spark, out, kmers, known, k, s, order or ("md5" if s <= 9 else "mix"), form, buckets)
 
 
 def index_info(spark: SparkSession, path: str) -> DataFrame:

@@ -9,7 +9,7 @@ from kmerlake.functions import dna, stats, text
 from kmerlake.operators import classify as C
 from kmerlake.operators import containment as Q
 from kmerlake.operators import lenhist as L
-from kmerlake.operators import reshape
+from kmerlake.operators import masks, reshape
 from kmerlake.operators import targets as T
 from kmerlake.operators.syncmers import split_long, syncmers, syncmers_native
 from kmerlake.plans import files, oracles, tables
@@ -375,6 +375,17 @@ def group_index(spark, d):
     return _index(spark, d).select(dna.decode("kmer", K).alias("kmer"), "group_idx")
 
 
+N_MASK_GROUPS = 100
+
+
+@_query
+def group_masks(spark, d):
+    """Groups of each k-mer of many groups, by way of their bits."""
+    many = tables.targets(spark, d).select(F.pmod(F.col("target_idx") * 7, F.lit(N_MASK_GROUPS)).cast("int").alias("group_idx"), "seq")
+    found = C.mask_index(many, 15, 7)
+    return found.select(dna.decode("kmer", 15).alias("kmer"), masks.n_groups().cast("long").alias("n_groups"), F.array_join(masks.groups_of().cast("array<string>"), ",").alias("groups"))
+
+
 @_query
 def group_unique(spark, d):
     return C.group_counts(_index(spark, d))
@@ -503,6 +514,34 @@ def index_roundtrip(spark, d):
     return T.dump(t.kmers, K)
 
 
+@_query
+def index_packed(spark, d):
+    """The binary form, written and read back, of targets with two words a k-mer."""
+    path = files.folder(spark)
+    index.save_query_index(spark, path, T.build(tables.targets(spark, d), 61, S), 61, S, positions=True, form="packed")
+    t, _ = index.load_targets(spark, path, need_positions=True)
+    return T.dump(t.kmers, 61)
+
+
+@_query
+def index_packed_classify(spark, d):
+    """Reads classified by a binary index of masks."""
+    path = files.folder(spark)
+    index.save_classify_index(spark, path, C.mask_index(tables.groups(spark, d), K, S), tables.group_names(spark), K, S, form="packed")
+    found = index.load(spark, path, index.CLASSIFY)
+    return C.per_sequence(tables.reads(spark, d, "source"), found.kmers, found.names, K, S, n_kmers=found.meta["n_kmers"])
+
+
+@_query
+def index_buckets(spark, d):
+    """Which groups the k-mers of reads have, by an index in buckets: only the reads' side is shuffled."""
+    path = files.folder(spark)
+    index.save_classify_index(spark, path, C.mask_index(tables.groups(spark, d), K, S), tables.group_names(spark), K, S, form="buckets")
+    found = index.load(spark, path, index.CLASSIFY)
+    hits = syncmers(tables.reads(spark, d).select("seq_id", "seq"), K, S).join(found.kmers.hint("shuffle_hash"), "kmer")
+    return hits.select("seq_id", F.explode(masks.groups_of()).alias("group_idx")).groupBy("seq_id", "group_idx").agg(F.count("*").alias("n"))
+
+
 @_query
 def index_info(spark, d):
     path = files.folder(spark)
