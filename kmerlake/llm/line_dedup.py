@@ -134,9 +134,10 @@ def _update_filters(index: LineIndex, refs: DataFrame, changed: DataFrame) -> Da
     return updated.filter("buckets IS NOT NULL").unionByName(_built(refs.filter(SHARED), full, n_shards))
 
 
-def _changed(before: DataFrame, after: DataFrame) -> DataFrame:
-    b, a = (x.select("key", "hash", F.expr(SHARED).alias(name)) for x, name in ((before, "before"), (after, "after")))
-    either = b.join(a, ["key", "hash"], "full")
+def _changed(before: DataFrame, after: DataFrame, touched: DataFrame) -> DataFrame:
+    """touched: hash, once each. A filter holds a hash as long as any of its keys is shared, so all keys of those hashes count."""
+    b, a = (x.join(touched, "hash", "left_semi").groupBy("hash").agg(F.bool_or(F.expr(SHARED)).alias(name)) for x, name in ((before, "before"), (after, "after")))
+    either = b.join(a, "hash", "full")
     return either.select("hash", F.coalesce("before", F.lit(False)).alias("before"), F.coalesce("after", F.lit(False)).alias("after"))
 
 
@@ -145,8 +146,7 @@ def insert_documents(index: LineIndex, docs: DataFrame) -> LineIndex:
     both = index.references.unionByName(references(new))
     refs = both.groupBy("key", "hash").agg(F.sum("refs").alias("refs"), F.min("owner").alias("owner"), F.max("last").alias("last"))
     refs = scratch.keep(refs, "line-references")
-    keys = new.select("key").distinct()
-    changed = _changed(index.references.join(keys, "key", "left_semi"), refs.join(keys, "key", "left_semi"))
+    changed = _changed(index.references, refs, new.select("hash").distinct())
     filters = scratch.keep(_update_filters(index, refs, changed), "line-filters")
     return LineIndex(scratch.keep(index.postings.unionByName(new), "line-postings"), refs, filters)
 
@@ -163,7 +163,7 @@ def delete_documents(index: LineIndex, doc_ids: DataFrame) -> LineIndex:
     again = references(left.join(still.filter("owner >= _lo OR last <= _hi").select("key"), "key", "left_semi"))
     after = scratch.keep(kept.unionByName(again), "line-references-touched")
     refs = scratch.keep(index.references.join(gone, "key", "left_anti").unionByName(after), "line-references")
-    filters = scratch.keep(_update_filters(index, refs, _changed(old, after)), "line-filters")
+    filters = scratch.keep(_update_filters(index, refs, _changed(index.references, refs, old.select("hash").distinct())), "line-filters")
     return LineIndex(left, refs, filters)
 
 

@@ -44,7 +44,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = language_id.identify(docs.select("doc_id", "text"), language_id.fit(docs))
-    return found.select("doc_id", (~language_id.learnable()).alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select("doc_id", F.coalesce(~language_id.learnable(), F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

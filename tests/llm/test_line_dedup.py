@@ -117,3 +117,21 @@ def test_random_sequences_equal_a_fresh_build(spark):
         fresh = line_dedup.build_index(frame(spark, held))
         assert sorted(index.references.collect()) == sorted(fresh.references.collect())
     assert result(frame(spark, held), index) == brute(held)
+
+
+def test_lines_that_share_a_hash_stay_in_the_filter(spark, monkeypatch):
+    """Only three hashes for all keys: a hash leaves its filter with the last shared key that has it."""
+    from pyspark.sql import functions as F
+
+    inner = line_dedup.postings
+    monkeypatch.setattr(line_dedup, "postings", lambda docs: inner(docs).withColumn("hash", F.pmod("hash", F.lit(3))))
+    rng = random.Random(6)
+    pool = [(i, "\n".join(f"a line number {rng.randrange(12)}" for _ in range(rng.randrange(4))), "en", "s", 0) for i in range(40)]
+    held, index = [], line_dedup.build_index(empty(spark))
+    for _ in range(3):
+        new = [r for r in rng.sample(pool, 14) if r not in held]
+        index, held = line_dedup.insert_documents(index, frame(spark, new)), held + new
+        assert result(frame(spark, held), index) == brute(held)
+        out = rng.sample(held, len(held) // 2)
+        index, held = line_dedup.delete_documents(index, spark.createDataFrame([(r[0],) for r in out], "doc_id long")), [r for r in held if r not in out]
+        assert result(frame(spark, held), index) == brute(held)
