@@ -24,7 +24,7 @@ def _reads(spark: SparkSession, samples: Sequence[str], names: Sequence[str] | N
     return fastx.read_samples(spark, samples, names, parse_bases(limit) if isinstance(limit, str) else limit, numbers=False)
 
 
-def _sample_order(samples: Sequence[str], names: Sequence[str] | None) -> list[str]:
+def sample_order(samples: Sequence[str], names: Sequence[str] | None) -> list[str]:
     """Samples as given, which is how reports follow."""
     return list(names) if names is not None else [paths.sample_name(p) for p in samples]
 
@@ -72,7 +72,7 @@ def query(spark: SparkSession, targets: str | Sequence[str], samples: Sequence[s
     if sort is None:
         return out
     flagged = out if totals else out.withColumn("is_total", F.lit(False))
-    ordered = flagged.orderBy(*Q.report_order(sort, _sample_order(samples, names)))
+    ordered = flagged.orderBy(*Q.report_order(sort, sample_order(samples, names)))
     return ordered if totals else ordered.drop("is_total")
 
 
@@ -107,7 +107,7 @@ def classify(spark: SparkSession, groups: str, samples: Sequence[str], *, k: int
     found = C.per_sequence(_numbered(_reads(spark, samples, names, limit)), kmers, known, k, s, abs_threshold, rel_threshold, order, n_kmers)
     if per_seq:
         return found.withColumn("seq_id", F.regexp_replace("seq_id", r"^\d+:\d+:", ""))
-    return C.summary(C.buckets(found), known).orderBy(*C.summary_order(_sample_order(samples, names)))
+    return C.summary(C.buckets(found), known).orderBy(*C.summary_order(sample_order(samples, names)))
 
 
 def lenhist(spark: SparkSession, groups: str, samples: Sequence[str], *, k: int = 31, s: int = 9, discriminatory: bool = False, abs_threshold: int = 1, rel_threshold: float = 0.0, limit: int | str | None = None, names: Sequence[str] | None = None, order: str | None = None) -> DataFrame:
