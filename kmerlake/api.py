@@ -43,14 +43,14 @@ def read_targets(spark: SparkSession, path: str | Sequence[str], individual: boo
     return records.withColumn("target_idx", number).withColumn("target", F.col("seq_id")).drop("file_idx", "rec_idx")
 
 
-def load_targets(spark: SparkSession, path: str | Sequence[str], k: int = 31, s: int = 9, individual: bool = False, fraction: float | None = None, background: Sequence[str] = (), discriminatory: bool = False, positions: bool = False, order: str | None = None) -> tuple[T.Targets, int, int, str | None]:
+def load_targets(spark: SparkSession, path: str | Sequence[str], k: int = 31, s: int = 9, individual: bool = False, fraction: float | None = None, background: Sequence[str] = (), discriminatory: bool = False, positions: bool = False, order: str | None = None, notes: dict | None = None) -> tuple[T.Targets, int, int, str | None]:
     """(targets, k, s, order) from an index or sequence files, filtered in the fixed order."""
     if isinstance(path, str) and _is_index(path):
         found, meta = index.load_targets(spark, path, fraction, positions)
         k, s, order = meta["k"], meta["s"], meta["smer_order"]
     else:
         check_k_s(k, s)
-        found = T.build(read_targets(spark, path, individual), k, s, check_fraction(1.0 if fraction is None else fraction), order)
+        found = T.build(read_targets(spark, path, individual), k, s, check_fraction(1.0 if fraction is None else fraction), order, notes)
     if background:
         found = T.Targets(found.info, T.mask(found.kmers, background_hits(spark, found.kmers, background, k, s, order)))
     if discriminatory:
@@ -63,10 +63,10 @@ def background_hits(spark: SparkSession, tk: DataFrame, inputs: Sequence[str], k
     return T.background_hits_of(tk, fastx.read_fastx(spark, files, numbers=False), k, s, order)
 
 
-def query(spark: SparkSession, targets: str | Sequence[str], samples: Sequence[str], *, k: int = 31, s: int = 9, individual: bool = False, confidence: bool = False, discriminatory: bool = False, fraction: float | None = None, thresholds: Sequence[int] = (10,), background: Sequence[str] = (), limit: int | str | None = None, names: Sequence[str] | None = None, order: str | None = None, totals: bool = False, sort: str | None = None) -> DataFrame:
-    """limit: bases of each sample, also as text (`10M`). totals: is_total and a TOTAL row for each sample. sort: rows in a report's order (containment.SORTS), samples as given."""
-    found, k, s, order = load_targets(spark, targets, k, s, individual, fraction, background, discriminatory, confidence, order)
-    out = Q.containment(found, _reads(spark, samples, names, limit), k, s, thresholds, confidence, order)
+def query(spark: SparkSession, targets: str | Sequence[str], samples: Sequence[str], *, k: int = 31, s: int = 9, individual: bool = False, confidence: bool = False, discriminatory: bool = False, fraction: float | None = None, thresholds: Sequence[int] = (10,), background: Sequence[str] = (), limit: int | str | None = None, names: Sequence[str] | None = None, order: str | None = None, totals: bool = False, sort: str | None = None, notes: dict | None = None) -> DataFrame:
+    """limit: bases of each sample, also as text (`10M`). totals: is_total and a TOTAL row for each sample. sort: rows in a report's order (containment.SORTS), samples as given. notes: gets the figures of the run (targets, reads, k-mers found), without jobs of their own."""
+    found, k, s, order = load_targets(spark, targets, k, s, individual, fraction, background, discriminatory, confidence, order, notes)
+    out = Q.containment(found, _reads(spark, samples, names, limit), k, s, thresholds, confidence, order, notes=notes)
     if totals:
         out = Q.with_totals(out, thresholds)
     if sort is None:

@@ -92,20 +92,9 @@ def depth_modes(hist: DataFrame) -> DataFrame:
 
 
 def numbered_once(tk: DataFrame) -> DataFrame:
-    """target_idx, kmer, i (from 1, by place) of the k-mers that stand once in their target, and n, how many it has.
-
-    They are numbered in stretches of STRETCH bases, and each stretch's number of k-mers is added to those behind it: no
-    task holds a target.
-    """
+    """target_idx, kmer, i (from 1, by place) of the k-mers that stand once in their target, and n, how many it has. No task holds a target."""
     once = tk.groupBy("target_idx", "kmer").agg(F.count("*").alias("_n"), F.min("pos").alias("pos")).filter("_n = 1")
-    once = once.select("target_idx", "kmer", "pos", F.floor(F.col("pos") / STRETCH).alias("_stretch"))
-    whole = Window.partitionBy("target_idx")
-    counts = once.groupBy("target_idx", "_stretch").agg(F.count("*").alias("_own"))
-    before = F.coalesce(F.sum("_own").over(whole.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("target_idx", "_stretch", before.alias("_before"), F.sum("_own").over(whole).alias("n"))
-    inside = F.row_number().over(Window.partitionBy("target_idx", "_stretch").orderBy("pos"))
-    placed = once.withColumn("_i", inside).join(counts, ["target_idx", "_stretch"])
-    return placed.select("target_idx", "kmer", (F.col("_i") + F.col("_before")).cast("long").alias("i"), "n")
+    return prefix.numbered(once.select("target_idx", "kmer", "pos"), "target_idx", "pos", STRETCH).select("target_idx", "kmer", "i", "n")
 
 
 def run_counts(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -122,6 +111,12 @@ def run_counts(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
     return joined.groupBy(*keys).agg(F.sum("hits").alias("hits"), F.sum("runs").alias("runs"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
+def all_runs() -> Column:
+    """Runs of hits and of misses among n numbers, from run_counts; one if there is no hit."""
+    both = 2 * F.col("runs") - 1 + (F.col("lo") > 1).cast("long") + (F.col("hi") < F.col("n")).cast("long")
+    return F.coalesce(both, F.lit(1)).cast("long")
+
+
 def patchiness(tk: DataFrame, samples: DataFrame, abund: DataFrame) -> DataFrame:
     """sample, target_idx, z, p: do a target's k-mers that were found cluster along it? Over k-mers that stand once in it. samples: a report's, so few.
 
@@ -132,20 +127,21 @@ def patchiness(tk: DataFrame, samples: DataFrame, abund: DataFrame) -> DataFrame
     per = run_counts(abund.select("sample", "kmer").join(once.drop("n"), "kmer").select("sample", "target_idx", "i"), ["sample", "target_idx"])
     # few samples by few targets: the report itself
     sums = sizes.crossJoin(samples.select("sample")).join(per, ["sample", "target_idx"], "left")
-    runs = 2 * F.col("runs") - 1 + (F.col("lo") > 1).cast("long") + (F.col("hi") < F.col("n")).cast("long")
-    sums = sums.select("sample", "target_idx", "n", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), F.coalesce(runs, F.lit(1)).cast("long").alias("runs"))
+    sums = sums.select("sample", "target_idx", "n", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), all_runs().alias("runs"))
     z = stats.runs_z(F.col("n"), F.col("hits"), F.col("runs"))
     return sums.withColumn("z", z).withColumn("p", stats.normal_survival(F.col("z")))
 
 
-def containment(targets: Targets, reads: DataFrame, k: int, s: int, thresholds: Sequence[int] = (10,), confidence: bool = False, order: str | None = None, abund: DataFrame | None = None) -> DataFrame:
+def containment(targets: Targets, reads: DataFrame, k: int, s: int, thresholds: Sequence[int] = (10,), confidence: bool = False, order: str | None = None, abund: DataFrame | None = None, notes: dict | None = None) -> DataFrame:
     """A row for each sample and target, also for those without a hit. reads: sample, seq, which are read once.
 
     The generator's counts are written and used from there, and so are the counts of each depth, on which all figures rest.
+    notes: gets reads, read_bases, kmers_found (distinct, summed over samples) and kmer_hits as the counts are written.
     """
     thresholds = normalise_thresholds(thresholds)
     if abund is None:
-        counts = shared.keep(tallied(reads, targets.kmers, k, s, order), "depths")
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+        counts = shared.keep(tallied(reads, targets.kmers, k, s, order), "depths", notes, reads=total("seqs"), read_bases=total("bases"), kmers_found=F.count("kmer"), kmer_hits=total("n"))
         abund = _depths(counts)
         per_sample = counts.filter("kmer IS NULL").select("sample", F.col("seqs").alias("sample_seqs"), F.col("bases").alias("sample_bases"))
     else:

@@ -23,6 +23,10 @@ class Targets:
     kmers: DataFrame
 
 
+def _sum(column: str) -> Column:
+    return F.coalesce(F.sum(column), F.lit(0))
+
+
 def merge_records(records: DataFrame, size: Column | None = None) -> DataFrame:
     """records: target, file_idx, rec_idx, seq. Adds offset: the length of the target's records before. size: of a record, by default its sequence's."""
     size = F.length("seq") if size is None else size
@@ -32,13 +36,15 @@ def merge_records(records: DataFrame, size: Column | None = None) -> DataFrame:
     return dealt.withColumn("offset", offset.cast("long")).drop(prefix.BLOCK, prefix.BEFORE, prefix.TOTAL)
 
 
-def build(records: DataFrame, k: int, s: int, fraction: float = 1.0, order: str | None = None) -> Targets:
+def build(records: DataFrame, k: int, s: int, fraction: float = 1.0, order: str | None = None, notes: dict | None = None) -> Targets:
     """records: target_idx, target, seq and perhaps file_idx, rec_idx of targets with several records.
 
     The records are read once: k-mers and lengths come from one pass and are written, then offsets are added.
+    notes: gets target_records, target_bases and target_kmers_selected of that pass.
     """
     place = ["file_idx", "rec_idx"] if {"file_idx", "rec_idx"} <= set(records.columns) else []
-    found = shared.keep(syncmers(records.select("target_idx", "target", *place, "seq"), k, s, positions=True, order=order, tally=True), "targets")
+    found = syncmers(records.select("target_idx", "target", *place, "seq"), k, s, positions=True, order=order, tally=True)
+    found = shared.keep(found, "targets", notes, target_records=_sum("seqs"), target_bases=_sum("bases"), target_kmers_selected=F.count("kmer"))
     sizes, kmers = found.filter("kmer IS NULL"), found.filter("kmer IS NOT NULL")
     info = sizes.groupBy("target_idx", "target").agg(F.sum("bases").alias("length"))
     if place:

@@ -9,7 +9,7 @@ from kmerlake.functions import dna, stats, text
 from kmerlake.operators import classify as C
 from kmerlake.operators import containment as Q
 from kmerlake.operators import lenhist as L
-from kmerlake.operators import masks, reshape
+from kmerlake.operators import masks, prefix, reshape
 from kmerlake.operators import targets as T
 from kmerlake.operators.syncmers import split_long, syncmers, syncmers_native
 from kmerlake.plans import files, oracles, tables
@@ -335,10 +335,12 @@ def runs_patchiness(spark, d):
 
 @_query
 def runs_events(spark, d):
-    w = Window.partitionBy("event_type").orderBy("event_id")
-    e = tables.table(spark, d, "events").withColumn("hit", (F.pmod("user_id", F.lit(3)) == 0).cast("int"))
-    e = e.withColumn("turn", F.coalesce((F.col("hit") != F.lag("hit").over(w)).cast("int"), F.lit(1)))
-    g = e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"), F.sum("turn").alias("runs"))
+    """Do every third user's events cluster? By stretches of events, whatever a type's share."""
+    e = tables.table(spark, d, "events").select("event_type", "event_id", (F.pmod("user_id", F.lit(3)) == 0).alias("hit"))
+    e = prefix.numbered(e, "event_type", "event_id", Q.STRETCH_HITS)
+    per = Q.run_counts(e.filter("hit").select("event_type", "i"), ["event_type"])
+    g = e.groupBy("event_type").agg(F.count("*").alias("n")).join(per, "event_type", "left")
+    g = g.select("event_type", "n", F.coalesce("hits", F.lit(0)).alias("hits"), Q.all_runs().alias("runs"))
     z = stats.runs_z(F.col("n"), F.col("hits"), F.col("runs"))
     return _rounded(g.select("event_type", "n", "hits", "runs", z.alias("z"), stats.normal_survival(z).alias("p")))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _local: dict[str, str] = {}
 _made: dict[str, list[str]] = {}
@@ -29,10 +29,17 @@ def folder(spark: SparkSession, name: str = "") -> str:
     return f"{own}/{name}" if name else own
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """df, written once and read from there: what made it does not run again, and a lost executor costs its own tasks only."""
+def keep(df: DataFrame, name: str, notes: dict | None = None, **figures: Column) -> DataFrame:
+    """df, written once and read from there: what made it does not run again, and a lost executor costs its own tasks only.
+
+    figures: aggregates of df that are noted while it is written, without a job of their own, in `notes` if it is given.
+    """
     path = folder(df.sparkSession, name)
-    df.write.parquet(path)
+    seen = Observation()
+    out = df if notes is None else df.observe(seen, *(c.alias(n) for n, c in figures.items()))
+    out.write.parquet(path)
+    if notes is not None:
+        notes |= seen.get
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

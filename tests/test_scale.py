@@ -149,13 +149,29 @@ def test_an_analysis_of_files_reads_them_once(spark, tmp_path, monkeypatch):
     (tmp_path / "r.fa").write_text(fasta([(f"r{i}", random_dna(900, i % 3)[100:400]) for i in range(30)]))
     ran = []
     inner = shared.keep
-    monkeypatch.setattr(shared, "keep", lambda df, name: ran.append(df._jdf.queryExecution().executedPlan().toString()) or inner(df, name))
+    monkeypatch.setattr(shared, "keep", lambda df, name, *a, **b: ran.append(df._jdf.queryExecution().executedPlan().toString()) or inner(df, name, *a, **b))
     out = api.query(spark, str(tmp_path / "t.fa"), [str(tmp_path / "r.fa")], individual=True, confidence=True, totals=True, sort="target", limit="1M")
     assert [r["target"] for r in out.collect()] == ["t0", "t1", "t2", "TOTAL"]
     generators = sum(p.count("MapInArrow") for p in ran) + out._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
     assert generators == 2, "targets and reads"
 
 
+def test_figures_are_noted_without_more_jobs(spark, tmp_path):
+    (tmp_path / "t.fa").write_text(fasta([(f"t{i}", random_dna(900, i)) for i in range(3)]))
+    (tmp_path / "r.fa").write_text(fasta([(f"r{i}", random_dna(900, i % 3)[100:400]) for i in range(30)]))
+    t, r = str(tmp_path / "t.fa"), str(tmp_path / "r.fa")
+    jobs, notes = [], {}
+    for given in (None, notes):
+        spark.sparkContext.setJobGroup(f"noted {given is None}", "")
+        api.query(spark, t, [r], individual=True, notes=given).collect()
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"noted {given is None}")))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[0] == jobs[1] > 0
+    tk, _, _, _ = api.load_targets(spark, t, individual=True)
+    depths = Q.abundance(api._reads(spark, [r], None, None), tk.kmers, 31, 9)
+    assert notes == {"target_records": 3, "target_bases": 2700, "target_kmers_selected": tk.kmers.count(), "reads": 30, "read_bases": 9000, "kmers_found": depths.count(), "kmer_hits": depths.agg(F.sum("depth")).first()[0]}
+
+
 def test_kept_tables_can_be_released(spark):
     import os
     from urllib.parse import urlparse
