@@ -64,3 +64,8 @@ def kde(hist: DataFrame, points: int = 50, bandwidth: float | None = None, lo: i
     # a row for each place and distinct length, summed map-side
     summed = by_length.join(sides.bounded(grid), "sample").groupBy("sample", "i", "x", "h").agg(F.sum(F.col("w") * F.exp(-z * z / 2)).alias("s"))
     return summed.select("sample", "i", "x", (F.col("s") / (F.col("h") * math.sqrt(2 * math.pi))).alias("density"))
+
+
+def with_sample_reads(hist: DataFrame) -> DataFrame:
+    """hist and sample_reads: all reads of the sample, over its groups. Rows are a histogram's lines."""
+    return hist.withColumn("sample_reads", F.sum("count").over(Window.partitionBy("sample")).cast("long"))

@@ -83,6 +83,11 @@ def background_hits_of(tk: DataFrame, reads: DataFrame, k: int, s: int, order: s
     return found.join(sides.bounded(side, rows), "kmer", "left_semi").distinct()
 
 
+def shared_kmers_of(a: DataFrame, b: DataFrame) -> DataFrame:
+    """kmer, once each: those that both target sets have."""
+    return union_kmers(a).join(union_kmers(b), "kmer", "left_semi")
+
+
 def mask(tk: DataFrame, hits: DataFrame) -> DataFrame:
     return tk.join(hits, "kmer", "left_anti").select(*tk.columns)
 

@@ -137,6 +137,13 @@ def target_union(spark, d):
     return T.union_kmers(_targets(spark, d).kmers).select(dna.decode("kmer", K).alias("kmer"))
 
 
+@_query
+def target_intersection(spark, d):
+    """K-mers that two groups of targets share."""
+    t = T.build(tables.merged_targets(spark, d), 7, 3).kmers
+    return T.shared_kmers_of(t.filter("target_idx = 0"), t.filter("target_idx = 1")).select(dna.decode("kmer", 7).alias("kmer"))
+
+
 @_query
 def target_merge_offsets(spark, d):
     t = T.build(tables.merged_targets(spark, d), K, S)
@@ -444,6 +451,11 @@ def lenhist_all(spark, d):
     return L.histogram(L.all_in_one(tables.turns(spark, d)))
 
 
+@_query
+def lenhist_sample_reads(spark, d):
+    return L.with_sample_reads(L.histogram(L.all_in_one(tables.turns(spark, d)))).select("sample", "group", "length", "count", "sample_reads")
+
+
 @_query
 def lenhist_bins(spark, d):
     return _rounded(L.binned(L.histogram(L.all_in_one(tables.reads(spark, d, "source"))), 500))

@@ -287,6 +287,8 @@ SELECT sample, target, CASE WHEN target = 'TOTAL' THEN 'All targets' WHEN target
     "plot_prep": f"""WITH {FULL},
 p AS (SELECT * FROM c WHERE sample IN ('en', 'de'))
 SELECT sample, target, (dense_rank() OVER (ORDER BY id) - 1)::INT AS target_idx, round(c1, 8) AS containment1, (SELECT count(DISTINCT sample) FROM p)::BIGINT AS n_samples FROM p""",
+    "lenhist_sample_reads": f"WITH {ALL_TURNS}\nSELECT sample, \"group\", length, count, sum(count) OVER (PARTITION BY sample)::BIGINT AS sample_reads FROM lh",
+    "target_intersection": f"WITH t AS (SELECT item_id AS id, {dna('text')} AS seq FROM benchmark),\n{mers('tk', 't', 7, 3)}\nSELECT kmer FROM tk WHERE id % 4 = 0 INTERSECT SELECT kmer FROM tk WHERE id % 4 = 1",
     "group_masks": f"WITH t AS (SELECT item_id AS id, {dna('text')} AS seq FROM benchmark),\n{mers('tk', 't', 15, 7)},\nx AS (SELECT DISTINCT kmer, (id * 7) % 100 AS g FROM tk)\nSELECT kmer, count(*)::BIGINT AS n_groups, string_agg(g::VARCHAR, ',' ORDER BY g) AS groups FROM x GROUP BY 1",
     "index_packed": f"WITH t AS (SELECT item_id AS id, 'item ' || item_id AS target, {dna('text')} AS seq FROM benchmark),\n{mers('tk', 't', 61)}\nSELECT target, pos AS position, kmer FROM tk JOIN t USING (id)",
     "index_buckets": f"WITH {MERGED},\n{READS},\nx AS (SELECT DISTINCT kmer, g FROM mk)\nSELECT rk.id AS seq_id, g::INT AS group_idx, count(*)::BIGINT AS n FROM rk JOIN x USING (kmer) GROUP BY ALL",
