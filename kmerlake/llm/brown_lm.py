@@ -15,7 +15,7 @@ blocks, to where its count and its share of each text's score are worked out.
 Both smoothings add a half: to each known word of a class and one unknown, and to each class transition.
 
 Defined cases: null texts are empty, one end token; rows with a null id are scored, not learned from and
-not held out; repeated rows are learned from and scored each; other columns are ignored; with nothing to
+not held out; repeated rows are learned from and scored each; texts of any length are read whole; other columns are ignored; with nothing to
 learn from, all counts are 0; an empty table gives no rows.
 """
 

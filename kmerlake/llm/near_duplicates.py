@@ -17,7 +17,7 @@ higher similarity far less; nothing else can lose a link.
 Defined cases: without words (or text) a document has the empty set and no link; with fewer words than a
 shingle the whole sequence is one; rows of one doc_id are one document, linked by any of its texts; rows
 with a null doc_id have no link, a null component, and are kept; other columns are ignored or pass
-through; an empty table gives no rows.
+through; texts of any length give all their shingles; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ one shard holds the rest.
 
 Defined cases: a null or empty text is one piece with the end id alone; only documents longer than a
 sequence are cut, the first piece takes what is over; repeated rows are packed each; other columns are
-ignored; an empty table gives no rows. Every seed follows from level, shard and island: the same input
+ignored; texts of any length are encoded whole; an empty table gives no rows. Every seed follows from level, shard and island: the same input
 files give the same plan.
 """
 

@@ -5,7 +5,7 @@ rule; policies are versioned masks over those bits, so a new policy or an ablati
 and never the texts again.
 
 Defined cases: null or empty text has no words and fails `few_words`; rows are judged one by one, so
-repeated rows and ids give repeated results; other columns are ignored; an empty table gives none.
+repeated rows and ids give repeated results; texts of any length are measured whole; other columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations

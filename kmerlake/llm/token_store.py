@@ -5,7 +5,7 @@ Documents are dealt by ranges of their id and sorted; every task cuts its run in
 runs again leaves the same file). The manifest, one row a shard, is written last.
 
 Defined cases: null texts are empty and hold the end id alone; rows of one id keep together, ordered by
-text; a null id sorts first; other columns are ignored; an empty table gives an empty manifest.
+text; a null id sorts first; texts of any length are encoded whole; other columns are ignored; an empty table gives an empty manifest.
 The target must be a place that pyarrow's file systems reach (file, hdfs, s3, gs).
 """
 

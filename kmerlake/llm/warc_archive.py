@@ -8,8 +8,8 @@ at reading, both digests are computed again from the stored bytes.
 Defined cases: null payloads are empty ones; of equal payloads of at least `min_bytes` the smallest
 id is the response and the others revisit it, smaller ones are all responses; repeated rows of the
 smallest id are all responses; a null id is never smaller than another; a null url gives an empty
-URI, and line ends in a url are percent-encoded; other columns are ignored; an empty table gives an
-empty archive.
+URI, and line ends in a url are percent-encoded; other columns are ignored; payloads of any length are kept
+whole, one at a time in memory; an empty table gives an empty archive.
 """
 
 from __future__ import annotations
