@@ -71,7 +71,7 @@ def test_odd_rows_equal_brute_force(spark, tmp_path):
     assert got(query(spark, rows, tmp_path)) == brute(rows)
 
 
-@pytest.mark.parametrize("sizes", [[1], [16, 17], [M.BUCKET, M.BUCKET + 1], [3 * M.BUCKET + 300, 2, 257], [1] * 300])
+@pytest.mark.parametrize("sizes", [[1], [3 * M.BUCKET + 300, M.BUCKET, M.BUCKET + 1, 2, 16, 17, 257], [1] * 300])
 def test_sizes_of_trees(spark, tmp_path, sizes):
     rng = random.Random(len(sizes))
     rows = [(i * 1000 + j, f"Text {rng.random()}", "en", None if i == 1 else f"s{i}", j) for i, n in enumerate(sizes) for j in range(n)]
