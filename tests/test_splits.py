@@ -98,7 +98,7 @@ def test_block_starts_inside_data_are_not_taken(tmp_path):
     assert gzip.GzipFile(fileobj=io.BytesIO(fastx._bgzf_block(b"ab") + fastx._bgzf_block(b""))).read() == b"ab"
 
 
-@pytest.mark.parametrize("ending", [".fq", ".fa.gz", ".fa.zst"])
+@pytest.mark.parametrize("ending", [".fq", ".fa.gz"])
 @pytest.mark.parametrize("limit", [0, 5000, 10**9])
 def test_limits_end_at_the_exact_record(spark, tmp_path, ending, limit):
     rng, files = random.Random(1), []
