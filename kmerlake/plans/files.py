@@ -21,7 +21,7 @@ from kmerlake.operators.classify import group_index
 from kmerlake.plans import oracles as O
 from kmerlake.plans import tables
 from kmerlake.sources import fastx, paths, shared, storage, tsv
-from kmerlake.streaming import incremental
+from kmerlake.streaming import depths, incremental
 
 K, S = O.K, O.S
 THRESHOLDS = (10, 2, 1)
@@ -265,6 +265,18 @@ def stream_abundance(spark, d):
     return got.select("sample", dna.decode("kmer", K).alias("kmer"), "depth")
 
 
+@_query
+def stream_depths(spark, d):
+    """The same counts as updates of a stateful processor, in two micro-batches."""
+    tk, root = T.build(tables.targets(spark, d), K, S).kmers, folder(spark)
+    reads = tables.table(spark, d, "documents").select(F.col("lang").alias("sample"), dna.text_as_dna("text").alias("seq"))
+    reads.repartition(4).write.parquet(f"{root}/reads")
+    stream = spark.readStream.schema(reads.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/reads")
+    updates = depths.depth_updates(stream, tk, K, S)
+    depths.start(updates, f"{root}/rows", f"{root}/state").awaitTermination()
+    return depths.latest(spark, f"{root}/rows", updates.schema).select("sample", dna.decode("kmer", K).alias("kmer"), "depth")
+
+
 @_query
 def stream_read_hits(spark, d):
     index = group_index(tables.groups(spark, d), K, S)
@@ -314,6 +326,7 @@ UNION ALL SELECT row_number() OVER (ORDER BY tot.sample, is_total, tot.id NULLS
 FROM (SELECT tot.*, ani.ani_est, zp.z, zp.p FROM tot LEFT JOIN ani ON ani.sample = tot.sample AND ani.id = tot.id LEFT JOIN zp ON zp.sample = tot.sample AND zp.id = tot.id) tot""",
     "report_reread": f"WITH {O.ALL_TURNS}\nSELECT sample, \"group\", length, count, NULL::BIGINT AS group_bases FROM lh UNION ALL SELECT sample, \"group\", length, count, group_bases FROM lh",
     "stream_abundance": f"WITH {O.FULL}\nSELECT sample, kmer, depth FROM ab",
+    "stream_depths": f"WITH {O.FULL}\nSELECT sample, kmer, depth FROM ab",
     "stream_read_hits": f"WITH {O.MERGED},\n{O.READS},\nx AS (SELECT DISTINCT kmer, g FROM mk)\nSELECT r.sample, r.id AS seq_id, g::INT AS group_idx, kmer FROM rk JOIN r USING (id) JOIN x USING (kmer)",
     "stream_windows": "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type AS sample, count(*)::BIGINT AS sample_seqs, coalesce(sum(length(props)), 0)::BIGINT AS sample_bases FROM events GROUP BY ALL",
 }
