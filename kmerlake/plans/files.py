@@ -8,8 +8,9 @@ from __future__ import annotations
 import os
 import tempfile
 import threading
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerlake import api
@@ -105,11 +106,12 @@ def file_groups(spark, d):
     return read.select("group_idx", "group", "seq_id", "seq")
 
 
-def _read_files(spark: SparkSession, d: str, ending: str) -> str:
-    """Documents as sequence files, in order of their ids over all files: a folder."""
-    root, reads = folder(spark), tables.reads(spark, d)
-    fastx.write_fastx(reads.repartitionByRange(3, "seq_id").sortWithinPartitions("seq_id").select("seq_id", "seq"), root, ending)
-    return root
+def _read_files(spark: SparkSession, d: str, endings: Sequence[str]) -> dict[str, str]:
+    """Documents as sequence files of each ending, in order of their ids over all files: a folder for each."""
+    docs, folders = tables.table(spark, d, "documents").select("doc_id", "text"), {e: folder(spark) for e in endings}
+    dealt = docs.repartitionByRange(tables.parts(docs, 3), "doc_id").sortWithinPartitions("doc_id")
+    fastx.write_formats(dealt.select(F.col("doc_id").alias("seq_id"), dna.text_as_dna("text").alias("seq")), folders)
+    return folders
 
 
 SPLIT_FORMATS = (".fa", ".fq.gz", ".fa.zst")
@@ -120,22 +122,15 @@ LIMIT = 300_000
 @_query
 def file_split(spark, d):
     """Large files, plain and in blocks, as many partitions: the records and their numbers are those of the whole files."""
-    out = None
-    for ending in SPLIT_FORMATS:
-        root = _read_files(spark, d, ending)
-        read = fastx.read_samples(spark, [root], [ending], split=SPLIT_BYTES)
-        # records of the files before, of which there are a few
-        before = Window.partitionBy("sample").orderBy("file_idx").rowsBetween(Window.unboundedPreceding, -1)
-        files = read.groupBy("sample", "file_idx").agg(F.count("*").alias("n")).select("sample", "file_idx", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-        rows = read.join(F.broadcast(files), ["sample", "file_idx"]).select("sample", (F.col("before") + F.col("rec_idx")).alias("number"), F.col("seq_id").cast("long").alias("doc_id"), "seq")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    roots = _read_files(spark, d, SPLIT_FORMATS)
+    read = fastx.read_samples(spark, list(roots.values()), list(roots), split=SPLIT_BYTES, through=True)
+    return read.select("sample", F.col("rec_idx").alias("number"), F.col("seq_id").cast("long").alias("doc_id"), "seq")
 
 
 @_query
 def file_limit(spark, d):
     """Reads of a folder of files up to a number of bases; the files' ranges behind it are not opened."""
-    read = fastx.read_samples(spark, [_read_files(spark, d, ".fq")], ["reads"], limit=LIMIT, numbers=False, split=SPLIT_BYTES)
+    read = fastx.read_samples(spark, list(_read_files(spark, d, [".fq"]).values()), ["reads"], limit=LIMIT, numbers=False, split=SPLIT_BYTES)
     return read.select("sample", F.col("seq_id").cast("long").alias("doc_id"), F.length("seq").cast("long").alias("length"))
 
 

@@ -20,6 +20,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def parts(df: DataFrame, least: int) -> int:
+    """Into how many parts to deal the table df: as many as Spark reads it in, so that none grows with it."""
+    return max(least, df.rdd.getNumPartitions())
+
+
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """target_idx, target, seq: each benchmark item."""
     name = F.concat(F.lit("item "), F.col("item_id").cast("string"))

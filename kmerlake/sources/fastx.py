@@ -31,6 +31,7 @@ from kmerlake.sources import paths, splits, storage
 
 SCHEMA = "sample string, file_idx int, rec_idx long, seq_id string, seq string"
 BATCH_BASES = 1 << 22
+_LETTERS = bytes(c if chr(c).isascii() and chr(c).isalpha() or chr(c) in "*.-" else ord("N") for c in range(256))
 
 
 def open_plain(path: str) -> IO[bytes]:
@@ -87,6 +88,9 @@ class FastxReader(DataSourceReader):
     def __init__(self, ranges: list[splits.Range]):
         self.ranges = ranges
 
+    def __reduce__(self):
+        return FastxReader, ([],)  # a task gets its own range, not the plan
+
     def partitions(self) -> list[FastxRange]:
         return [FastxRange(r) for r in self.ranges]
 
@@ -121,9 +125,10 @@ class FastxSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> FastxReader:
-        if "ranges" in self.options:
-            return FastxReader([splits.Range(**r) for r in json.loads(self.options["ranges"])])
-        return FastxReader([splits.Range(*m, kind="") for m in json.loads(self.options["manifest"])])
+        given, self.options = self.options, {}  # which tasks would get too
+        if "ranges" in given:
+            return FastxReader([splits.Range(**r) for r in json.loads(given["ranges"])])
+        return FastxReader([splits.Range(*m, kind="") for m in json.loads(given["manifest"])])
 
 
 def spool(path: str, folder: str | None = None) -> str:
@@ -145,11 +150,12 @@ def _spool_folder(spark: SparkSession) -> str | None:
     return storage.plain(spark.conf.get("spark.checkpoint.dir", None) or "") or None
 
 
-def read_fastx(spark: SparkSession, manifest: Sequence[tuple[str, int, str]], limit: int | None = None, numbers: bool = True, split: int = splits.SIZE) -> DataFrame:
+def read_fastx(spark: SparkSession, manifest: Sequence[tuple[str, int, str]], limit: int | None = None, numbers: bool = True, split: int = splits.SIZE, through: bool = False) -> DataFrame:
     """manifest: (sample, file number, path), as sources.paths gives it.
 
-    limit: each sample ends with the record that reaches as many bases. numbers: rec_idx counts a file's records; without
-    it, it ascends in the file, with gaps, and records of large files need not be counted. split: bytes to a partition.
+    limit: each sample ends with the record that reaches as many bases. numbers: rec_idx counts a file's records, or
+    `through` all files those of a sample; without it, it ascends in the file, with gaps, and records of large files need not
+    be counted. split: bytes to a partition, more where there would be over splits.RANGES.
     """
     spark.dataSource.register(FastxSource)
     folder = _spool_folder(spark)
@@ -160,7 +166,7 @@ def read_fastx(spark: SparkSession, manifest: Sequence[tuple[str, int, str]], li
     if not ranges:
         return spark.createDataFrame([], SCHEMA)
     if numbers:
-        ranges = splits.numbered(spark, ranges)
+        ranges = splits.numbered(spark, ranges, through)
     return spark.read.format("fastx").option("ranges", json.dumps([asdict(r) for r in ranges])).load()
 
 
@@ -189,7 +195,7 @@ class _Blocks(io.RawIOBase):
 
 
 def _bgzf_block(data: bytes) -> bytes:
-    deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
+    deflate = zlib.compressobj(4, zlib.DEFLATED, -15)
     body = deflate.compress(data) + deflate.flush()
     head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0"
     return head + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data))
@@ -199,7 +205,7 @@ def _compressed(raw: IO[bytes], path: str) -> IO[bytes]:
     if path.endswith(".gz"):
         return _Blocks(raw, 0xFF00, _bgzf_block, _bgzf_block(b""))
     if path.endswith(".xz"):
-        return lzma.LZMAFile(raw, "wb")
+        return lzma.LZMAFile(raw, "wb", preset=1)
     if path.endswith(".zst"):
         return _Blocks(raw, 1 << 20, lambda data: pa.compress(data, codec="zstd", asbytes=True))
     return raw
@@ -211,35 +217,45 @@ def write_fastx(df: DataFrame, folder: str, ending: str = ".fa", stem: str = "pa
     FASTQ endings get the best quality throughout; .gz, .xz and .zst compress. Null sequences are empty;
     characters that no sequence has are written as N, line breaks in names as spaces.
     """
-    if not paths.is_fastx("x" + ending):
-        raise ValueError(f"not an ending of a sequence file: {ending!r}")
-    quality = ending.split(".")[1] in ("fq", "fastq")
+    write_formats(df, {ending: folder}, stem)
+
+
+def write_formats(df: DataFrame, folders: dict[str, str], stem: str = "part") -> None:
+    """write_fastx to a folder for each ending, in one pass over df."""
+    for ending in folders:
+        if not paths.is_fastx("x" + ending):
+            raise ValueError(f"not an ending of a sequence file: {ending!r}")
+
+    form = {e: b"@%b\n%b\n+\n%b\n" if e.split(".")[1] in ("fq", "fastq") else b">%b\n%b\n" for e in folders}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n = TaskContext.get(), 0
-        final = f"{folder}/{stem}-{task.partitionId():05d}{ending}"
-        partial = f"{folder}/.{task.taskAttemptId()}-{stem}{ending}"
-        raw = out = None
+        final = {e: f"{folder}/{stem}-{task.partitionId():05d}{e}" for e, folder in folders.items()}
+        partial = {e: f"{folder}/.{task.taskAttemptId()}-{stem}{e}" for e, folder in folders.items()}
+        raw, out = {}, {}
         for b in batches:
-            for name, seq in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if out is None:
-                    raw = storage.open_output(partial)
-                    out = _compressed(raw, ending)
-                out.write((f"@{name}\n{seq}\n+\n{'I' * len(seq)}\n" if quality else f">{name}\n{seq}\n").encode())
+            for name, letters in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                seq = letters.encode("ascii", "replace").translate(_LETTERS)
+                record = (name.encode(), seq, b"I" * len(seq))
+                for e in folders:
+                    if e not in out:
+                        raw[e] = storage.open_output(partial[e])
+                        out[e] = _compressed(raw[e], e)
+                    out[e].write(form[e] % record[: form[e].count(b"%b")])
                 n += 1
-        if out is not None:
-            out.close()
-            raw.close()
-            storage.move(partial, final)
+        for e in out:
+            out[e].close()
+            raw[e].close()
+            storage.move(partial[e], final[e])
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
     name = F.regexp_replace(F.coalesce(F.col("seq_id").cast("string"), F.lit("")), r"[\r\n]", " ")
-    rows = df.select(name.alias("seq_id"), F.regexp_replace(F.coalesce("seq", F.lit("")), r"[^A-Za-z*.-]", "N").alias("seq"))
+    rows = df.select(name.alias("seq_id"), F.coalesce("seq", F.lit("")).alias("seq"))
     rows.mapInArrow(run, "n long").agg(F.sum("n")).collect()  # one number
 
 
-def read_samples(spark: SparkSession, inputs: Sequence[str], names: Sequence[str] | None = None, limit: int | None = None, numbers: bool = True, split: int = splits.SIZE) -> DataFrame:
-    return read_fastx(spark, paths.samples(inputs, names), limit, numbers, split)
+def read_samples(spark: SparkSession, inputs: Sequence[str], names: Sequence[str] | None = None, limit: int | None = None, numbers: bool = True, split: int = splits.SIZE, through: bool = False) -> DataFrame:
+    return read_fastx(spark, paths.samples(inputs, names), limit, numbers, split, through)
 
 
 def read_groups(spark: SparkSession, folder: str, numbers: bool = True) -> tuple[DataFrame, list[str]]:

@@ -16,6 +16,7 @@ import io
 import json
 import lzma
 import struct
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass, replace
 from typing import IO
@@ -26,6 +27,7 @@ from pyspark.sql import SparkSession
 from kmerlake.sources import storage
 
 SIZE = 64 << 20
+RANGES = 1 << 10  # of a plan, before ranges become larger than asked for; none becomes larger than SIZE for it
 PROBE = 1 << 18  # bytes first read in search of a record
 PLAIN, GZIP, BGZF, XZ, ZSTD = "plain", "gzip", "bgzf", "xz", "zstd"
 SPLITTABLE = (PLAIN, BGZF, ZSTD)
@@ -283,10 +285,13 @@ def _on_executors(spark: SparkSession, tasks: Sequence[dict], work, schema: str)
 
 
 def plan(spark: SparkSession, manifest: Sequence[tuple[str, int, str]], size: int = SIZE) -> list[Range]:
-    """The ranges of about `size` bytes of (sample, file number, path), in order. Numbers ascend in a file, with gaps between its ranges."""
-    ranges, probes = [], []
-    for sample, i, path in manifest:
-        total = storage.size(path)
+    """The ranges of about `size` bytes of (sample, file number, path), in order; larger ones where there would be more than RANGES.
+
+    Numbers ascend in a file, with gaps between its ranges.
+    """
+    ranges, probes, totals = [], [], [storage.size(path) for _, _, path in manifest]
+    size = max(size, min(SIZE, sum(totals) // RANGES))
+    for (sample, i, path), total in zip(manifest, totals, strict=True):
         if total <= size:
             ranges.append(Range(sample, i, path, ""))
             continue
@@ -327,14 +332,15 @@ def _sizes(spark: SparkSession, ranges: Sequence[Range], enough: int | None) ->
     return [found[i] for i in range(len(ranges))]
 
 
-def numbered(spark: SparkSession, ranges: list[Range]) -> list[Range]:
-    """Ranges whose numbers follow without gaps: records of files with several ranges are counted first."""
-    several = {(r.file_idx, r.path, r.sample) for r in ranges if r.first}
-    counted = [r for r in ranges if (r.file_idx, r.path, r.sample) in several]
+def numbered(spark: SparkSession, ranges: list[Range], through: bool = False) -> list[Range]:
+    """Ranges whose numbers follow without gaps in a file, or `through` all files of a sample: where there are several ranges, their records are counted first."""
+    of = (lambda r: r.sample) if through else (lambda r: (r.file_idx, r.path, r.sample))
+    several = Counter(map(of, ranges))
+    counted = [r for r in ranges if several[of(r)] > 1]
     sizes = dict(zip(counted, _sizes(spark, counted, None), strict=True))
     out, before = [], {}
     for r in ranges:
-        key = (r.file_idx, r.path, r.sample)
+        key = of(r)
         out.append(replace(r, first=before.get(key, 0)))
         before[key] = before.get(key, 0) + (sizes[r][0] if r in sizes else 0)
     return out

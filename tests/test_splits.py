@@ -2,11 +2,14 @@
 
 import gzip
 import io
+import json
 import os
 import random
+from dataclasses import asdict
 
 import pyarrow as pa
 import pytest
+from pyspark.cloudpickle import dumps
 
 from kmerlake.sources import fastx, splits
 from tests.dna_data import random_dna
@@ -130,3 +133,39 @@ def test_what_a_limit_reads_follows_the_limit(spark, tmp_path):
         splits._sizes = inner
     spans = [r.end_block - r.block for r in counted]
     assert len(ranges) > 70 and len(kept) <= 4 and sum(spans) < 4 * 50_000 + 40_000, (len(kept), sum(spans))
+
+
+def test_tasks_get_no_plan():
+    """What a task unpickles stays as it is, however many ranges there are."""
+
+    def sizes(n):
+        source = fastx.FastxSource({"ranges": json.dumps([asdict(splits.Range("s", 0, "/x", block=i)) for i in range(n)])})
+        reader = source.reader(None)
+        assert len(reader.partitions()) == n
+        return len(dumps((source, reader)))
+
+    assert sizes(2000) == sizes(2)
+
+
+def test_ranges_grow_where_there_would_be_too_many(spark, tmp_path, monkeypatch):
+    path, rows = str(tmp_path / "reads.fa"), sequences(900, 4)
+    write(path, text_of(rows, False, None))
+    many = splits.plan(spark, [("s", 0, path)], 2000)
+    monkeypatch.setattr(splits, "RANGES", 40)
+    few = splits.plan(spark, [("s", 0, path)], 2000)
+    assert len(many) > 100 and 20 < len(few) <= 41
+    got = fastx.read_fastx(spark, [("s", 0, path)], split=2000).collect()
+    assert sorted((r["rec_idx"], r["seq_id"], r["seq"]) for r in got) == [(i, *r) for i, r in enumerate(rows)]
+
+
+def test_several_formats_in_one_pass_and_numbers_through_files(spark, tmp_path):
+    rows = [(f"r{i}", (random_dna(300, i), "Ac\n-é*😀.1", "", None)[i % 4]) for i in range(200)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, seq_id string, seq string")
+    folders = {e: str(tmp_path / e[1:]) for e in (".fa", ".fq.gz", ".fa.zst", ".fq.xz")}
+    fastx.write_formats(df.repartitionByRange(3, "i").sortWithinPartitions("i").select("seq_id", "seq"), folders)
+    want = [(i, n, (s or "").replace("Ac\n-é*😀.1", "AcN-N*N.N")) for i, (n, s) in enumerate(rows)]
+    read = fastx.read_samples(spark, list(folders.values()), list(folders), split=4000, through=True)
+    got = read.collect()
+    assert len({r["file_idx"] for r in got}) == 3
+    for e in folders:
+        assert sorted((r["rec_idx"], r["seq_id"], r["seq"]) for r in got if r["sample"] == e) == want, e
