@@ -160,9 +160,7 @@ def read_fastx(spark: SparkSession, manifest: Sequence[tuple[str, int, str]], li
     spark.dataSource.register(FastxSource)
     folder = _spool_folder(spark)
     files = [(sample, i, storage.absolute(spool(p, folder))) for sample, i, p in manifest]
-    ranges = splits.plan(spark, files, split)
-    if limit is not None:
-        ranges = splits.limited(spark, ranges, limit)
+    ranges = splits.plan(spark, files, split) if limit is None else splits.planned_limited(spark, files, split, limit)
     if not ranges:
         return spark.createDataFrame([], SCHEMA)
     if numbers:

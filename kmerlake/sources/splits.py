@@ -346,16 +346,29 @@ def numbered(spark: SparkSession, ranges: list[Range], through: bool = False) ->
     return out
 
 
-def limited(spark: SparkSession, ranges: list[Range], limit: int) -> list[Range]:
+def planned_limited(spark: SparkSession, manifest: Sequence[tuple[str, int, str]], size: int, limit: int) -> list[Range]:
+    """plan and limited by files, 1, 2, 4 ... more of each sample at a time: those behind the limit are not opened, nor searched for ranges."""
+    left: dict[str, list[tuple[str, int, str]]] = {}
+    for m in manifest:
+        left.setdefault(m[0], []).append(m)
+    total, out, more = dict.fromkeys(left, 0), [], 1
+    while left:
+        out += limited(spark, plan(spark, [m for rest in left.values() for m in rest[:more]], size), limit, total)
+        left = {s: rest[more:] for s, rest in left.items() if total[s] < limit and rest[more:]}
+        more *= 2
+    return out
+
+
+def limited(spark: SparkSession, ranges: list[Range], limit: int, total: dict[str, int] | None = None) -> list[Range]:
     """The ranges of each sample up to where its records have `limit` bases; the last stops at the exact record.
 
     Ranges are counted in order, 1, 2, 4 ... more of each sample at a time until there are enough, so what is read
-    follows the limit and not the input.
+    follows the limit and not the input. total: the samples' bases in files before, to which these are added.
     """
     left: dict[str, list[Range]] = {}
     for r in ranges:
         left.setdefault(r.sample, []).append(r)
-    total, out, more = dict.fromkeys(left, 0), [], 1
+    total, out, more = dict.fromkeys(left, 0) if total is None else total, [], 1
     while left:
         wave = [r for rest in left.values() for r in rest[:more]]
         for r, (_, bases) in zip(wave, _sizes(spark, wave, max(limit, 1)), strict=True):

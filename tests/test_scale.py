@@ -181,3 +181,18 @@ def test_kept_tables_can_be_released(spark):
     assert os.path.exists(path)
     shared.release(spark)
     assert not os.path.exists(path)
+
+
+def test_files_follow_the_table(spark, monkeypatch):
+    """No file, and so no task, grows with the documents."""
+    from kmerlake.plans import files
+    from kmerlake.sources import paths
+
+    monkeypatch.setattr(files, "folder", lambda spark, inner=files.folder: inner(spark).removeprefix("file://"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        folders = files._read_files(spark, "/root/testdata/sf0.001", [".fq", ".fa"])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert all(len(paths.fastx_files(f)) > 6 for f in folders.values())

@@ -169,3 +169,19 @@ def test_several_formats_in_one_pass_and_numbers_through_files(spark, tmp_path):
     assert len({r["file_idx"] for r in got}) == 3
     for e in folders:
         assert sorted((r["rec_idx"], r["seq_id"], r["seq"]) for r in got if r["sample"] == e) == want, e
+
+
+def test_files_behind_a_limit_are_not_opened(spark, tmp_path):
+    files = []
+    for i in range(7):
+        files.append(("a" if i < 6 else "b", i % 6, str(tmp_path / f"{i}.fq")))
+        write(files[-1][2], text_of(sequences(40, 10 * i + 1), True, random.Random(i)))
+    for _, _, path in files[3:6]:
+        open(path, "wb").write(b"no sequence file " * 1000)
+    bases = [sum(len(s) for _, s in sequences(40, 10 * i + 1)) for i in range(7)]
+    got = fastx.read_fastx(spark, files, limit=bases[0] + bases[1] + 5, split=4000).collect()
+    of = lambda s: sorted((r["file_idx"], r["rec_idx"], r["seq"]) for r in got if r["sample"] == s)
+    want = [(i, j, s) for i in range(3) for j, (_, s) in enumerate(sequences(40, 10 * i + 1))]
+    before = [sum(len(s) for *_, s in want[:n]) for n in range(len(want))]
+    assert of("a") == [w for w, n in zip(want, before, strict=True) if n < bases[0] + bases[1] + 5]
+    assert of("b") == [(0, j, s) for j, (_, s) in enumerate(sequences(40, 61))]
