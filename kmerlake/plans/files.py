@@ -264,9 +264,11 @@ def stream_abundance(spark, d):
 def stream_depths(spark, d):
     """The same counts as updates of a stateful processor, in two micro-batches."""
     tk, root = T.build(tables.targets(spark, d), K, S).kmers, folder(spark)
-    reads = tables.table(spark, d, "documents").select(F.col("lang").alias("sample"), dna.text_as_dna("text").alias("seq"))
-    reads.repartition(4).write.parquet(f"{root}/reads")
-    stream = spark.readStream.schema(reads.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/reads")
+    docs = tables.table(spark, d, "documents").select("lang", "text")
+    n = tables.parts(docs, 4)
+    reads = docs.repartition(n).select(F.col("lang").alias("sample"), dna.text_as_dna("text").alias("seq"))
+    reads.write.parquet(f"{root}/reads")
+    stream = spark.readStream.schema(reads.schema).option("maxFilesPerTrigger", -(-n // 2)).parquet(f"{root}/reads")
     updates = depths.depth_updates(stream, tk, K, S)
     depths.start(updates, f"{root}/rows", f"{root}/state").awaitTermination()
     return depths.latest(spark, f"{root}/rows", updates.schema).select("sample", dna.decode("kmer", K).alias("kmer"), "depth")

@@ -2,6 +2,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from kmerlake.functions import dna
 from kmerlake.operators import classify as C
 from kmerlake.operators import containment as Q
 from kmerlake.operators import targets as T
@@ -116,3 +117,20 @@ def test_counts_saturate_and_are_put_out_once():
     assert dict(zip(*changed.to_pydict().values(), strict=True)) == {5: MAX_DEPTH, 6: 2}
     counts, changed = depths.added(counts, pa.table({"kmer": [5, 7, 5], "n": [1, 1, 1]}))
     assert changed.to_pydict() == {"kmer": [7], "depth": [1]} and len(counts) == 3
+
+
+def test_the_stateful_query_deals_reads_by_the_tables_size(spark, tmp_path, monkeypatch):
+    """Two micro-batches of as many files as Spark reads the table in; the batch counts."""
+    from kmerlake.plans import files, tables
+
+    d, before = "/root/testdata/sf0.001", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    monkeypatch.setattr(files, "folder", lambda spark: str(tmp_path))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        got = files.stream_depths(spark, d)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(list((tmp_path / "reads").glob("*.parquet"))) > 4
+    assert sorted(p.name for p in (tmp_path / "rows").iterdir()) == ["batch=0", "batch=1"]
+    want = Q.abundance(tables.reads(spark, d), T.build(tables.targets(spark, d), files.K, files.S).kmers, files.K, files.S)
+    assert by_kmer(got) == by_kmer(want.withColumn("kmer", dna.decode("kmer", files.K))) != {}
