@@ -159,3 +159,30 @@ def test_urls_go_the_same_way_as_paths(folder, monkeypatch):
         out.write(b">r\nAC\n")
     storage.move(url + "/new/a.fa", url + "/new/b.fa")
     assert (folder / "new/b.fa").read_text() == ">r\nAC\n"
+
+
+def test_files_are_compressed_at_fast_levels():
+    """Reads take far longer at the default levels, for a few hundredths (gz) to a fifth (xz) of the size."""
+    import io
+    import random
+    import time
+    import zlib
+
+    rng = random.Random(3)
+    data = "".join(f"@r{i}\n{s}\n+\n{'I' * len(s)}\n" for i, s in enumerate("".join(rng.choice("ACGT") for _ in range(900)) for _ in range(1000))).encode()
+
+    def seconds(work):
+        began = time.process_time()
+        work()
+        return time.process_time() - began
+
+    for ending, slow in ((".gz", lambda: zlib.compress(data, 6)), (".xz", lambda: lzma.compress(data))):
+        raw = io.BytesIO()
+
+        def fast(raw=raw, ending=ending):
+            out = fastx._compressed(raw, ending)
+            out.write(data)
+            out.close()
+
+        assert seconds(fast) < 0.7 * seconds(slow), ending
+        assert (gzip if ending == ".gz" else lzma).decompress(raw.getvalue()) == data
