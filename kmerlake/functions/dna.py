@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 BASES = "ACGT"
 LETTERS = "abcdefghijklmnopqrstuvwxyz "
+#: text_as_dna of lower-case text, byte by byte (bytes.translate).
+TEXT_CODE = bytes.maketrans(LETTERS.encode(), (BASES * 7)[: len(LETTERS)].encode())
 
 
 def revcomp(seq: Column | str) -> Column:

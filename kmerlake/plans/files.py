@@ -70,11 +70,11 @@ def _group_folder(spark: SparkSession, d: str) -> str:
 
 
 def _sample_folders(spark: SparkSession, d: str, column: str) -> list[str]:
-    """A folder of files for each sample."""
-    root, reads = folder(spark), tables.reads(spark, d, column)
-    names = sorted(r[0] for r in reads.select("sample").distinct().collect())  # a few
-    for i, name in enumerate(names):
-        fastx.write_fastx(reads.filter(F.col("sample") == name), f"{root}/{name}", list(FORMATS.values())[i % len(FORMATS)])
+    """A folder of files for each sample; all are written in one pass over the documents."""
+    root, docs, endings = folder(spark), tables.documents(spark, d, column), list(FORMATS.values())
+    names = sorted(r[0] for r in tables.table(spark, d, "documents").select(column).distinct().collect())  # a few
+    places = {name: (f"{root}/{name}", endings[i % len(endings)]) for i, name in enumerate(names)}
+    fastx.write_samples(docs.select("sample", "seq_id", F.lower("text").alias("seq")), places, code=dna.TEXT_CODE)
     return [f"{root}/{n}" for n in names]
 
 
@@ -110,7 +110,7 @@ def _read_files(spark: SparkSession, d: str, endings: Sequence[str]) -> dict[str
     """Documents as sequence files of each ending, in order of their ids over all files: a folder for each."""
     docs, folders = tables.table(spark, d, "documents").select("doc_id", "text"), {e: folder(spark) for e in endings}
     dealt = docs.repartitionByRange(tables.parts(docs, 3), "doc_id").sortWithinPartitions("doc_id")
-    fastx.write_formats(dealt.select(F.col("doc_id").alias("seq_id"), dna.text_as_dna("text").alias("seq")), folders)
+    fastx.write_formats(dealt.select(F.col("doc_id").alias("seq_id"), F.lower("text").alias("seq")), folders, code=dna.TEXT_CODE)
     return folders
 
 

@@ -46,9 +46,14 @@ def group_names(spark: SparkSession) -> DataFrame:
     return spark.range(N_GROUPS).select(F.col("id").cast("int").alias("group_idx"), F.concat(F.lit("group"), F.col("id").cast("string")).alias("group"))
 
 
+def documents(spark: SparkSession, sf_dir: str, sample: str = "lang") -> DataFrame:
+    """sample, seq_id, text: each document."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", sample, "text")).select(F.col(sample).alias("sample"), F.col("doc_id").alias("seq_id"), "text")
+
+
 def reads(spark: SparkSession, sf_dir: str, sample: str = "lang") -> DataFrame:
     """sample, seq_id, seq: each document."""
-    return spread(table(spark, sf_dir, "documents").select("doc_id", sample, "text")).select(F.col(sample).alias("sample"), F.col("doc_id").alias("seq_id"), text_as_dna("text").alias("seq"))
+    return documents(spark, sf_dir, sample).select("sample", "seq_id", text_as_dna("text").alias("seq"))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -218,37 +218,52 @@ def write_fastx(df: DataFrame, folder: str, ending: str = ".fa", stem: str = "pa
     write_formats(df, {ending: folder}, stem)
 
 
-def write_formats(df: DataFrame, folders: dict[str, str], stem: str = "part") -> None:
-    """write_fastx to a folder for each ending, in one pass over df."""
-    for ending in folders:
+def write_formats(df: DataFrame, folders: dict[str, str], stem: str = "part", code: bytes | None = None) -> None:
+    """write_fastx to a folder for each ending, in one pass over df. code: a table of bytes (bytes.translate) that
+    sequences go through first; it is one table with that of the N, so it costs nothing."""
+    _write(df.withColumn("sample", F.lit("")), {"": folders}, stem, code)
+
+
+def write_samples(df: DataFrame, places: dict[str, tuple[str, str]], stem: str = "part", code: bytes | None = None) -> None:
+    """df: sample, seq_id, seq. write_fastx of each sample to its folder with its ending, in one pass over df for all of them.
+
+    A task holds a file of each sample open, so these are to be few. A sample without a place is an error. code: as in write_formats.
+    """
+    _write(df, {name: {ending: folder} for name, (folder, ending) in places.items()}, stem, code)
+
+
+def _write(df: DataFrame, places: dict[str, dict[str, str]], stem: str, code: bytes | None) -> None:
+    """places: for each sample, a folder for each ending."""
+    endings = {e for folders in places.values() for e in folders}
+    for ending in endings:
         if not paths.is_fastx("x" + ending):
             raise ValueError(f"not an ending of a sequence file: {ending!r}")
 
-    form = {e: b"@%b\n%b\n+\n%b\n" if e.split(".")[1] in ("fq", "fastq") else b">%b\n%b\n" for e in folders}
+    form = {e: b"@%b\n%b\n+\n%b\n" if e.split(".")[1] in ("fq", "fastq") else b">%b\n%b\n" for e in endings}
+    table = _LETTERS if code is None else code.translate(_LETTERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n = TaskContext.get(), 0
-        final = {e: f"{folder}/{stem}-{task.partitionId():05d}{e}" for e, folder in folders.items()}
-        partial = {e: f"{folder}/.{task.taskAttemptId()}-{stem}{e}" for e, folder in folders.items()}
-        raw, out = {}, {}
+        out: dict[tuple[str, str], tuple[IO[bytes], IO[bytes], str]] = {}
         for b in batches:
-            for name, letters in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seq = letters.encode("ascii", "replace").translate(_LETTERS)
+            for sample, name, letters in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                seq = letters.encode("ascii", "replace").translate(table)
                 record = (name.encode(), seq, b"I" * len(seq))
-                for e in folders:
-                    if e not in out:
-                        raw[e] = storage.open_output(partial[e])
-                        out[e] = _compressed(raw[e], e)
-                    out[e].write(form[e] % record[: form[e].count(b"%b")])
+                for e, folder in places[sample].items():
+                    if (sample, e) not in out:
+                        partial = f"{folder}/.{task.taskAttemptId()}-{stem}{e}"
+                        raw = storage.open_output(partial)
+                        out[sample, e] = _compressed(raw, e), raw, partial
+                    out[sample, e][0].write(form[e] % record[: form[e].count(b"%b")])
                 n += 1
-        for e in out:
-            out[e].close()
-            raw[e].close()
-            storage.move(partial[e], final[e])
+        for (sample, e), (packed, raw, partial) in out.items():
+            packed.close()
+            raw.close()
+            storage.move(partial, f"{places[sample][e]}/{stem}-{task.partitionId():05d}{e}")
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
     name = F.regexp_replace(F.coalesce(F.col("seq_id").cast("string"), F.lit("")), r"[\r\n]", " ")
-    rows = df.select(name.alias("seq_id"), F.coalesce("seq", F.lit("")).alias("seq"))
+    rows = df.select("sample", name.alias("seq_id"), F.coalesce("seq", F.lit("")).alias("seq"))
     rows.mapInArrow(run, "n long").agg(F.sum("n")).collect()  # one number
 
 

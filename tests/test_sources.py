@@ -186,3 +186,43 @@ def test_files_are_compressed_at_fast_levels():
 
         assert seconds(fast) < 0.7 * seconds(slow), ending
         assert (gzip if ending == ".gz" else lzma).decompress(raw.getvalue()) == data
+
+
+def test_samples_are_written_in_one_pass_over_the_documents(spark, monkeypatch):
+    """One for the samples' names and one for all their files, however many samples there are."""
+    from kmerlake.plans import files, tables
+
+    seen, table = spark.sparkContext.accumulator(0), tables.table
+
+    def counted(*args):
+        df = table(*args)
+
+        def run(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return df.mapInArrow(run, df.schema)
+
+    monkeypatch.setattr(tables, "table", counted)
+    folders = files._sample_folders(spark, "/root/testdata/sf0.001", "lang")
+    assert len(folders) > 2
+    assert seen.value == 2 * spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
+def test_samples_are_written_as_text_as_dna_spells_them(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from kmerlake.functions import dna
+
+    every = "".join(map(chr, range(1, 0x250)))
+    texts = ["The quick brown fox.", every, "\u212a\u0130\u03a3\U0001f600 a\ud7ff*-.", "", None, "Z" * 70_000]
+    rows = [("ab"[i % 2], str(i), t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "sample string, seq_id string, text string").repartition(2)
+    places = {"a": (str(tmp_path / "a"), ".fa.gz"), "b": (str(tmp_path / "b"), ".fq.xz")}
+    fastx.write_samples(df.select("sample", "seq_id", F.lower("text").alias("seq")), places, code=dna.TEXT_CODE)
+    spelled = F.regexp_replace(F.coalesce(dna.text_as_dna("text"), F.lit("")), "[^A-Za-z*.-]", "N")
+    read = fastx.read_samples(spark, [str(tmp_path / "a"), str(tmp_path / "b")]).select("sample", "seq_id", "seq")
+    assert sorted(map(tuple, read.collect())) == sorted(map(tuple, df.select("sample", "seq_id", spelled).collect()))
+    with pytest.raises(Exception, match="KeyError"):
+        fastx.write_samples(df.select("sample", "seq_id", F.col("text").alias("seq")), {"a": places["a"]})
